@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .common import read_table
+from .decontamination import contamination_digest, find_contamination
+from .language_id import predict_languages
 from .packing import pack_documents
 from .sharding import assign_shards
 from .token_counts import count_tokens
@@ -29,6 +31,14 @@ def op7_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_best_fit_packing, op6_token_files, op7_token_counts)}
+def op8_language_id(spark, sf_dir):
+    return predict_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark, sf_dir):
+    return contamination_digest(find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 10))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op5_best_fit_packing, op6_token_files, op7_token_counts, op8_language_id, op9_decontamination)}
 
 SQL: dict[str, str] = {}
