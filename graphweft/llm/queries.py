@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import read_table
 from .decontamination import contamination_digest, find_contamination
 from .language_id import predict_languages
@@ -10,8 +12,8 @@ from .sharding import assign_shards
 from .token_counts import count_tokens
 from .token_files import token_digests
 from .tokenizing import tokenizer_path
+from .topk import quantize, top_k
 
-from pyspark.sql import functions as F
 
 
 def op1_sharding(spark, sf_dir):
@@ -19,6 +21,10 @@ def op1_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_topk(spark, sf_dir):
+    return top_k(quantize(read_table(spark, sf_dir, "embeddings"), 256), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1, 4096)
 
@@ -39,6 +45,6 @@ def op9_decontamination(spark, sf_dir):
     return contamination_digest(find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 10))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_best_fit_packing, op6_token_files, op7_token_counts, op8_language_id, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_topk, op5_best_fit_packing, op6_token_files, op7_token_counts, op8_language_id, op9_decontamination)}
 
 SQL: dict[str, str] = {}
