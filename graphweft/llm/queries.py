@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontamination import contamination_digest, find_contamination
+from .jaccard_join import jaccard_components
 from .language_id import predict_languages
 from .packing import pack_documents
 from .sharding import assign_shards
@@ -45,6 +46,10 @@ def op9_decontamination(spark, sf_dir):
     return contamination_digest(find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 10))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_topk, op5_best_fit_packing, op6_token_files, op7_token_counts, op8_language_id, op9_decontamination)}
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_components(read_table(spark, sf_dir, "documents"), 4, 85)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_topk, op5_best_fit_packing, op6_token_files, op7_token_counts, op8_language_id, op9_decontamination, op10_ngram_jaccard_join)}
 
 SQL: dict[str, str] = {}
