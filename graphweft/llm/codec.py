@@ -12,19 +12,19 @@ _HEAD = struct.Struct("<BII")
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned values below 2^32 in 1 to 4 bytes each, larger ones in 8."""
-    if len(values) and int(values.max()) >> 32:
-        return _HEAD.pack(1, len(values), 0) + values.astype("<u8").tobytes()
-    control, data = encode_values(values)
-    return _HEAD.pack(0, len(values), len(control)) + control + data
+    """Unsigned values, below 2^32 in 1 to 4 bytes each, larger ones in 4 and those for the upper half."""
+    values = np.asarray(values, dtype=np.uint64)
+    wide = bool(len(values)) and int(values.max()) >> 32 > 0
+    control, data = encode_values(values >> np.uint64(32) if wide else values)
+    low = values.astype("<u4").tobytes() if wide else b""
+    return _HEAD.pack(wide, len(values), len(control)) + low + control + data
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    raw, n, size = _HEAD.unpack_from(blob)
-    if raw:
-        return np.frombuffer(blob, "<u8", n, _HEAD.size).astype(np.uint64)
-    at = _HEAD.size
-    return decode_values(blob[at : at + size], blob[at + size :], n).astype(np.uint64)
+    wide, n, size = _HEAD.unpack_from(blob)
+    at = _HEAD.size + 4 * n * wide
+    out = decode_values(blob[at : at + size], blob[at + size :], n).astype(np.uint64)
+    return (out << np.uint64(32)) | np.frombuffer(blob, "<u4", n, _HEAD.size) if wide else out
 
 
 def pack_rising(values: np.ndarray) -> bytes:

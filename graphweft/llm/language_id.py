@@ -137,12 +137,13 @@ def learn(docs: DataFrame, train_docs: int = 4000, id_col: str = "doc_id", text_
     return Mixture(languages, counts, **options)
 
 
-def identify(docs: DataFrame, model: Mixture | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred``, ``score``."""
+def identify(docs: DataFrame, model: Mixture | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All columns of ``docs``, with ``pred_col`` and ``score_col`` in place of any of the same name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*({pred_col, score_col} - {text_col}))
     names = list(docs.columns)
     text_at = names.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{pred_col}` string, `{score_col}` double"
 
     def run(batches):
         mixture = shared.value
@@ -157,7 +158,7 @@ def identify(docs: DataFrame, model: Mixture | None, text_col: str = "text") ->
                         scores[real] = np.clip(score, 0.0, 1.0)
                         for i, k in zip(real, best.tolist()):
                             langs[i] = mixture.languages[k]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*names, pred_col, score_col])
 
     return docs.mapInArrow(run, schema)
 
@@ -168,3 +169,11 @@ def predict_languages(docs: DataFrame, folds: int = 5, **options) -> DataFrame:
     model = learn(docs.where(~held), **options)
     rows = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
     return identify(rows, model).drop("text")
+
+
+def keep_identified(docs: DataFrame, folds: int = 5, least_score: float = 0.5, **options) -> DataFrame:
+    """The documents, all columns kept, with a language that makes up ``least_score`` of them at least; texts without a letter go."""
+    held = F.crc32(F.col("doc_id").cast("string")) % folds == 0
+    model = learn(docs.where(~held), **options)
+    found = identify(docs, model, pred_col="__lang", score_col="__share")
+    return found.where((F.col("__lang") != "und") & (F.col("__share") >= least_score)).select(*docs.columns)

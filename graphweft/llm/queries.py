@@ -9,6 +9,7 @@ from .decontamination import contamination_digest, find_contamination
 from .jaccard_join import jaccard_components
 from .language_id import predict_languages
 from .packing import pack_documents
+from .pitman_yor import score_documents
 from .sharding import assign_shards
 from .token_counts import count_tokens
 from .token_files import token_digests
@@ -26,6 +27,11 @@ def op3_topk(spark, sf_dir):
     return top_k(quantize(read_table(spark, sf_dir, "embeddings"), 256), F.col("vec_id") % 50 == 0, 5)
 
 
+def op4_lm_scoring(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return score_documents(read_table(spark, sf_dir, "documents"), held_out)
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1, 4096)
 
@@ -50,6 +56,6 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(read_table(spark, sf_dir, "documents"), 4, 85)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_topk, op5_best_fit_packing, op6_token_files, op7_token_counts, op8_language_id, op9_decontamination, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_topk, op4_lm_scoring, op5_best_fit_packing, op6_token_files, op7_token_counts, op8_language_id, op9_decontamination, op10_ngram_jaccard_join)}
 
 SQL: dict[str, str] = {}
