@@ -116,8 +116,9 @@ def contingency(labels: DataFrame) -> DataFrame:
 
 
 def contingency_cube(labels: DataFrame) -> DataFrame:
-    """The contingency table with both margins and the total; null stands for all."""
-    return labels.cube("c", "t").agg(F.count(F.lit(1)).alias("n"))
+    """The contingency table with both margins and the total; -1 stands for all."""
+    every = lambda x: F.when(F.grouping(x) == 1, F.lit(-1)).otherwise(F.col(x)).alias(f"{x}_")
+    return labels.cube("c", "t").agg(F.count(F.lit(1)).alias("n"), every("c"), every("t")).select(F.col("c_").alias("c"), F.col("t_").alias("t"), "n")
 
 
 def supervised_metrics(table: DataFrame) -> DataFrame:
@@ -207,6 +208,6 @@ def wcc(nodes: DataFrame, arcs: DataFrame, labels: DataFrame) -> DataFrame:
 def soft_modularity(arcs: DataFrame, degrees: DataFrame, soft: DataFrame) -> DataFrame:
     """Q of soft assignments (id, s): sum of w <s_u, s_v> less the squared norm of sum k_u s_u over W, over W."""
     dot = F.aggregate(F.zip_with("su", "sv", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
-    inner = arcs.join(soft.select(F.col("id").alias("src"), F.col("s").alias("su")), "src").join(soft.select(F.col("id").alias("dst"), F.col("s").alias("sv")), "dst").agg(F.sum(F.col("w") * dot).alias("inner"), F.sum("w").alias("W"))
+    inner = arcs.join(soft.select(F.col("id").alias("src"), F.col("s").alias("su")), "src").join(soft.select(F.col("id").alias("dst"), F.col("s").alias("sv")), "dst").agg(F.sum(F.col("w") * dot).alias("inner"), F.sum("w").alias("total"))
     parts = soft.join(degrees, "id").select("k", F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum(F.col("k") * F.col("x")).alias("v")).agg(F.sum(F.col("v") * F.col("v")).alias("square"))
-    return inner.join(parts).select(rounded((F.col("inner") - F.col("square") / F.col("W")) / F.col("W"), 6).alias("modularity"))
+    return inner.join(parts).select(rounded((F.col("inner") - F.col("square") / F.col("total")) / F.col("total"), 6).alias("modularity"))
