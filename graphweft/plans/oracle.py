@@ -164,4 +164,6 @@ LEFT JOIN (SELECT x, count(*) AS tv, count(*) FILTER (WHERE cx = cy AND cx = cz)
     "features_row_norm": "SELECT id, pos, round(x / (sum(x) OVER (PARTITION BY id) + 1e-9), 8) AS x FROM (SELECT vec_id AS id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, abs(CAST(unnest(embedding) AS DOUBLE)) AS x FROM embeddings)",
     "features_l2_norm": "SELECT id, pos, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY id)), 1e-12), 8) AS x FROM (SELECT vec_id AS id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)",
     "adcsbm_params": "SELECT CAST(c AS INTEGER) AS c, CAST(250 AS BIGINT) AS size, round(20 * 0.8 / 249, 10) AS p_in, round(20 * (1 - 0.8) / 750, 10) AS p_out FROM range(4) x(c)",
+    "metis_scan": q(DOCS, "SELECT src, dst, w FROM arcs"),
+    "labels_scan": q(DOCS, "SELECT id, c FROM labels"),
 }

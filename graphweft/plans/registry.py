@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphweft.functions.exact import rounded
-from graphweft.operators import metrics, normalize, report, steps, transform
+from graphweft.operators import metrics, normalize, report, solvers, steps, transform
 from graphweft.plans.oracle import SQL
 from graphweft.sources import generate, text, views
+from graphweft.streaming import stream_cluster
 
 QUERIES: dict = {}
 
@@ -458,3 +459,129 @@ def adcsbm_features(spark, sf_dir):
 def adcsbm(spark, sf_dir):
     graph, _ = generate.block_model(spark, generate.BlockModel())
     return metrics.evaluate(graph.nodes, graph.arcs, graph.labels, "adcsbm")
+
+
+# clustering methods: labels (id, c) of the planted graph; the trade graph where it says so
+
+
+def _planted(spark):
+    return generate.block_model(spark, generate.BlockModel())
+
+
+def _solver(method, **options):
+    def run(spark, sf_dir):
+        return solvers.solve(_planted(spark)[0], method, **options)
+
+    return run
+
+
+QUERIES |= {
+    "cnm": _solver("cnm"), "wt": _solver("wt"), "louvain": _solver("louvain"), "leiden": _solver("leiden"), "walktrap": _solver("walktrap"), "infomap": _solver("infomap"), "combo": _solver("combo"),
+    "memetic": _solver("memetic", limit=20.0), "gnns": _solver("gnns", k=4), "soft_modularity_ascent": _solver("soft_modularity_ascent", k=4),
+}
+
+
+@query
+def louvain_trade(spark, sf_dir):
+    return solvers.solve(views.trade(spark, sf_dir), "louvain")
+
+
+@query
+def exact_small(spark, sf_dir):
+    """The best partition of the regions' trade: nations contracted to a graph of five nodes."""
+    g = views.trade(spark, sf_dir)
+    arcs = transform.contract_keep_diagonal(g.arcs, g.labels, "t").select(F.col("src").cast("long"), F.col("dst").cast("long"), "w")
+    nodes = g.labels.select(F.col("t").cast("long").alias("id")).distinct()
+    return solvers.solve(views.Graph(nodes, arcs, g.labels), "exact_small")
+
+
+@query
+def kmeans(spark, sf_dir):
+    return solvers.kmeans(_features(spark, sf_dir), 10)
+
+
+@query
+def propagate_kmeans(spark, sf_dir):
+    graph, features = _planted(spark)
+    return solvers.propagate_kmeans(graph, features, 4)
+
+
+@query
+def propagate_threshold(spark, sf_dir):
+    graph, features = _planted(spark)
+    return solvers.propagate_threshold(graph, features)
+
+
+@query
+def select_then_assign(spark, sf_dir):
+    graph, features = _planted(spark)
+    return solvers.select_then_assign(graph, features)
+
+
+@query
+def power_iteration(spark, sf_dir):
+    return solvers.power_iteration(_planted(spark)[0], 4)
+
+
+@query
+def stream_edge_cluster(spark, sf_dir):
+    return stream_cluster.stream_edges(views.event_stream(spark, sf_dir))
+
+
+@query
+def stream_node_cluster(spark, sf_dir):
+    return stream_cluster.stream_nodes(_planted(spark)[0].arcs)
+
+
+@query
+def restream_cluster(spark, sf_dir):
+    return stream_cluster.stream_nodes(_planted(spark)[0].arcs, passes=10)
+
+
+@query
+def best_of_five(spark, sf_dir):
+    return solvers.best_of(_planted(spark)[0], "louvain")
+
+
+@query
+def benchmark_runs(spark, sf_dir):
+    return solvers.run_benchmark(spark, _planted(spark)[0], "adcsbm", "louvain", 2)
+
+
+# text round trips
+
+
+def _shared(spark, name):
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphweft-")
+    return f"{top.rstrip('/')}/text-{uuid.uuid4().hex}/{name}"
+
+
+@query
+def metis_scan(spark, sf_dir):
+    """The documents' graph written as METIS lines and read back."""
+    g = views.documents_graph(spark, sf_dir)
+    path = _shared(spark, "graph.metis")
+    text.write_lines(text.metis_lines(g.nodes, g.arcs), path)
+    return text.read_metis(spark, path).arcs
+
+
+@query
+def labels_scan(spark, sf_dir):
+    path = _shared(spark, "graph.labels")
+    text.write_lines(text.label_lines(views.documents_graph(spark, sf_dir).labels), path)
+    return text.read_labels(spark, path)
+
+
+@query
+def features_scan(spark, sf_dir):
+    path = _shared(spark, "graph.features")
+    text.write_lines(text.feature_lines(_features(spark, sf_dir)), path)
+    return text.read_features(spark, path).select("id", F.size("f").alias("n"), rounded(F.aggregate("f", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query
+def eval_line(spark, sf_dir):
+    return metrics.evaluator_line(eval_row(spark, sf_dir))
