@@ -14,11 +14,12 @@ Plan:
    grouped as they were sent, as no other can be shared. A document with fewer shared shingles than a
    partner must have in common is done with.
 2. Equal sets are one class, known by a 128-bit sum over the set; the rest is about one set a class.
-3. Signatures meet in a hash shuffle. No list of documents with a common signature is paired off: in
-   each round its members are compared with two members drawn by a hash, pairs known to be connected
-   are left out, and links join their classes. Lists within one component are finished.
-4. What is still open, pairs of different components that share a signature and were not compared, is
-   compared pair by pair. So nothing is left out, whatever the size of a list.
+3. Signatures meet in a hash shuffle. Of a list of documents with a common signature only edges to its
+   smallest member are made, one per document; connected documents form a candidate group, so linked
+   ones are always in one group. No pair of documents becomes a row.
+4. Groups are verified in blocks of bounded size, block against block: exact intersection sizes come from
+   a matrix product over shingles frequent in the block and from posting lists over the others. A task
+   returns a spanning forest of its links, at most one edge a document, and these give the components.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows with the
 same doc_id are one document in the links; a null doc_id has no component; other columns are ignored.
@@ -45,7 +46,12 @@ RANGE_BYTES = 8 << 20
 #: Document frequency up to which a shingle is a signature by itself.
 RARE = 32
 CLASS_SIZE = 16
-ROUNDS = 4
+#: Sets and bytes of one block of a candidate group; a task compares two blocks.
+BLOCK_SETS = 2048
+BLOCK_BYTES = 24 << 20
+#: Sets of two blocks that must have a shingle for it to be a column of the matrix product, and columns at a time.
+DENSE = 24
+CHUNK = 4096
 
 
 def least_common(size, percent: int):
@@ -208,17 +214,66 @@ def _sign(percent: int):
     return run
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    tokens = np.concatenate((*left, *right))
+    _, code, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [*map(len, left), *map(len, right)])
+    dense = np.flatnonzero(counts > DENSE)
+    for at in range(0, len(dense), CHUNK):
+        place = np.full(len(counts), -1)
+        place[dense[at : at + CHUNK]] = np.arange(len(dense[at : at + CHUNK]))
+        hit = place[code] >= 0
+        table = np.zeros((len(left) + len(right), min(CHUNK, len(dense) - at)), np.float32)
+        table[owner[hit], place[code][hit]] = 1
+        out += table[: len(left)] @ table[len(left) :].T
+    rare = np.flatnonzero((counts[code] > 1) & (counts[code] <= DENSE))
+    rare = rare[np.argsort(code[rare], kind="stable")]
+    heads = np.flatnonzero(np.diff(code[rare], prepend=-1))
+    sizes = np.diff(np.append(heads, len(rare)))
+    flat = out.reshape(-1)
+    for size in np.unique(sizes):
+        members = owner[rare[heads[sizes == size][:, None] + np.arange(size)]]
+        for i in range(size):
+            for j in range(size):
+                pair = (members[:, i] < len(left)) & (members[:, j] >= len(left))
+                np.add.at(flat, members[pair, i] * len(right) + members[pair, j] - len(left), 1)
+    return out
+
+
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (first found, other) of a spanning forest of a symmetric boolean matrix."""
+    left, out = np.ones(len(links), bool), []
+    for root in range(len(links)):
+        if left[root]:
+            left[root] = False
+            front = np.array([root])
+            while len(front):
+                front = np.flatnonzero(links[front].any(axis=0) & left)
+                left[front] = False
+                out += [(root, int(x)) for x in front]
+    return out
+
+
 def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            a, b, ta, tb, na, nb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb", "na", "nb"))
-            linked = []
-            for x, y, p, q in zip(ta, tb, na, nb):
-                both = np.concatenate((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")))
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked.append(100 * common >= percent * (p + q - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
+    def run(table: pa.Table) -> pa.Table:
+        first, second = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        reps, sizes, blocks = (np.asarray(table.column(c).combine_chunks(), dtype=np.int64) for c in ("rep", "n", "block"))
+        tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
+        order = np.lexsort((reps, blocks))
+        reps, sizes, tokens = reps[order], sizes[order], [tokens[i] for i in order]
+        cut = int(np.count_nonzero(blocks == first)) if first != second else len(reps)
+        a, b = slice(0, cut), slice(cut if first != second else 0, len(reps))
+        common = common_counts(tokens[a], tokens[b]).astype(np.int64)
+        linked = 100 * common >= percent * (sizes[a][:, None] + sizes[b][None, :] - common)
+        if first == second:
+            edges = forest(linked)
+        else:
+            whole = np.zeros((len(reps), len(reps)), bool)
+            whole[a, b], whole[b, a] = linked, linked.T
+            edges = forest(whole)
+        return pa.table([pa.array([int(reps[u]) for u, _ in edges], pa.int64()), pa.array([int(reps[v]) for _, v in edges], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -251,35 +306,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
 def _link(lists: DataFrame, reps: DataFrame, percent: int, tables: SharedTables) -> DataFrame:
     """(rep, label) of all representatives that link with another one."""
-    spark = lists.sparkSession
-    labels = spark.createDataFrame([], "rep long, label long")
-    links = tested = None
-    close = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    step = 0
-    while step <= ROUNDS:
-        members = lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        if step < ROUNDS:
-            drawn = F.struct(F.xxhash64("rep", F.lit(step)).alias("h"), "rep", "label", "n")
-            heads = members.groupBy("sig").agg(F.min(drawn).alias("x"), F.max(drawn).alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            pairs = members.join(heads, "sig").select("rep", "n", "label", F.explode(F.array("x", "y")).alias("c")).where("label <> c.label")
-            pairs = pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
-        else:
-            other = members.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("nb"), F.col("label").alias("label2"))
-            pairs = members.join(other, "sig").where("label < label2").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), F.col("n").alias("na"), "nb")
-        pairs = pairs.where(close).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        compared = tables.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long, linked boolean"), f"compared-{step}")
-        tested = compared.select("a", "b") if tested is None else tested.union(compared.select("a", "b"))
-        new = compared.where("linked").select("a", "b")
-        if new.isEmpty():
-            step = max(step, ROUNDS - 1)  # drawn members tell no more: on to the exact last step
-        else:
-            links = new if links is None else links.union(new)
-            labels = tables.save(components(links, tables, f"components-{step}").select(F.col("node").alias("rep"), "label"), f"labels-{step}")
-        step += 1
-    return labels
+    heads = lists.groupBy("sig").agg(F.min("rep").alias("a"))
+    stars = lists.join(heads, "sig").where("a <> rep").select("a", F.col("rep").alias("b"))
+    groups = tables.save(components(stars, tables, "candidates"), "groups").select(F.col("node").alias("rep"), F.col("label").alias("group"))
+    members = reps.join(groups, "rep")
+    shape = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("tokens")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = members.join(shape.select("group", blocks.alias("blocks")), "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = dealt.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "tokens")
+    found = keyed.groupBy("group", "x", "y").applyInArrow(_verify(percent), "a long, b long")
+    return components(tables.save(found, "links"), tables, "components").select(F.col("node").alias("rep"), "label")
 
 
 #: Ids that may be broadcast to filter the documents; more are joined by a shuffle.
