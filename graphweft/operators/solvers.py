@@ -18,7 +18,7 @@ from graphweft.sources.views import Graph
 #: Arcs and nodes that one process clusters; both bound what reaches the driver.
 LOCAL_ARCS = 200_000
 LOCAL_NODES = 20_000
-SWEEPS = 8
+SWEEPS = 4
 
 METHODS = {
     "cnm": lambda g, o, c: local.agglomerate(g, clock=c),
@@ -39,6 +39,7 @@ def coarsened(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: id, c), (coarse nodes: id, size), (coarse arcs with loops), small enough for one process."""
     members = graph.nodes.select("id", F.col("id").alias("c"))
     nodes, arcs = graph.nodes.select("id", F.lit(1).cast("long").alias("size")), graph.arcs.select("src", "dst", "w")
+    arcs = transform.checkpointed(arcs)
     while arcs.limit(LOCAL_ARCS + 1).count() > LOCAL_ARCS or nodes.limit(LOCAL_NODES + 1).count() > LOCAL_NODES:
         labels = nodes.select("id", F.col("id").alias("c"))
         before = nodes.count()
