@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.operators import local, metrics, steps, transform
+from graphweft.sources import generate
 from graphweft.sources.views import Graph
 
 #: Arcs and nodes that one process clusters; both bound what reaches the driver.
@@ -159,3 +160,15 @@ def run_benchmark(spark: SparkSession, graph: Graph, name: str, method: str, run
         )
         rows = row if rows is None else rows.union(row)
     return rows
+
+
+def run_sweep(spark: SparkSession, settings: list, methods: list[str], limit: float | None = 360.0, **options) -> DataFrame:
+    """Rows of run_benchmark for every generator setting and method; graphs are drawn anew and never stored."""
+    rows = None
+    for setting in settings:
+        graph, _ = generate.block_model(spark, setting)
+        name = f"a{setting.assortativity}-s{setting.signal:.4f}"
+        for method in methods:
+            found = transform.checkpointed(run_benchmark(spark, graph, name, method, 1, limit, **options))
+            rows = found if rows is None else rows.union(found)
+    return rows

@@ -166,4 +166,5 @@ LEFT JOIN (SELECT x, count(*) AS tv, count(*) FILTER (WHERE cx = cy AND cx = cz)
     "adcsbm_params": "SELECT CAST(c AS INTEGER) AS c, CAST(250 AS BIGINT) AS size, round(20 * 0.8 / 249, 10) AS p_in, round(20 * (1 - 0.8) / 750, 10) AS p_out FROM range(4) x(c)",
     "metis_scan": q(DOCS, "SELECT src, dst, w FROM arcs"),
     "labels_scan": q(DOCS, "SELECT id, c FROM labels"),
+    "sweep_settings": "SELECT 'assortativity' AS setting, CAST(i AS INTEGER) AS step, round(0.95 - 0.025 * i, 3)::DOUBLE AS value FROM range(27) r(i) UNION ALL SELECT 'signal', CAST(j AS INTEGER), round(pow(10.0, (j - 20) / 10.0), 6) FROM range(31) s(j)",
 }

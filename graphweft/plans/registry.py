@@ -585,3 +585,18 @@ def features_scan(spark, sf_dir):
 @query
 def eval_line(spark, sf_dir):
     return metrics.evaluator_line(eval_row(spark, sf_dir))
+
+
+@query
+def sweep_settings(spark, sf_dir):
+    """The settings of the sweep: 27 of structure, 31 of the features' signal."""
+    found = generate.sweep_settings()
+    rows = [("assortativity", i, round(m.assortativity, 3)) for i, m in enumerate(found[:27])] + [("signal", j, round(m.signal, 6)) for j, m in enumerate(found[27:])]
+    return spark.createDataFrame(rows, "setting string, step int, value double")
+
+
+@query
+def sweep(spark, sf_dir):
+    """The structural sweep's first and last setting through two methods."""
+    found = generate.sweep_settings()
+    return solvers.run_sweep(spark, [found[0], found[26]], ["louvain", "leiden"]).drop("time")
