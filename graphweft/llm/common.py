@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """The planner's size of the input; where it has none, the bytes of the texts."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known < 1 << 45:
+        return known
+    return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -67,7 +76,7 @@ def utf8_values(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def byte_slices(batch: pa.RecordBatch, text: str, limit: int = 8 << 20):
+def byte_slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
     """Cuts a batch so that each part holds about `limit` bytes of text, one row at least."""
     if not batch.num_rows:
         return

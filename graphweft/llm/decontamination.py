@@ -170,7 +170,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         def run(batches):
             automaton = shared.value
             for whole in batches:
-                for batch in byte_slices(whole, "text"):
+                for batch in byte_slices(whole, "text", 2 << 20):
                     sizes, spans, items = [], [], []
                     for text in utf8_values(batch.column("text")):
                         words = words_of(text)
@@ -234,7 +234,7 @@ def remove_contamination(
 
     def run(batches):
         for whole in batches:
-            for batch in byte_slices(whole, text_col):
+            for batch in byte_slices(whole, text_col, 2 << 20):
                 texts, keep, changed = utf8_values(batch.column(text_at)), [], {}
                 for i, text in enumerate(texts):
                     words = words_of(text)

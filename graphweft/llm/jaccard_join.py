@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import pack, pack_many, pack_rising, unpack, unpack_many, unpack_rising
-from .common import SharedTables, byte_slices, shuffle_partitions, utf8_values
+from .common import SharedTables, byte_slices, input_bytes, shuffle_partitions, utf8_values
 from .components import components
 from .shingles import mix, shingle_sets
 
 #: Bits of a shingle's hash that are sent; 44 leave a chance of 10^-8 that two documents seem to share one more.
 HASH_BITS = 44
 #: Shingles that one lot of a task sends, and input bytes for one range of hashes; both bound a task's memory.
-LOT_SHINGLES = 2_000_000
+LOT_SHINGLES = 1_500_000
 RANGE_BYTES = 8 << 20
 #: Document frequency up to which a shingle is a signature by itself.
 RARE = 32
@@ -90,7 +90,7 @@ def _map_sets(words: int, ranges: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, kinds)], ["range", "lot", "kind", "blob"])
 
         for whole in batches:
-            for batch in byte_slices(whole, "text", 4 << 20):
+            for batch in byte_slices(whole, "text", 1 << 20):
                 for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(utf8_values(batch.column("text")), words)):
                     lot.append((doc_id, s))
                     held += len(s)
@@ -279,8 +279,7 @@ def _verify(percent: int):
 
 
 def _document_sets(docs: DataFrame, words: int, percent: int, tables: SharedTables) -> DataFrame:
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    ranges = max(shuffle_partitions(docs.sparkSession), min(int(size), 1 << 50) // RANGE_BYTES)
+    ranges = max(shuffle_partitions(docs.sparkSession), input_bytes(docs) // RANGE_BYTES)
     sent = docs.mapInArrow(_map_sets(words, int(ranges)), "range int, lot long, kind int, blob binary")
     counted = sent.repartitionById(int(ranges), F.col("range")).drop("range").mapInArrow(_count_range, "lot long, kind int, blob binary")
     gathered = counted.groupBy("lot").applyInArrow(_gather_lot(percent), "doc_id long, n long, s1 long, s2 long, tokens binary, weights binary")

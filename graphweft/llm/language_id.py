@@ -117,7 +117,7 @@ def learn(docs: DataFrame, train_docs: int = 4000, id_col: str = "doc_id", text_
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
+            for batch in byte_slices(whole, "text", 1 << 20):
                 code, ends = trigrams(utf8_values(batch.column("text")))
                 for i, lang in enumerate(batch.column("lang").to_pylist()):
                     if lang not in sums:
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, model: Mixture | None, text_col: str = "text", pre
     def run(batches):
         mixture = shared.value
         for whole in batches:
-            for batch in byte_slices(whole, text_col, 2 << 20):
+            for batch in byte_slices(whole, text_col, 1 << 20):
                 texts = batch.column(text_at)
                 langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
                 if mixture is not None:

@@ -112,18 +112,19 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: s
     """(doc_id, piece, start, length, ids_crc32): documents longer than ``capacity`` in pieces of it, others whole."""
 
     def run(batches):
-        words, end, step = coder(WordCoder, path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
-        for whole in batches:
-            for batch in byte_slices(whole, "text"):
-                columns = ([], [], [], [], [])
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(utf8_values(batch.column("text")))):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), step)):
-                        part = ids[at : at + step]
-                        for column, value in zip(columns, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        with coder(WordCoder, path) as words:
+            for whole in batches:
+                for batch in byte_slices(whole, "text"):
+                    columns = ([], [], [], [], [])
+                    for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(utf8_values(batch.column("text")))):
+                        ids += end
+                        for piece, at in enumerate(range(0, len(ids), step)):
+                            part = ids[at : at + step]
+                            for column, value in zip(columns, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
+                                column.append(value)
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

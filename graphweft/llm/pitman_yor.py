@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import pack, pack_many, pack_rising, unpack, unpack_many, unpack_rising
-from .common import SharedTables, byte_slices, shuffle_partitions, utf8_values
+from .common import SharedTables, byte_slices, input_bytes, shuffle_partitions, utf8_values
 from .shingles import mix, word_hashes
 
 LOT_TOKENS = 1_000_000
@@ -188,7 +188,7 @@ class Model:
             return row
 
         for whole in batches:
-            for batch in byte_slices(whole, "text", 4 << 20):
+            for batch in byte_slices(whole, "text", 1 << 20):
                 flat, bounds = word_hashes(utf8_values(batch.column("text")))
                 for i, doc in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist())):
                     docs.append(doc)
@@ -361,8 +361,7 @@ def score_documents(
     """
     spark = docs.sparkSession
     tables = SharedTables(spark)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    ranges = max(shuffle_partitions(spark), min(size, 1 << 50) // RANGE_BYTES)
+    ranges = max(shuffle_partitions(spark), input_bytes(docs, text_col) // RANGE_BYTES)
     model = Model(f"{tables.root}/lots", ranges, discount, strength, root_discount, root_strength)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     lots = tables.save(rows.mapInArrow(model.write_lots, "lot long, path string"), "lots-manifest")

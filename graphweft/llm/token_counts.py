@@ -24,11 +24,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches):
-        counter = coder(ByteCounter, path)
-        for whole in batches:
-            for batch in byte_slices(whole, "text"):
-                counts = pa.array(counter.count(batch.column("text").to_pylist()), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], ["id", "n_bytes", "n_tokens"])
+        with coder(ByteCounter, path) as counter:
+            for whole in batches:
+                for batch in byte_slices(whole, "text"):
+                    counts = pa.array(counter.count(batch.column("text").to_pylist()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text")

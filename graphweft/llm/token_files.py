@@ -90,17 +90,18 @@ def tokenize(docs: DataFrame, path: str, end_id: int, bounds: list[int], id_col:
     edges = np.array(bounds, dtype=np.int64)
 
     def run(batches):
-        words, end, seen = coder(WordCoder, path), np.array([end_id], dtype="<u4").tobytes(), 0
-        for whole in batches:
-            for batch in byte_slices(whole, "text"):
-                ids = batch.column("doc_id")
-                own = np.asarray(ids.fill_null(np.iinfo(np.int64).min), dtype=np.int64)
-                low, high = np.searchsorted(edges, own, "left"), np.searchsorted(edges, own, "right")
-                # a doc id that fills whole ranges is dealt over all of them
-                ranges = low + (seen + np.arange(len(own))) % (high - low + 1)
-                seen += len(own)
-                coded = [np.frombuffer(x + end, "<u4").astype(width).tobytes() for x in words.encode(utf8_values(batch.column("text")))]
-                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), ids, pa.array(coded, pa.binary())], ["range", "doc_id", "ids"])
+        end, seen = np.array([end_id], dtype="<u4").tobytes(), 0
+        with coder(WordCoder, path) as words:
+            for whole in batches:
+                for batch in byte_slices(whole, "text"):
+                    ids = batch.column("doc_id")
+                    own = np.asarray(ids.fill_null(np.iinfo(np.int64).min), dtype=np.int64)
+                    low, high = np.searchsorted(edges, own, "left"), np.searchsorted(edges, own, "right")
+                    # a doc id that fills whole ranges is dealt over all of them
+                    ranges = low + (seen + np.arange(len(own))) % (high - low + 1)
+                    seen += len(own)
+                    coded = [np.frombuffer(x + end, "<u4").astype(width).tobytes() for x in words.encode(utf8_values(batch.column("text")))]
+                    yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), ids, pa.array(coded, pa.binary())], ["range", "doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "range int, doc_id long, ids binary"), width

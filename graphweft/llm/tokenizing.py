@@ -75,7 +75,15 @@ class _Model:
         return flat[~parted], np.flatnonzero(parted) - np.arange(len(pieces))
 
 
-class WordCoder:
+class _Cached:
+    """A coder whose caches can be given back."""
+
+    def forget(self) -> None:
+        for cache in (self.chunks, self.pieces):
+            cache.clear()
+
+
+class WordCoder(_Cached):
     """Ids of a tokenizer that drops white space: a text's ids are those of its chunks between ASCII white space, in order."""
 
     def __init__(self, path: str):
@@ -119,7 +127,7 @@ class WordCoder:
         return [b"".join(map(get, p)) for p in parts]
 
 
-class ByteCounter:
+class ByteCounter(_Cached):
     """Numbers of ids of a byte-level BPE with the library's default split, a space going with the word after it.
 
     A text is cut at single spaces and single newlines between other characters; there the library's
@@ -131,15 +139,15 @@ class ByteCounter:
 
     def __init__(self, path: str):
         self.model = _Model(path)
-        self.parts: dict[str, int] = {}
-        self.pretokens: dict[str, int] = {}
+        self.chunks: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
 
     def _learn(self, missing: set[str]) -> None:
         plain, odd = {}, []
         for part in missing:
             mark, word = (part[0], part[1:]) if part[:1] in ("\x00", "\x02") else (" ", part)
             if not word or word[0].isspace() or word[-1].isspace() or "\x00" in word or "\x02" in word:
-                self.parts[part] = self._ODD
+                self.chunks[part] = self._ODD
                 continue
             lead = 1 if mark == "\x00" else 0
             text = word if mark != " " else " " + word
@@ -147,17 +155,17 @@ class ByteCounter:
                 plain[part] = (lead, _BYTE_PIECES.findall(text))
             else:
                 odd.append((part, lead, text))
-        if len(self.pretokens) > CACHE_ENTRIES:
-            self.pretokens.clear()
-        new = list({p for _, ps in plain.values() for p in ps} - self.pretokens.keys())
+        if len(self.pieces) > CACHE_ENTRIES:
+            self.pieces.clear()
+        new = list({p for _, ps in plain.values() for p in ps} - self.pieces.keys())
         if new:
             _, ends = self.model.encode(new)
-            self.pretokens.update(zip(new, np.diff(ends, prepend=0).tolist()))
-        known = self.pretokens
+            self.pieces.update(zip(new, np.diff(ends, prepend=0).tolist()))
+        known = self.pieces
         for part, (lead, ps) in plain.items():
-            self.parts[part] = lead + sum([known[p] for p in ps])
+            self.chunks[part] = lead + sum([known[p] for p in ps])
         for (part, lead, _), e in zip(odd, self.model.library.encode_batch_fast([t for _, _, t in odd], add_special_tokens=False)):
-            self.parts[part] = lead + len(e.ids)
+            self.chunks[part] = lead + len(e.ids)
 
     def count(self, texts: list[str | None]) -> list[int]:
         cut, odd = [], []
@@ -168,13 +176,13 @@ class ByteCounter:
                 cut.append({"\x02": 1})
             else:
                 cut.append(Counter(("\x02" + text.replace("\n", " \x00")).split(" ")))
-        if len(self.parts) > CACHE_ENTRIES:
-            self.parts.clear()
-        missing = set().union(*cut) - self.parts.keys()
+        if len(self.chunks) > CACHE_ENTRIES:
+            self.chunks.clear()
+        missing = set().union(*cut) - self.chunks.keys()
         if missing:
             with _no_gc():
                 self._learn(missing)
-        known, out = self.parts, []
+        known, out = self.chunks, []
         for i, counts in enumerate(cut):
             n = sum([known[p] * k for p, k in counts.items()])
             if n < 0:
@@ -188,11 +196,16 @@ class ByteCounter:
 _coders: dict = {}
 
 
+@contextmanager
 def coder(kind: type, path: str):
-    """One coder per worker process and file, so that tasks of one worker share its cache."""
+    """The worker's one coder for a file; its caches go when the task ends, as idle workers keep their memory."""
     if (kind, path) not in _coders:
         _coders[kind, path] = kind(path)
-    return _coders[kind, path]
+    found = _coders[kind, path]
+    try:
+        yield found
+    finally:
+        found.forget()
 
 
 def vocabulary_size(path: str) -> int:
