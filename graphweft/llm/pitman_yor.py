@@ -5,7 +5,8 @@ customer at each of its tables is a customer of the one root restaurant that all
 parent, whose own parent is uniform over the vocabulary and one unknown word. Seatings are sampled by
 Gibbs sweeps: a sweep seats the customers of every dish in every restaurant anew, given the tables of
 all restaurants after the sweep before (all restaurants at once, as no task may hold the whole model).
-Beyond 16 customers of a dish they come in groups that double, with one binomial draw each. Scores use
+Beyond 16 customers of a dish they come in groups that double, with one binomial draw each at the chance
+in the group's middle. Scores use
 the predictive probabilities averaged over the sweeps after the first.
 
 Plan:
@@ -93,7 +94,9 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, keys: np.ndar
     done, draw = 16, 16
     while len(alive):
         n = np.minimum(customers[alive], 2 * done) - done
-        chance = pull[alive] / (done - discount * tables[alive] + pull[alive])
+        first = pull[alive] / (done - discount * tables[alive] + pull[alive])
+        # the chance in the middle of the group, by when it has about half of its new tables
+        chance = pull[alive] / (done + n / 2 - discount * (tables[alive] + n * first / 3) + pull[alive])
         tables[alive] += _binomial(n, np.clip(chance, 0, 1), keys[alive], sweep * 256 + draw)
         done, draw = 2 * done, draw + 2
         alive = alive[customers[alive] > done]
