@@ -14,10 +14,12 @@ from graphweft.llm.jaccard_join import keep_one_of_each
 from graphweft.llm.language_id import keep_identified
 from graphweft.llm.packing import pack_documents
 from graphweft.llm.tokenizing import tokenizer_path
+from graphweft.plans.shipping import ship_package
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a letter whose main language makes up half of them at least."""
+    ship_package(spark)
     return keep_identified(docs)
 
 
