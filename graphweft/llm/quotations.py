@@ -36,21 +36,31 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a plain expression would be computed anew for each element of a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def passages(text: Column) -> Column:
     """array<struct<level, text>>: normalised passages of a message in their order, empty ones left out."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.struct(quote_level(x).alias("level"), normal(F.regexp_replace(x, _MARK, "")).alias("text")))
-    # a blank line parts passages as a change of level does
-    starts = F.filter(
-        F.transform(lines, lambda x, i: F.when((i == 0) | (x["text"] == "") | (F.get(lines, i - 1)["text"] == "") | (F.get(lines, i - 1)["level"] != x["level"]), i).otherwise(-1)), lambda i: i >= 0
-    )
-    cut = F.transform(
-        starts,
-        lambda s, k: F.struct(
-            F.get(lines, s)["level"].alias("level"),
-            F.array_join(F.transform(F.slice(lines, s + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s), lambda x: x["text"]), " ").alias("text"),
-        ),
-    )
-    return F.filter(cut, lambda p: p["text"] != "")
+
+    def first_lines(ls: Column) -> Column:
+        # a blank line parts passages as a change of level does
+        new = lambda x, i: (i == 0) | (x["text"] == "") | (F.get(ls, i - 1)["text"] == "") | (F.get(ls, i - 1)["level"] != x["level"])
+        return F.filter(F.transform(ls, lambda x, i: F.when(new(x, i), i).otherwise(-1)), lambda i: i >= 0)
+
+    def cut(ls: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda s, k: F.struct(
+                F.get(ls, s)["level"].alias("level"),
+                F.array_join(F.transform(F.slice(ls, s + 1, F.coalesce(F.get(starts, k + 1), F.size(ls)) - s), lambda x: x["text"]), " ").alias("text"),
+            ),
+        )
+
+    found = _bound(lines, lambda ls: _bound(first_lines(ls), lambda starts: cut(ls, starts)))
+    return F.filter(found, lambda p: p["text"] != "")
 
 
 def own_text(text: Column) -> Column:
