@@ -29,7 +29,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of ten words or more that stand in a benchmark item; a document of little else goes."""
+    """Cuts passages of ten words or more that stand in a benchmark item, and whole items of fewer words; a document of little else goes."""
     return remove_contamination(docs, read_table(spark, sf_dir, "benchmark"), 10)
 
 

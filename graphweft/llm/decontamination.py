@@ -58,6 +58,8 @@ class ItemAutomaton:
             for state, length in self._stream(ids):
                 if length >= size:
                     self.windows[size].setdefault(self._at(state, size), set()).add(item)
+        #: Sizes of the items shorter than the window, which stand whole where they are found.
+        self.short = [n for n in self.sizes if n < window]
         self._shortest = self.sizes[0] if self.sizes else 0
         self._stretch = re.compile(b"\x01{%d,}" % max(1, self._shortest))
 
@@ -107,18 +109,19 @@ class ItemAutomaton:
             state = self.link[state]
         return state
 
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Stretches [start, end) of words inside windows, rising and apart, and the items with windows here."""
+    def search(self, words: list[bytes], sizes: list[int] | None = None) -> tuple[list[tuple[int, int]], set]:
+        """Stretches [start, end) of words inside windows, rising and apart, and the items with windows here; of windows of some ``sizes`` only where given."""
         spans: list[list[int]] = []
         found: set = set()
-        if not self.sizes:
+        sizes = self.sizes if sizes is None else sizes
+        if not sizes:
             return [], found
         known = bytes(map(self.vocabulary.__contains__, words))
         for stretch in self._stretch.finditer(known):
             start = stretch.start()
             ids = [self.vocabulary[w] for w in words[start : stretch.end()]]
             for at, (state, length) in enumerate(self._stream(ids), start + 1):
-                for size in self.sizes:
+                for size in sizes:
                     if size > length:
                         break
                     items = self.windows[size].get(self._at(state, size))
@@ -221,10 +224,10 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, max_span: int = 9, max_coverage: float = 0.8, text_col: str = "text", length_col: str | None = "n_chars"
 ) -> DataFrame:
-    """The documents, all columns kept, without stretches of more than ``max_span`` words in windows.
+    """The documents, all columns kept, without stretches of more than ``max_span`` words in windows and without whole items shorter than the window.
 
-    A document of which such words make up more than ``max_coverage`` goes whole. ``length_col``, where
-    there is one, follows the cut text; untouched rows stay as they are.
+    A document of which words in windows, of stretches of any length, make up more than ``max_coverage``
+    goes whole. ``length_col``, where there is one, follows the cut text; untouched rows stay as they are.
     """
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(a) for a in build_automata(benchmark, window)]
@@ -239,10 +242,11 @@ def remove_contamination(
                 for i, text in enumerate(texts):
                     words = words_of(text)
                     spans = join_spans([s for a in shared for s in a.value.search(words)[0]])
-                    spans = [s for s in spans if s[1] - s[0] > max_span]
                     keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words))
                     if spans and keep[-1]:
-                        changed[i] = cut_spans(text, spans).decode("utf-8", "replace")
+                        whole_items = [s for a in shared if a.value.short for s in a.value.search(words, a.value.short)[0]]
+                        if cuts := join_spans([s for s in spans if s[1] - s[0] > max_span] + whole_items):
+                            changed[i] = cut_spans(text, cuts).decode("utf-8", "replace")
                 if changed:
                     columns = list(batch.columns)
                     old = batch.column(text_at)

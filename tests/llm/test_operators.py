@@ -369,6 +369,31 @@ def test_cutting(spark, none):
     assert decontamination.remove_contamination(spark.createDataFrame(rows, DOCS), bench.where("false")).count() == 4
 
 
+def test_cutting_short_items(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "what is the answer"), (2, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
+    long = " ".join(f"w{i}" for i in range(12))
+    rows = [
+        (0, "What is the answer?"), (1, "He asked: what is the ANSWER, and then he left the room."), (2, "what is the question"),
+        (3, f"one two three {long} four five six seven what is the answer eight nine ten eleven twelve"), (4, f"one what is the answer two three {long}"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+
+    def check():
+        # one item alone goes; 16 of 19 words of two items go though neither makes up 80 % alone
+        kept = {r.doc_id: r for r in decontamination.remove_contamination(docs, bench).collect()}
+        assert {i: r.text for i, r in kept.items()} == {
+            1: "He asked: , and then he left the room.", 2: "what is the question", 3: "one two three  four five six seven  eight nine ten eleven twelve",
+        }
+        assert all(r.n_chars == len(r.text) for r in kept.values())
+        # a stretch within max_span stays, but counts
+        kept = {r.doc_id: r.text for r in decontamination.remove_contamination(docs, bench, max_span=12).collect()}
+        assert sorted(kept) == [1, 2, 3] and kept[3] == f"one two three {long} four five six seven  eight nine ten eleven twelve"
+
+    check()
+    monkeypatch.setattr(decontamination, "AUTOMATON_WORDS", 5)
+    check()
+
+
 # 10
 
 
