@@ -3,8 +3,8 @@
 A line's quote level is the number of `>` at its start; a passage is a run of lines of one level without
 blank lines between. Passages are normalised (lower case, white space as single spaces) and hashed. A
 quoted passage belongs to the earliest message of its conversation whose own text, level 0, has it; a
-message replies to the latest message that its outermost quotes lead to. Replies follow the message
-they answer, and quotes are left out.
+message replies to the latest message that its quotes of level 1 lead to; deeper quotes are counted only,
+also where no quote of level 1 leads anywhere. Replies follow the message they answer, and quotes are left out.
 
 Plan: all in DataFrame functions. Passages are cut inside each row. Own passages are reduced to one row
 per (conversation, hash) before the join, so the join key is unique on that side and a passage that many
