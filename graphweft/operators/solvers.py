@@ -8,13 +8,17 @@ named after what they do; those that learn are surrogates without neural network
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphweft.operators import local, metrics, steps, transform
 from graphweft.sources import generate
 from graphweft.sources.views import Graph
+from graphweft.streaming import stream_cluster
 
 #: Arcs and nodes that one process clusters; both bound what reaches the driver.
 LOCAL_ARCS = 200_000
@@ -64,10 +68,14 @@ def local_graph(nodes: DataFrame, arcs: DataFrame) -> tuple[list[int], local.Loc
 
 def solve(graph: Graph, method: str, seed: int = 0, limit: float | None = None, **options) -> DataFrame:
     """(id, c): the clustering; c is the smallest id of the cluster's coarse nodes. ``limit``: seconds for the search."""
-    spark = graph.nodes.sparkSession
     members, nodes, arcs = coarsened(graph)
-    ids, g = local_graph(nodes, arcs)
-    labels = METHODS[method](g, options | {"seed": seed}, local.Clock(limit)) if ids else []
+    return searched(members, *local_graph(nodes, arcs), method, limit, seed=seed, **options)
+
+
+def searched(members: DataFrame, ids: list[int], g: local.LocalGraph, method: str, limit: float | None, **options) -> DataFrame:
+    """(id, c) of the members of coarse nodes, the method run on the coarse graph."""
+    spark = members.sparkSession
+    labels = METHODS[method](g, options, local.Clock(limit)) if ids else []
     first: dict[int, int] = {}
     for i, c in zip(ids, labels):
         first.setdefault(c, i)
@@ -162,13 +170,65 @@ def run_benchmark(spark: SparkSession, graph: Graph, name: str, method: str, run
     return rows
 
 
+#: Methods beside METHODS as (graph, features, options) -> (id, c); those in FEATURED read the features.
+STREAMED = {
+    "power_iteration": lambda g, f, o: power_iteration(g, o.get("k", 4)),
+    "stream_edges": lambda g, f, o: stream_cluster.stream_edges(g.arcs.where("src < dst").select(F.struct("src", "dst").alias("pos"), "src", "dst")),
+    "stream_nodes": lambda g, f, o: stream_cluster.stream_nodes(g.arcs),
+}
+FEATURED = {
+    "propagate_kmeans": lambda g, f, o: propagate_kmeans(g, f, o.get("k", 4), o["seed"]),
+    "propagate_threshold": lambda g, f, o: propagate_threshold(g, f),
+    "select_then_assign": lambda g, f, o: select_then_assign(g, f, seed=o["seed"]),
+}
+#: Every method for graphs of any size; exact_small takes 11 nodes at most.
+SWEPT = [*(m for m in METHODS if m != "exact_small"), *STREAMED, *FEATURED]
+#: Runs of the sweep at a time, all on one graph; the driver's memory holds the plans of that many evaluations.
+RUNS = 3
+
+
 def run_sweep(spark: SparkSession, settings: list, methods: list[str], limit: float | None = 360.0, **options) -> DataFrame:
-    """Rows of run_benchmark for every generator setting and method; graphs are drawn anew and never stored."""
-    rows = None
+    """Rows of run_benchmark for every generator setting and method; graphs are drawn anew and never stored.
+
+    Settings that differ in their features only have the same graph; a method that reads no features runs
+    once on it, and the row stands for each of them. ``limit`` holds for the methods of METHODS.
+    """
+    options = options | {"seed": 0}
+    alike: dict = {}
     for setting in settings:
-        graph, _ = generate.block_model(spark, setting)
-        name = f"a{setting.assortativity}-s{setting.signal:.4f}"
-        for method in methods:
-            found = transform.checkpointed(run_benchmark(spark, graph, name, method, 1, limit, **options))
-            rows = found if rows is None else rows.union(found)
-    return rows
+        alike.setdefault(replace(setting, dimensions=1, signal=0.0, spread=0.0), []).append(setting)
+
+    def title(setting) -> str:
+        return f"a{setting.assortativity}-s{setting.signal:.4f}"
+
+    def of_graph(same: list) -> list[dict]:
+        graph, _ = generate.block_model(spark, same[0])
+        graph = Graph(*(transform.checkpointed(x) for x in (graph.nodes, graph.arcs, graph.labels)))
+        members, nodes, arcs = coarsened(graph)
+        ids, g = local_graph(nodes, arcs)
+
+        def one(method: str, setting) -> dict:
+            began = time.monotonic()
+            if method in METHODS:
+                found = searched(members, ids, g, method, limit, **options)
+            else:
+                found = (STREAMED | FEATURED)[method](graph, generate.features(spark, setting), options)
+            labels = transform.checkpointed(graph.nodes.join(found, "id", "left").select("id", F.coalesce("c", "id").cast("long").alias("c")))
+            took = time.monotonic() - began
+            row = metrics.evaluate(graph.nodes, graph.arcs, labels.join(graph.labels.select("id", "t"), "id"), title(setting))
+            head = {"algorithm": method, "instance": title(setting), "run": 0, "memory": None, "code": 0, "time": took, "iterations": 1}
+            schemas.append(row.schema)
+            return head | row.first().asDict()
+
+        runs = [(m, s) for m in methods for s in (same if m in FEATURED else same[:1])]
+        out = []
+        for (method, _), row in zip(runs, pool.map(lambda x: one(*x), runs)):
+            out += [row] if method in FEATURED else [row | {"instance": title(s), "graph": title(s)} for s in same]
+        return out
+
+    schemas: list = []
+    with ThreadPoolExecutor(RUNS) as pool:
+        rows = [row for same in alike.values() for row in of_graph(same)]
+    head = "algorithm string, instance string, run int, memory long, code int, time double, iterations int"
+    schema = StructType([*StructType.fromDDL(head), *schemas[0]])
+    return spark.createDataFrame([tuple(row[c] for c in schema.names) for row in rows], schema)

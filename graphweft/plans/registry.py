@@ -597,6 +597,5 @@ def sweep_settings(spark, sf_dir):
 
 @query
 def sweep(spark, sf_dir):
-    """The structural sweep's first and last setting."""
-    found = generate.sweep_settings()
-    return solvers.run_sweep(spark, [found[0], found[26]], ["louvain"]).drop("time")
+    """All settings, each by every method."""
+    return solvers.run_sweep(spark, generate.sweep_settings(), solvers.SWEPT, k=4).drop("time")

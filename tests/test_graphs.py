@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweft.operators import local, metrics, normalize, report, solvers, steps, transform
+from graphweft.plans import registry
 from graphweft.sources import generate, text
 from graphweft.sources.views import Graph, both_directions
 from graphweft.streaming import stream_cluster
@@ -154,6 +155,24 @@ def test_coarsening_keeps_quality(spark, monkeypatch):
     assert metrics.modularity(metrics.clusters(g.arcs, labels)).first()["modularity"] > 0.3
 
 
+def test_sweep_covers_settings_and_methods(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(solvers, "run_sweep", lambda spark, settings, methods, *a, **k: asked.update(settings=settings, methods=methods) or spark.range(1).withColumn("time", F.lit(0)))
+    registry.QUERIES["sweep"](spark, None)
+    assert asked["settings"] == generate.sweep_settings() and set(solvers.METHODS) - {"exact_small"} | set(solvers.FEATURED) | set(solvers.STREAMED) == set(asked["methods"])
+    monkeypatch.undo()
+    settings = [generate.BlockModel(n=120, signal=x) for x in (0.01, 3.0)]
+    methods = ["louvain", "stream_nodes", "stream_edges", "propagate_kmeans"]
+    got = solvers.run_sweep(spark, settings, methods, k=4).collect()
+    assert sorted((r.algorithm, r.instance) for r in got) == sorted((m, f"a0.8-s{s.signal:.4f}") for m in methods for s in settings)
+    assert all(r.graph == r.instance and r.nodes == 120 for r in got)
+    value = {(r.algorithm, r.instance): r.modularity for r in got}
+    alone = solvers.solve(generate.block_model(spark, settings[0])[0], "louvain", 0)
+    expected = metrics.modularity(metrics.clusters(generate.block_model(spark, settings[0])[0].arcs, alone)).first()["modularity"]
+    assert value["louvain", "a0.8-s0.0100"] == value["louvain", "a0.8-s3.0000"] == expected
+    assert value["propagate_kmeans", "a0.8-s0.0100"] != value["propagate_kmeans", "a0.8-s3.0000"]
+
+
 def test_edge_stream_operator(spark, tmp_path):
     """The stateful operator and the one-task pass agree on the same order."""
     draw = random.Random(3)
