@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweft.plans.folders import shared_folder
+
 
 def quotient(arcs: DataFrame, labels: DataFrame, column: str = "c") -> DataFrame:
     """(a, b, w): arc weight between the clusters of both ends, inner weight on the diagonal.
@@ -54,9 +56,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iterative plan in the folder of spark.checkpoint.dir."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphweft-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphweft.functions.exact import rounded
 from graphweft.operators import metrics, normalize, report, solvers, steps, transform
+from graphweft.plans.folders import own_folder
 from graphweft.plans.oracle import SQL
 from graphweft.sources import generate, text, views
 from graphweft.streaming import stream_cluster
@@ -552,11 +553,7 @@ def benchmark_runs(spark, sf_dir):
 
 
 def _shared(spark, name):
-    import tempfile
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphweft-")
-    return f"{top.rstrip('/')}/text-{uuid.uuid4().hex}/{name}"
+    return f"{own_folder(spark, 'text')}/{name}"
 
 
 @query
