@@ -6,7 +6,7 @@ whole; a running sum inside each range places its rows. Cuts lie at equal multip
 
 Defined results: a null text has 0 bytes and the crc32 of an empty text; a null id sorts first;
 repeated rows and ties on the id are all kept, each with its own slot; an empty table gives no
-rows; other columns are ignored unless named in ``keep``.
+rows; other columns are ignored unless named in ``keep``, where a name of a result column is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def assign_shards(
     Shards are contiguous in (id, input order). A row goes to the shard its middle byte falls in, so
     each shard differs from total / n_shards by one row's size at most.
     """
+    if clash := {"size", "text_crc32", "shard", "slot"} & set(keep):
+        raise ValueError(f"columns of the result cannot be kept too: {sorted(clash)}")
     spark = docs.sparkSession
     tables, parts = SharedTables(spark), shuffle_partitions(spark)
     sized = tables.save(
@@ -70,8 +72,13 @@ def assign_shards(
     )
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes whole rows, one folder per shard, each in slot order within its files."""
-    keep = tuple(c for c in docs.columns if c not in (id_col, "size", "text_crc32", "shard", "slot"))
-    out = assign_shards(docs, n_shards, id_col, text_col, keep)
-    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> None:
+    """Writes whole rows, all columns kept, one folder per shard, each in slot order within its files.
+
+    ``shard_col`` names the folders; a column of ``docs`` with that name is an error.
+    """
+    if shard_col in docs.columns:
+        raise ValueError(f"the documents have a column {shard_col}; name the shards otherwise")
+    boxed = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__box"))
+    out = assign_shards(boxed, n_shards, "__id", "__text", ("__box",))
+    out.sortWithinPartitions("shard", "slot").select("__box.*", F.col("shard").alias(shard_col)).write.partitionBy(shard_col).parquet(path)
