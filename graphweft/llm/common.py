@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.plans.folders import delete_folder, own_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="graphweft-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -38,18 +31,12 @@ def input_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 class SharedTables:
     """Parquet tables of one run in the shared folder. They cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/graphweft-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        self.root = own_folder(spark, "graphweft")
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.option("compression", "zstd")
@@ -59,14 +46,37 @@ class SharedTables:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
+        delete_folder(self.spark, f"{self.root}/{name}")
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL(None)
+    except OSError:
+        return None
+
 
-    def close(self) -> None:
+def give_back() -> None:
+    """Returns freed memory to the system; a Python worker outlives its task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that leaves its worker small."""
+
+    @functools.wraps(run)
+    def task(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
-            if self.spark.sparkContext._jsc is not None:
-                _delete(self.spark, self.root)
-        except Exception:  # the session may be gone at exit
-            return
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
 
 
 def utf8_values(column: pa.Array) -> list[bytes | None]:
@@ -76,13 +86,27 @@ def utf8_values(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the UTF-8 bytes of all strings, bounds of each); a null has none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, b"")
+    _, bounds, data = column.buffers()
+    bounds = np.frombuffer(bounds, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    if data is None:
+        return np.zeros(0, np.uint8), bounds - bounds[0]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def byte_slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
     """Cuts a batch so that each part holds about `limit` bytes of text, one row at least."""
     if not batch.num_rows:
         return
     column = batch.column(text)
     sizes = column.cast(pa.large_binary())
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(sizes), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(sizes), 0), dtype=np.int64)
     part = np.cumsum(lengths) // limit
     cuts = np.flatnonzero(np.diff(part)) + 1
     start = 0

@@ -6,8 +6,10 @@ the last ``window`` words stand in an item, and the state's ancestor of that len
 An item of fewer words counts where it stands whole. Words that no item has end every match, so only
 stretches of item words are streamed.
 
-Plan: no shuffle; one scan of the documents with the automata of the items broadcast. An automaton
-takes 200,000 item words at most; a larger benchmark is split over several, with one scan for each.
+Plan: no shuffle; one scan of the documents with the automata of the items broadcast. An automaton takes
+200,000 item words at most (a longer item is cut to parts that overlap, which have the same windows) and a
+scan four of them, so what the driver builds and a worker holds is bounded. A benchmark of more than
+800,000 words takes several scans of one keyed copy of the documents, whose spans meet in one shuffle.
 
 Defined results: a null or empty text has no words; null item texts have no windows; a null item_id
 marks words but is never listed; repeated items count once; every document row gives one row.
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, utf8_values
+from .common import SharedTables, byte_slices, lean, utf8_values
 
-#: Words of items in one automaton, which bounds what is broadcast.
+#: Words of items in one automaton, and automata of one scan; both bound what is broadcast.
 AUTOMATON_WORDS = 200_000
+SCAN_AUTOMATA = 4
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
 
@@ -40,6 +43,7 @@ class ItemAutomaton:
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
+        #: While it is built: transitions by state.
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         coded = []
@@ -50,6 +54,10 @@ class ItemAutomaton:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
+        self.width = len(self.vocabulary) + 1
+        #: state * width + word -> state; one table takes a quarter of the memory of one per state.
+        self.go = {state * self.width + c: to for state, after in enumerate(self.next) for c, to in after.items()}
+        self.next = []
         self.sizes = sorted({min(window, len(ids)) for _, ids in coded})
         #: By window size: state -> ids of the items with that window.
         self.windows: dict[int, dict[int, set]] = {n: {} for n in self.sizes}
@@ -94,13 +102,15 @@ class ItemAutomaton:
     def _stream(self, ids):
         """(state, matching length) after each word."""
         state = length = 0
-        after, link, lengths = self.next, self.link, self.length
+        go, width, link, lengths = self.go.get, self.width, self.link, self.length
         for c in ids:
-            while state and c not in after[state]:
+            after = go(state * width + c)
+            while after is None and state:
                 state = link[state]
                 length = lengths[state]
-            if c in after[state]:
-                state = after[state][c]
+                after = go(state * width + c)
+            if after is not None:
+                state = after
                 length += 1
             yield state, length
 
@@ -137,18 +147,32 @@ class ItemAutomaton:
         return [(a, b) for a, b in spans], found
 
 
-def build_automata(benchmark: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text") -> list[ItemAutomaton]:
-    """Automata of bounded size; the items come to the driver one at a time."""
-    automata, lot, held = [], [], 0
+def build_automata(benchmark: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text"):
+    """Automata of bounded size, one at a time; the items come to the driver one at a time."""
+    lot, held = [], 0
     items = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
     for item, text in items.toLocalIterator():
         words = words_of(text.encode())
-        if lot and held + len(words) > AUTOMATON_WORDS:
-            automata.append(ItemAutomaton(lot, window))
-            lot, held = [], 0
-        lot.append((item, words))
-        held += len(words)
-    return [*automata, ItemAutomaton(lot, window)]
+        size = max(AUTOMATON_WORDS, 2 * window)
+        for at in range(0, max(1, len(words) - window + 1), size - window + 1):
+            part = words[at : at + size]
+            if lot and held + len(part) > AUTOMATON_WORDS:
+                yield ItemAutomaton(lot, window)
+                lot, held = [], 0
+            lot.append((item, part))
+            held += len(part)
+    yield ItemAutomaton(lot, window)
+
+
+def _scans(benchmark: DataFrame, window: int):
+    """Lists of the automata of one scan each."""
+    lot: list[ItemAutomaton] = []
+    for automaton in build_automata(benchmark, window):
+        if len(lot) == SCAN_AUTOMATA:
+            yield lot
+            lot = []
+        lot.append(automaton)
+    yield lot
 
 
 def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -161,46 +185,87 @@ def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans, items) of every row: stretches [start, end) of words in windows, and the ids of the items, sorted as strings."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    schema = f"row long, doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+_SPANS = "array<struct<start:int,end:int>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def scan(shared, keyed: DataFrame) -> DataFrame:
-        def run(batches):
-            automaton = shared.value
-            for whole in batches:
-                for batch in byte_slices(whole, "text", 2 << 20):
-                    sizes, spans, items = [], [], []
-                    for text in utf8_values(batch.column("text")):
-                        words = words_of(text)
-                        where, found = automaton.search(words)
-                        sizes.append(len(words))
-                        spans.append([{"start": a, "end": b} for a, b in where])
-                        items.append(sorted(x for x in found if x is not None))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))],
-                        ["row", "doc_id", "n_words", "spans", "items"],
-                    )
-
-        return keyed.mapInArrow(run, schema)
-
-    automata = [context.broadcast(a) for a in build_automata(benchmark, window)]
-    keyed = rows.withColumn("row", F.monotonically_increasing_id() if len(automata) > 1 else F.lit(0).cast("long"))
-    found = [scan(a, keyed) for a in automata]
-    if len(found) == 1:
-        return found[0].drop("row")
-    every = found[0]
-    for more in found[1:]:
+
+def _structs(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in spans]
+
+
+def search_all(automata: list[ItemAutomaton], words: list[bytes]) -> tuple[list, list, set]:
+    """(spans, spans of whole items shorter than the window, items) over several automata."""
+    found = [a.search(words) for a in automata]
+    spans = join_spans([s for x, _ in found for s in x])
+    whole = join_spans([s for a in automata if a.short for s in a.search(words, a.short)[0]]) if spans else []
+    return spans, whole, set().union(*(x for _, x in found))
+
+
+def _scan(rows: DataFrame, automata: list[ItemAutomaton], key: str) -> DataFrame:
+    """(key, n_words, spans, whole, items) of rows with a key and a ``text``."""
+    shared = rows.sparkSession.sparkContext.broadcast(automata)
+
+    @lean
+    def run(batches):
+        for batch in (x for whole in batches for x in byte_slices(whole, "text", 2 << 20)):
+            sizes, spans, cut, items = [], [], [], []
+            for text in utf8_values(batch.column("text")):
+                words = words_of(text)
+                where, whole, found = search_all(shared.value, words)
+                sizes.append(len(words))
+                spans.append(_structs(where))
+                cut.append(_structs(whole))
+                items.append(sorted(x for x in found if x is not None))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array(sizes, pa.int64()), pa.array(spans, _SPAN), pa.array(cut, _SPAN), pa.array(items, pa.list_(pa.string()))],
+                [key, "n_words", "spans", "whole", "items"],
+            )
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_words long, spans {_SPANS}, whole {_SPANS}, items array<string>")
+
+
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    """(row, n_words, spans, whole, items) of the scans' results together."""
+    every = parts[0]
+    for more in parts[1:]:
         every = every.unionByName(more)
-    merged = every.groupBy("row").agg(
-        F.any_value("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    lists = every.groupBy("__row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("whole")).alias("whole"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    join = F.udf(lambda x: [{"start": a, "end": b} for a, b in join_spans([(r["start"], r["end"]) for r in x])], "array<struct<start:int,end:int>>")
-    return merged.select("doc_id", "n_words", join("spans").alias("spans"), "items")
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            columns = list(batch.columns)
+            for k in (2, 3):
+                columns[k] = pa.array([_structs(join_spans([(s["start"], s["end"]) for s in x])) for x in columns[k].to_pylist()], _SPAN)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return lists.mapInArrow(run, lists.schema)
+
+
+def _search(docs: DataFrame, scans, first: list, second: list, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(documents with a ``__row``, results by it) where the benchmark needs several scans."""
+    tables = SharedTables(docs.sparkSession)
+    keyed = tables.save(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    rows = keyed.select("__row", F.col(text_col).alias("text"))
+    parts = []
+    for automata in (x for lot in ([first, second], scans) for x in lot):
+        parts.append(tables.save(_scan(rows, automata, "__row"), f"scan-{len(parts)}"))
+    return keyed, _merged(parts)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, spans, items) of every row: stretches [start, end) of words in windows, and the ids of the items, sorted as strings."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    scans = _scans(benchmark, window)
+    first, second = next(scans), next(scans, None)
+    if second is None:
+        return _scan(rows, first, "doc_id").drop("whole")
+    keyed, found = _search(rows, scans, first, second, "text")
+    return keyed.select("__row", "doc_id").join(found, "__row").select("doc_id", "n_words", "spans", "items")
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
@@ -229,32 +294,50 @@ def remove_contamination(
     A document of which words in windows, of stretches of any length, make up more than ``max_coverage``
     goes whole. ``length_col``, where there is one, follows the cut text; untouched rows stay as they are.
     """
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(a) for a in build_automata(benchmark, window)]
+    scans = _scans(benchmark, window)
+    first, second = next(scans), next(scans, None)
     names, schema = list(docs.columns), docs.schema
     text_at = names.index(text_col)
     length_at = names.index(length_col) if length_col in names else None
 
-    def run(batches):
-        for whole in batches:
-            for batch in byte_slices(whole, text_col, 2 << 20):
-                texts, keep, changed = utf8_values(batch.column(text_at)), [], {}
-                for i, text in enumerate(texts):
+    def cut(batch: pa.RecordBatch, found) -> pa.RecordBatch:
+        """``found``: (words, spans, spans of whole short items) of each row."""
+        keep, changed = [], {}
+        texts = batch.column(text_at)
+        for i, (n_words, spans, whole) in enumerate(found):
+            keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * n_words)
+            if spans and keep[-1] and (cuts := join_spans([s for s in spans if s[1] - s[0] > max_span] + whole)):
+                changed[i] = cut_spans(texts[i].as_py().encode(), cuts).decode("utf-8", "replace")
+        columns = list(batch.columns[: len(names)])
+        if changed:
+            columns[text_at] = pa.array([changed.get(i, t) for i, t in enumerate(texts.to_pylist())], texts.type)
+            if length_at is not None:
+                sizes = batch.column(length_at)
+                columns[length_at] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(sizes.to_pylist())], sizes.type)
+        out = pa.RecordBatch.from_arrays(columns, names)
+        return out if all(keep) else out.filter(pa.array(keep))
+
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+
+        @lean
+        def run(batches):
+            for batch in (x for whole in batches for x in byte_slices(whole, text_col, 2 << 20)):
+                found = []
+                for text in utf8_values(batch.column(text_at)):
                     words = words_of(text)
-                    spans = join_spans([s for a in shared for s in a.value.search(words)[0]])
-                    keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words))
-                    if spans and keep[-1]:
-                        whole_items = [s for a in shared if a.value.short for s in a.value.search(words, a.value.short)[0]]
-                        if cuts := join_spans([s for s in spans if s[1] - s[0] > max_span] + whole_items):
-                            changed[i] = cut_spans(text, cuts).decode("utf-8", "replace")
-                if changed:
-                    columns = list(batch.columns)
-                    old = batch.column(text_at)
-                    columns[text_at] = pa.array([changed.get(i, t) for i, t in enumerate(old.to_pylist())], old.type)
-                    if length_at is not None:
-                        sizes = batch.column(length_at)
-                        columns[length_at] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(sizes.to_pylist())], sizes.type)
-                    batch = pa.RecordBatch.from_arrays(columns, names)
-                yield batch if all(keep) else batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, schema)
+                    found.append((len(words), *search_all(shared.value, words)[:2]))
+                yield cut(batch, found)
+
+        return docs.mapInArrow(run, schema)
+
+    @lean
+    def run_found(batches):
+        pairs = lambda x: [(s["start"], s["end"]) for s in x]
+        for batch in (x for whole in batches for x in byte_slices(whole, text_col, 2 << 20)):
+            n_words, spans, whole = (batch.column(len(names) + k).to_pylist() for k in range(3))
+            yield cut(batch, [(n, pairs(x), pairs(y)) for n, x, y in zip(n_words, spans, whole)])
+
+    keyed, found = _search(docs, scans, first, second, text_col)
+    both = keyed.join(found, "__row").select(*names, F.col("n_words").alias("__n"), F.col("spans").alias("__spans"), F.col("whole").alias("__whole"))
+    return both.mapInArrow(run_found, schema)
