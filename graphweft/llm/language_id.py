@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, utf8_values
+from .common import byte_slices, lean, utf8_values
 
 BUCKETS = 1 << 16
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -114,6 +114,7 @@ def learn(docs: DataFrame, train_docs: int = 4000, id_col: str = "doc_id", text_
     bound = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair])
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(steps)) < bound[F.col("lang")])
 
+    @lean
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for whole in batches:
@@ -145,6 +146,7 @@ def identify(docs: DataFrame, model: Mixture | None, text_col: str = "text", pre
     text_at = names.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{pred_col}` string, `{score_col}` double"
 
+    @lean
     def run(batches):
         mixture = shared.value
         for whole in batches:

@@ -7,9 +7,10 @@ numbers, whatever the input. A plan is repeated while the counts allow it, and e
 up a length, so plans stay within a small multiple of ``capacity`` too. Pieces find their place by
 their rank among pieces of their length.
 
-Plan: one scan tokenises and saves a narrow table of pieces, keyed by blocks of 512 rows. Ranks come
-from the (block, length) counts; a block bounds every group of rows, a frequent length too. No text
-or ids are shuffled.
+Plan: one scan tokenises and saves a narrow table of pieces, keyed by blocks of 512 rows and lots of 512
+blocks. Ranks come from the counts of a length in blocks and in lots: a block bounds every group of rows,
+a lot every group of blocks, and a length, however frequent, has a row for each 262,144 rows. No text or
+ids are shuffled.
 
 Defined results: a null text is the end id alone; equal rows are packed each for itself; an empty
 table gives no rows; other columns are ignored.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SharedTables, byte_slices, utf8_values
+from .common import SharedTables, byte_slices, lean
 from .tokenizing import WordCoder, coder
 
 _BLOCK_BITS = 9
@@ -111,20 +112,24 @@ class Places:
 def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents longer than ``capacity`` in pieces of it, others whole."""
 
+    @lean
     def run(batches):
-        end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         with coder(WordCoder, path) as words:
             for whole in batches:
                 for batch in byte_slices(whole, "text"):
-                    columns = ([], [], [], [], [])
-                    for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(utf8_values(batch.column("text")))):
-                        ids += end
-                        for piece, at in enumerate(range(0, len(ids), step)):
-                            part = ids[at : at + step]
-                            for column, value in zip(columns, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                                column.append(value)
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    ids, bounds = words.encode(batch.column("text"), end_id)
+                    raw, sizes = memoryview(ids.astype("<u4", copy=False).tobytes()), np.diff(bounds)
+                    pieces = -(-sizes // capacity)
+                    owner = np.repeat(np.arange(len(sizes)), pieces)
+                    piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    start = piece * capacity
+                    length = np.minimum(capacity, sizes[owner] - start)
+                    first = bounds[owner] + start
+                    sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())],
+                        ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -138,11 +143,14 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     # At most `capacity` rows reach the driver.
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = Places(plan_bins(histogram, capacity), capacity)
-    before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("length", "__block").agg(F.count(F.lit(1)).alias("n")).select("length", "__block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    blocks = rows.groupBy("length", "__block").agg(F.count(F.lit(1)).alias("n")).withColumn("__lot", F.shiftright("__block", _BLOCK_BITS))
+    past = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lots = blocks.groupBy("length", "__lot").agg(F.sum("n").alias("n")).select("length", "__lot", past(["length"], "__lot").alias("__before"))
+    base = blocks.select("length", "__lot", "__block", past(["length", "__lot"], "__block").alias("__past")).join(lots, ["length", "__lot"]).select("length", "__block", (F.col("__before") + F.col("__past")).alias("__base"))
     within = F.row_number().over(Window.partitionBy("__block", "length").orderBy("__row")) - 1
     ranked = rows.withColumn("__in", within).join(base, ["__block", "length"]).withColumn("__rank", F.col("__base") + F.col("__in"))
 
+    @lean
     def place(batches):
         for batch in batches:
             lengths, ranks = (np.asarray(batch.column(c), dtype=np.int64) for c in ("length", "__rank"))

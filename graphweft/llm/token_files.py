@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SharedTables, byte_slices, shuffle_partitions, utf8_values
+from .common import SharedTables, byte_slices, input_bytes, lean, shuffle_partitions
 from .tokenizing import WordCoder, coder, vocabulary_size
 
 _MAGIC = b"GWT1"
 _HEAD = struct.Struct("<4sIQIIQ")
 FRAME_IDS = 1 << 21
+#: Text that one file takes; a file is written by one task and read by one.
+FILE_BYTES = 256 << 20
 #: Bytes of each of the four values of a control byte.
 _WIDTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -89,8 +91,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int, bounds: list[int], id_col:
     width = "<u2" if max(vocabulary_size(path), end_id + 1) <= 1 << 16 else "<u4"
     edges = np.array(bounds, dtype=np.int64)
 
+    @lean
     def run(batches):
-        end, seen = np.array([end_id], dtype="<u4").tobytes(), 0
+        seen = 0
         with coder(WordCoder, path) as words:
             for whole in batches:
                 for batch in byte_slices(whole, "text"):
@@ -100,8 +103,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int, bounds: list[int], id_col:
                     # a doc id that fills whole ranges is dealt over all of them
                     ranges = low + (seen + np.arange(len(own))) % (high - low + 1)
                     seen += len(own)
-                    coded = [np.frombuffer(x + end, "<u4").astype(width).tobytes() for x in words.encode(utf8_values(batch.column("text")))]
-                    yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), ids, pa.array(coded, pa.binary())], ["range", "doc_id", "ids"])
+                    flat, ends = words.encode(batch.column("text"), end_id)
+                    raw = pa.py_buffer(flat.astype(width))
+                    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(ends * np.dtype(width).itemsize), raw])
+                    yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), ids, coded.cast(pa.binary())], ["range", "doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "range int, doc_id long, ids binary"), width
@@ -112,12 +117,14 @@ def write_token_files(
 ) -> DataFrame:
     """Writes all documents in id order and returns the lazy manifest (range, path, n_docs, n_tokens): save it, then read it.
 
-    ``folder``: a URI that pyarrow.fs and all executors can write.
+    ``folder``: a URI that pyarrow.fs and all executors can write. Without ``n_files`` there is a file for
+    each shuffle partition, and more where one would take over FILE_BYTES of text.
     """
-    n_files = n_files or shuffle_partitions(docs.sparkSession)
+    n_files = n_files or max(shuffle_partitions(docs.sparkSession), input_bytes(docs, text_col) // FILE_BYTES)
     bounds = docs.select(F.col(id_col).cast("long").alias("x")).approxQuantile("x", [i / n_files for i in range(1, n_files)], 0.2 / n_files)
     ids, width = tokenize(docs, path, end_id, [int(x) for x in bounds], id_col, text_col)
 
+    @lean
     def write(batches):
         from pyarrow import fs
 
@@ -162,6 +169,7 @@ def read_token_files(manifest: DataFrame, folder: str, digest: bool = False) ->
     spark = manifest.sparkSession
     kind = "ids_crc32 long" if digest else "ids array<long>"
 
+    @lean
     def read(batches):
         from pyarrow import fs
 

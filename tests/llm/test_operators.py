@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -76,9 +77,17 @@ def test_shards(docs, none):
 
 
 def test_write_shards(docs, spark, tmp_path):
-    sharding.write_shards(docs, str(tmp_path / "shards"), 3)
+    clashing = docs.withColumn("size", F.length("text")).withColumn("slot", F.lit("mine")).withColumn("text_crc32", F.lit(None).cast("long"))
+    sharding.write_shards(clashing, str(tmp_path / "shards"), 3)
     back = spark.read.parquet(str(tmp_path / "shards"))
-    assert back.count() == docs.count()
+    assert back.columns == [*clashing.columns, "shard"]
+    assert sorted_rows(back.drop("shard")) == sorted_rows(clashing)
+    placed = {(r.doc_id, r.shard) for r in sharding.assign_shards(docs, 3).collect()}
+    assert {(r.doc_id, r.shard) for r in back.select("doc_id", "shard").collect()} == placed
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("shard", F.lit(1)), str(tmp_path / "other"), 3)
+    with pytest.raises(ValueError):
+        sharding.assign_shards(clashing, 3, keep=("size",))
 
 
 # 2
@@ -111,8 +120,6 @@ def test_quotations_match_sql(spark):
             own = sentence(draw, 4)
             said.append(own)
             rows.append((c, t, draw.choice(["user", "assistant"]), "\n".join([*quoted, own])))
-    import pyarrow as pa
-
     con = duckdb.connect()
     table = pa.table(list(map(list, zip(*rows))), names=["conv_id", "turn", "role", "text"])
     con.register("conversations", table)
@@ -299,6 +306,25 @@ def test_token_counts(docs):
     assert got == sorted((i, b, n, n > 100) for i, b, n in sizes)
 
 
+def test_token_counts_of_white_space_and_scripts(monkeypatch):
+    """Blank lines, tabs, runs of spaces, endings, special strings and other scripts, cut anywhere by small windows."""
+    from graphweft.llm import tokenizing
+
+    draw = random.Random(3)
+    alphabet = "ab AB'srtl 12 \n\t.,!?\u00e9\u6f22\u00bd\u00a0\u3000\u0301\u0663<|>"
+    texts = [None, "", " ", "\n\n  a", "don't  you'll 's ''s 'S a's's x'tis\n's", "one\n\n\ntwo \t three  ", "<|endoftext|> x<|endoftext|>y", "a\x00b \x1c c", "x " * 50, "\U0001f642\U0001f642 ok"]
+    texts += ["".join(draw.choice(alphabet) for _ in range(draw.randrange(1, 30))) for _ in range(800)]
+    byte, word = tokenizing.ByteCounter(tokenizer_path("byte_bpe_50k.json")), tokenizing.WordCoder(tokenizer_path("word_bpe_49k.json"))
+    sizes = [len(byte.model.library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    ids = [[*word.model.library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for window in (1 << 20, 40, 5):
+        monkeypatch.setattr(tokenizing, "WINDOW", window)
+        assert byte.count(pa.array(texts)).tolist() == sizes
+        flat, bounds = word.encode(pa.array(texts), 1)
+        assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == ids
+    assert byte.count(pa.array([], pa.string())).tolist() == [] and word.encode(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0, 0]
+
+
 # 8
 
 
@@ -347,9 +373,10 @@ def brute_hits(rows, items, window=10):
 ITEMS = [(1, "the of and to in that was for with from the of"), (2, "thorreou whst"), (10, "Sher, anth; atble the OF and to in that was for"), (3, None), (4, "..."), (5, "unheard"), (5, "unheard"), (None, "ouen ndre sher"), (7, "a")]
 
 
-@pytest.mark.parametrize("limit", [200_000, 12])
-def test_decontamination(spark, docs, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "automata"), [(200_000, 4), (12, 40), (12, 2)])
+def test_decontamination(spark, docs, monkeypatch, limit, automata):
     monkeypatch.setattr(decontamination, "AUTOMATON_WORDS", limit)
+    monkeypatch.setattr(decontamination, "SCAN_AUTOMATA", automata)
     extra = [(900, "x " + ITEMS[0][1] + " y " + ITEMS[2][1], "en", "s", 0), (901, ITEMS[0][1].upper().replace(" ", "--"), "en", "s", 0)]
     rows = awkward() + extra
     table = docs.select(*DOCS.replace(" long", "").replace(" string", "").split(", ")).union(spark.createDataFrame(extra, DOCS))
@@ -392,6 +419,18 @@ def test_cutting_short_items(spark, monkeypatch):
     check()
     monkeypatch.setattr(decontamination, "AUTOMATON_WORDS", 5)
     check()
+    monkeypatch.setattr(decontamination, "SCAN_AUTOMATA", 1)
+    check()
+
+
+def test_long_items_are_cut_to_overlapping_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "AUTOMATON_WORDS", 20)
+    draw = random.Random(8)
+    item = sentence(draw, 90)
+    words = item.split()
+    rows = [(i, " ".join(["x"] * 3 + words[i : i + 14] + ["y"]), "en", "s", 0) for i in range(70)]
+    found = decontamination.find_contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(4, item)], "item_id long, text string"))
+    assert sorted(tuple(r) for r in decontamination.contamination_digest(found).collect()) == brute_hits(rows, [(4, item)])
 
 
 # 10
