@@ -12,17 +12,20 @@ Plan:
 1. One scan hashes the shingles. They go to ranges of the hash as packed columns (about 6 bytes each),
    where their document frequencies are counted; only shingles of two documents or more come back,
    grouped as they were sent, as no other can be shared. A document with fewer shared shingles than a
-   partner must have in common is done with.
+   partner must have in common is done with. A task counts one range after the other; where the input
+   would need more ranges than RANGE_TASKS, a task takes several, sorted by the shuffle.
 2. Equal sets are one class, known by a 128-bit sum over the set; the rest is about one set a class.
-3. Signatures meet in a hash shuffle. Of a list of documents with a common signature only edges to its
-   smallest member are made, one per document; connected documents form a candidate group, so linked
-   ones are always in one group. No pair of documents becomes a row.
+3. Signatures meet in a hash shuffle. The home of a class is the smallest class with which it shares a
+   signature. Classes of one home are compared with each other, those of two homes only if they have a
+   signature that is in both; a signature in more than HOMES homes makes these one, so a list of n classes
+   gives at most n * HOMES rows. Linked documents share a signature, so no link is missed.
 4. Groups are verified in blocks of bounded size, block against block: exact intersection sizes come from
    a matrix product over shingles frequent in the block and from posting lists over the others. A task
-   returns a spanning forest of its links, at most one edge a document, and these give the components.
+   returns a spanning forest of its links, at most one edge a class, and these give the components.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows with the
-same doc_id are one document in the links; a null doc_id has no component; other columns are ignored.
+same doc_id are one document, linked with what any of its texts is linked with; a null doc_id has no
+component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,21 +37,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import pack, pack_many, pack_rising, unpack, unpack_many, unpack_rising
-from .common import SharedTables, byte_slices, input_bytes, shuffle_partitions, utf8_values
+from .common import SharedTables, byte_slices, input_bytes, lean, shuffle_partitions, utf8_values
 from .components import components
 from .shingles import mix, shingle_sets
 
 #: Bits of a shingle's hash that are sent; 44 leave a chance of 10^-8 that two documents seem to share one more.
 HASH_BITS = 44
 #: Shingles that one lot of a task sends, and input bytes for one range of hashes; both bound a task's memory.
-LOT_SHINGLES = 1_500_000
+LOT_SHINGLES = 1_000_000
 RANGE_BYTES = 8 << 20
+#: Tasks that the ranges are dealt to at most.
+RANGE_TASKS = 20_000
 #: Document frequency up to which a shingle is a signature by itself.
 RARE = 32
 CLASS_SIZE = 16
-#: Sets and bytes of one block of a candidate group; a task compares two blocks.
-BLOCK_SETS = 2048
-BLOCK_BYTES = 24 << 20
+#: Homes that a signature may have before they become one.
+HOMES = 8
+#: Sets and bytes of one block of a group; two blocks are compared at a time.
+BLOCK_SETS = 256
+BLOCK_BYTES = 8 << 20
 #: Sets of two blocks that must have a shingle for it to be a column of the matrix product, and columns at a time.
 DENSE = 24
 CHUNK = 4096
@@ -60,6 +67,7 @@ def least_common(size, percent: int):
 
 
 def _map_sets(words: int, ranges: int):
+    @lean
     def run(batches):
         task = TaskContext.get().partitionId()
         lot, held, number = [], 0, 0
@@ -102,40 +110,49 @@ def _map_sets(words: int, ranges: int):
     return run
 
 
-def _count_range(batches):
-    """Of one range's blobs, the shingles that two documents or more have, with their frequencies."""
-    lots, hashes, owners = [], [], []
+@lean
+def _count_ranges(batches):
+    """Of each range's blobs, the shingles that two documents or more have, with their frequencies."""
+    kinds = (pa.int64(), pa.int32(), pa.binary())
+    row = lambda *values: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds)], ["lot", "kind", "blob"])
+    at, lots, hashes, owners = None, [], [], []
+
+    def flush():
+        if not lots:
+            return
+        flat = np.concatenate(hashes)
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        sizes = np.diff(np.concatenate((heads, [len(ordered)])))
+        frequency = np.empty(len(flat), np.uint32)
+        frequency[order] = np.repeat(sizes, sizes)
+        del order, ordered
+        start = 0
+        for key, own, owner in zip(lots, hashes, owners):
+            part = frequency[start : start + len(own)]
+            start += len(own)
+            shared = part > 1
+            if shared.any():
+                yield row(key, 1, pack_many(pack_rising(own[shared]), owner[shared].tobytes(), pack(part[shared])))
+
     for batch in batches:
-        for key, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("lot", "kind", "blob"))):
+        for where, key, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("range", "lot", "kind", "blob"))):
+            if where != at:
+                yield from flush()
+                at, lots, hashes, owners = where, [], [], []
             if kind == 0:
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], ["lot", "kind", "blob"])
+                yield row(key, 0, blob)
                 continue
             first, second = unpack_many(blob, 2)
             lots.append(key)
             hashes.append(unpack_rising(first))
             owners.append(np.frombuffer(second, "<u2"))
-    if not lots:
-        return
-    flat = np.concatenate(hashes)
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    sizes = np.diff(np.concatenate((heads, [len(ordered)])))
-    frequency = np.empty(len(flat), np.uint32)
-    frequency[order] = np.repeat(sizes, sizes)
-    del order, ordered
-    at = 0
-    for key, own, owner in zip(lots, hashes, owners):
-        part = frequency[at : at + len(own)]
-        at += len(own)
-        shared = part > 1
-        if shared.any():
-            blob = pack_many(pack_rising(own[shared]), owner[shared].tobytes(), pack(part[shared]))
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], ["lot", "kind", "blob"])
+    yield from flush()
 
 
 def _gather_lot(percent: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         hashes, owners, frequencies, rows = [np.zeros(0, np.uint64)], [np.zeros(0, "<u2")], [np.zeros(0, np.uint64)], None
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
             if kind == 0:
@@ -159,10 +176,10 @@ def _gather_lot(percent: int):
             weights.append(pack(frequencies[part]) if alive else None)
         return pa.table(
             [
-                pa.array([int(x) if k else None for x, k in zip(own, known)], pa.int64()), pa.array(sizes), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
+                pa.array((key[0].as_py() << 16) + np.arange(len(own))), pa.array([int(x) if k else None for x, k in zip(own, known)], pa.int64()), pa.array(sizes), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
                 pa.array(tokens, pa.binary()), pa.array(weights, pa.binary()),
             ],
-            names=["doc_id", "n", "s1", "s2", "tokens", "weights"],
+            names=["row", "doc_id", "n", "s1", "s2", "tokens", "weights"],
         )
 
     return run
@@ -199,17 +216,17 @@ def signatures(size: int, tokens: np.ndarray, weights: np.ndarray, percent: int)
 
 
 def _sign(percent: int):
+    @lean
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                keys, reps, sizes = [], [], []
-                columns = (batch.column(c)[at : at + 512].to_pylist() for c in ("rep", "n", "tokens", "weights"))
-                for rep, n, tokens, weights in zip(*columns):
+                keys, owners = [], []
+                columns = (batch.column(c)[at : at + 512].to_pylist() for c in ("cls", "n", "tokens", "weights"))
+                for cls, n, tokens, weights in zip(*columns):
                     found = signatures(n, np.frombuffer(tokens, "<u8").astype(np.uint64), unpack(weights), percent)
                     keys.append(found)
-                    reps.append(np.full(len(found), rep, np.int64))
-                    sizes.append(np.full(len(found), n, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(sizes))], ["sig", "rep", "n"])
+                    owners.append(np.full(len(found), cls, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["sig", "cls"])
 
     return run
 
@@ -256,33 +273,62 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def linked_pairs(percent: int, left: list[tuple], right: list[tuple] | None) -> list[tuple[int, int]]:
+    """Edges between classes (cls, n, tokens) of two sides, or of one among themselves: a spanning forest of the links."""
+    sides = [left, left if right is None else right]
+    tokens = [[t for *_, t in side] for side in sides]
+    sizes = [np.array([n for _, n, _ in side], np.int64) for side in sides]
+    common = common_counts(*tokens).astype(np.int64)
+    linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+    ids = [cls for cls, *_ in left]
+    if right is None:
+        return [(ids[u], ids[v]) for u, v in forest(linked)]
+    ids += [cls for cls, *_ in right]
+    whole = np.zeros((len(ids), len(ids)), bool)
+    whole[: len(left), len(left) :], whole[len(left) :, : len(left)] = linked, linked.T
+    return [(ids[u], ids[v]) for u, v in forest(whole)]
+
+
 def _verify(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        first, second = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        reps, sizes, blocks = (np.asarray(table.column(c).combine_chunks(), dtype=np.int64) for c in ("rep", "n", "block"))
-        tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
-        order = np.lexsort((reps, blocks))
-        reps, sizes, tokens = reps[order], sizes[order], [tokens[i] for i in order]
-        cut = int(np.count_nonzero(blocks == first)) if first != second else len(reps)
-        a, b = slice(0, cut), slice(cut if first != second else 0, len(reps))
-        common = common_counts(tokens[a], tokens[b]).astype(np.int64)
-        linked = 100 * common >= percent * (sizes[a][:, None] + sizes[b][None, :] - common)
-        if first == second:
-            edges = forest(linked)
-        else:
-            whole = np.zeros((len(reps), len(reps)), bool)
-            whole[a, b], whole[b, a] = linked, linked.T
-            edges = forest(whole)
-        return pa.table([pa.array([int(reps[u]) for u, _ in edges], pa.int64()), pa.array([int(reps[v]) for _, v in edges], pa.int64())], names=["a", "b"])
+    """Of rows (x, y, bx, by, side, cls, n, tokens) sorted by the first four, the edges of each such block pair."""
+
+    @lean
+    def run(batches):
+        at, sides = None, ([], [])
+
+        def found():
+            if sides[0] and sides[1]:
+                return linked_pairs(percent, *sides)
+            # blocks of their own are not sent twice
+            return linked_pairs(percent, sides[0], None) if len(sides[0]) > 1 and at[0] == at[1] and at[2] == at[3] else []
+
+        def rows(edges):
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in edges], pa.int64()), pa.array([v for _, v in edges], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("x", "y", "bx", "by"))))
+            for i, (key, side, cls, n) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in ("side", "cls", "n")))):
+                if key != at:
+                    if at is not None:
+                        yield from rows(found())
+                    at, sides = key, ([], [])
+                sides[side].append((cls, n, np.frombuffer(batch.column("tokens")[i].as_buffer(), "<u8")))
+        if at is not None:
+            yield from rows(found())
 
     return run
 
 
 def _document_sets(docs: DataFrame, words: int, percent: int, tables: SharedTables) -> DataFrame:
-    ranges = max(shuffle_partitions(docs.sparkSession), input_bytes(docs) // RANGE_BYTES)
-    sent = docs.mapInArrow(_map_sets(words, int(ranges)), "range int, lot long, kind int, blob binary")
-    counted = sent.repartitionById(int(ranges), F.col("range")).drop("range").mapInArrow(_count_range, "lot long, kind int, blob binary")
-    gathered = counted.groupBy("lot").applyInArrow(_gather_lot(percent), "doc_id long, n long, s1 long, s2 long, tokens binary, weights binary")
+    ranges = int(max(shuffle_partitions(docs.sparkSession), input_bytes(docs) // RANGE_BYTES))
+    sent = docs.mapInArrow(_map_sets(words, ranges), "range int, lot long, kind int, blob binary")
+    tasks = min(ranges, RANGE_TASKS)
+    dealt = sent.repartitionById(tasks, F.floor(F.col("range") * tasks / ranges).cast("int"))
+    if tasks < ranges:
+        dealt = dealt.sortWithinPartitions("range")
+    counted = dealt.mapInArrow(_count_ranges, "lot long, kind int, blob binary")
+    gathered = counted.groupBy("lot").applyInArrow(_gather_lot(percent), "row long, doc_id long, n long, s1 long, s2 long, tokens binary, weights binary")
     return tables.save(gathered, "sets")
 
 
@@ -291,31 +337,70 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     tables = SharedTables(docs.sparkSession)
     sets = _document_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), words, percent, tables)
     key = ["s1", "s2", "n"]
-    classes = tables.save(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    alive = sets.where("tokens is not null").withColumnRenamed("doc_id", "rep").join(classes, [*key, "rep"]).dropDuplicates([*key, "rep"])
-    reps = tables.save(alive.select("rep", "n", "tokens", "weights"), "reps")
-    signed = reps.mapInArrow(_sign(percent), "sig long, rep long, n long")
-    listed = tables.save(signed, "signed")
-    several = listed.groupBy("sig").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("sig")
-    lists = tables.save(listed.join(several, "sig"), "lists")
-    labels = _link(lists, reps.select("rep", "n", "tokens"), percent, tables)
-    out = sets.select("doc_id", "n", "s1", "s2").join(classes, key, "left").join(labels, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
-
-
-def _link(lists: DataFrame, reps: DataFrame, percent: int, tables: SharedTables) -> DataFrame:
-    """(rep, label) of all representatives that link with another one."""
-    heads = lists.groupBy("sig").agg(F.min("rep").alias("a"))
-    stars = lists.join(heads, "sig").where("a <> rep").select("a", F.col("rep").alias("b"))
-    groups = tables.save(components(stars, tables, "candidates"), "groups").select(F.col("node").alias("rep"), F.col("label").alias("group"))
-    members = reps.join(groups, "rep")
-    shape = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("tokens")).alias("bytes"))
+    classes = tables.save(sets.where("n > 0").groupBy(*key).agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep")), "classes")
+    alive = sets.where("tokens is not null").join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
+    reps = tables.save(alive.select(F.col("row").alias("cls"), "n", "tokens", "weights"), "reps")
+    links = _links(reps, percent, tables)
+    repeated = tables.save(sets.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id"), "repeated")
+    several = not repeated.isEmpty()
+    if several:
+        # texts of one document link with each other
+        own = sets.where("n > 0").join(repeated, "doc_id").join(classes.drop("rep"), key).select("doc_id", "cls").distinct()
+        links = links.union(own.join(own.groupBy("doc_id").agg(F.min("cls").alias("a")), "doc_id").where("a <> cls").select("a", F.col("cls").alias("b")))
+    nodes = components(links, tables, "components").select(F.col("node").alias("cls"), "label").join(classes.select("cls", "rep"), "cls")
+    labels = tables.save(nodes.join(nodes.groupBy("label").agg(F.min("rep").alias("least")), "label").select("cls", "least"), "labels")
+    for name in ("reps", "links"):
+        tables.drop(name)
+    known = sets.select("doc_id", "n", "s1", "s2").join(classes, key, "left").join(labels, "cls", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id"))
+    out = known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    if not several:
+        return out
+    # a row without words goes with the others of its document
+    low = out.join(repeated, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("low"))
+    return out.join(low, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("low", "component_id").alias("component_id"))
+
+
+def _homes(lists: DataFrame, tables: SharedTables) -> DataFrame:
+    """(sig, cls, home) of classes in lists (sig, cls, head); no signature has more than HOMES homes."""
+    homes = tables.save(lists.groupBy("cls").agg(F.min("head").alias("home")), "homes")
+    placed = lists.select("sig", "cls").join(homes, "cls")
+    spread = placed.select("sig", "home").distinct()
+    wide = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("home").alias("a")).where(F.col("k") > HOMES)
+    merged = tables.save(spread.join(wide.select("sig", "a"), "sig").where("a <> home").select("a", F.col("home").alias("b")).distinct(), "merged")
+    if merged.isEmpty():
+        return placed
+    joined = components(merged, tables, "homes-merged").select(F.col("node").alias("home"), "label")
+    return placed.join(joined, "home", "left").select("sig", "cls", F.coalesce("label", "home").alias("home"))
+
+
+def _links(reps: DataFrame, percent: int, tables: SharedTables) -> DataFrame:
+    """(a, b): edges that connect all linked classes."""
+    signed = tables.save(reps.select("cls", "n", "tokens", "weights").mapInArrow(_sign(percent), "sig long, cls long"), "signed")
+    heads = signed.groupBy("sig").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").select("sig", "head")
+    lists = tables.save(signed.join(heads, "sig"), "lists")
+    placed = tables.save(_homes(lists, tables), "placed")
+    members = placed.select("cls", "home").distinct()
+    spread = placed.select("sig", "home").distinct()
+    several = spread.groupBy("sig").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("sig")
+    others = spread.join(several, "sig").select("sig", F.col("home").alias("other"))
+    across = placed.join(others, "sig").where("home <> other").select("cls", "home", "other").distinct()
+    sets = reps.select("cls", "n", "tokens")
+    shape = members.join(sets.select("cls", F.octet_length("tokens").alias("bytes")), "cls").groupBy("home").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = members.join(shape.select("group", blocks.alias("blocks")), "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = dealt.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "tokens")
-    found = keyed.groupBy("group", "x", "y").applyInArrow(_verify(percent), "a long, b long")
-    return components(tables.save(found, "links"), tables, "components").select(F.col("node").alias("rep"), "label")
+    shape = tables.save(shape.select("home", blocks.alias("blocks"), (F.col("size") > 1).alias("several")), "shape")
+    pairs = members.join(shape.where("several").select("home"), "home").select("cls", "home", F.col("home").alias("other")).union(across)
+    # a class goes to every block of the other side
+    far = shape.select(F.col("home").alias("other"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("there"))
+    spots = pairs.join(shape.select("home", "blocks"), "home").withColumn("here", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(far, "other")
+    swap = (F.col("home") > F.col("other")) | ((F.col("home") == F.col("other")) & (F.col("here") > F.col("there")))
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    keyed = spots.select(pick("home", "other").alias("x"), pick("other", "home").alias("y"), pick("here", "there").alias("bx"), pick("there", "here").alias("by"), swap.cast("int").alias("side"), "cls").join(sets, "cls")
+    dealt = keyed.repartition("x", "y", "bx", "by").sortWithinPartitions("x", "y", "bx", "by")
+    links = tables.save(dealt.select("x", "y", "bx", "by", "side", "cls", "n", "tokens").mapInArrow(_verify(percent), "a long, b long"), "links")
+    for name in ("signed", "lists", "homes", "merged", "placed", "shape"):
+        tables.drop(name)
+    return links
 
 
 #: Ids that may be broadcast to filter the documents; more are joined by a shuffle.
@@ -325,13 +410,22 @@ BROADCAST_IDS = 2_000_000
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, without near copies: the row with the smallest id of each component stays.
 
-    Rows with a null id stay; of rows with the same id and text one stays.
+    Rows with a null id stay. Where an id has several rows, rows are compared instead of ids: of those that
+    links connect, one with the smallest id stays, so no text goes without a near copy that is kept.
     """
-    found = jaccard_components(docs, words, percent, id_col, text_col)
-    gone = SharedTables(docs.sparkSession).save(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    tables = SharedTables(docs.sparkSession)
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    if ids.where("k > 1").isEmpty():
+        found = jaccard_components(docs, words, percent, id_col, text_col)
+        key, rows = id_col, docs
+        gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
+    else:
+        key, rows = "__row", tables.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        named = rows.where(F.col(id_col).isNotNull())
+        found = jaccard_components(named, words, percent, "__row", text_col).join(named.select(F.col("__row").alias("doc_id"), F.col(id_col).alias("id")), "doc_id")
+        first = found.groupBy("component_id").agg(F.min(F.struct("id", "doc_id"))["doc_id"].alias("kept"))
+        gone = found.join(first, "component_id").where("doc_id <> kept").select(F.col("doc_id").alias("__gone"))
+    gone = tables.save(gone.distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return rows
-    return rows.where(F.col(id_col).isNull()).unionByName(rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]))
+    kept = rows.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("__gone"), "left_anti")
+    return kept.select(*docs.columns)

@@ -456,10 +456,12 @@ def brute_components(rows, words, percent):
     return sorted((i, len(sets[i]), find(i)) for i, *_ in rows)
 
 
-@pytest.mark.parametrize(("words", "percent", "rare", "block"), [(4, 85, 32, 2048), (5, 80, 2, 5), (2, 60, 3, 2048)])
-def test_jaccard(docs, monkeypatch, words, percent, rare, block):
+@pytest.mark.parametrize(("words", "percent", "rare", "block", "homes", "tasks"), [(4, 85, 32, 2048, 8, 20_000), (5, 80, 2, 5, 1, 20_000), (2, 60, 3, 3, 8, 3)])
+def test_jaccard(docs, monkeypatch, words, percent, rare, block, homes, tasks):
     monkeypatch.setattr(jaccard_join, "RARE", rare)
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "HOMES", homes)
+    monkeypatch.setattr(jaccard_join, "RANGE_TASKS", tasks)
     got = jaccard_join.jaccard_components(docs, words, percent)
     assert sorted(tuple(r) for r in got.collect()) == brute_components(awkward(), words, percent)
 
@@ -479,6 +481,38 @@ def test_jaccard_signatures_never_miss():
         assert len(np.intersect1d(*found)), (size, percent)
 
 
+def test_repeated_ids(spark):
+    """An id with several texts is one document; no text is lost without a copy that stays."""
+    draw = random.Random(11)
+    x, y, z = (sentence(draw, 60) for _ in range(3))
+    rows = [(3, y, "en", "s", 0), (5, x, "en", "s", 0), (5, y, "en", "s", 0), (7, x, "en", "s", 0), (9, z, "en", "s", 0), (9, None, "en", "s", 0), (7, "", "en", "s", 0), (None, x, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(2)
+    n = len({tuple(x.split()[k : k + 4]) for k in range(57)})
+    got = sorted_rows(jaccard_join.jaccard_components(docs, 4, 85).select("doc_id", "component_id", (F.col("n_shingles") == n).alias("is_x")))
+    assert [r[:2] for r in got] == [(None, None), (3, 3), (5, 3), (5, 3), (7, 3), (7, 3), (9, 9), (9, 9)]
+    kept = sorted_rows(jaccard_join.keep_one_of_each(docs, 5, 80).select("doc_id", "text"))
+    assert kept == sorted([(None, x), (3, y), (5, x), (7, ""), (9, None), (9, z)], key=lambda r: tuple((v is not None, v) for v in r))
+
+
+def test_random_families(spark, monkeypatch):
+    """Families of near copies that overlap by shared passages, with lists wider than the homes allowed."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard_join, "HOMES", 2)
+    monkeypatch.setattr(jaccard_join, "RARE", 4)
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    passages = [[draw.choice(words) for _ in range(40)] for _ in range(6)]
+    rows = []
+    for i in range(160):
+        text = [w for p in draw.sample(passages, 2) for w in p] + [draw.choice(words) for _ in range(draw.choice([0, 4, 12, 30]))]
+        for _ in range(draw.choice([0, 1, 2, 6])):
+            text[draw.randrange(len(text))] = draw.choice(words)
+        rows.append((i, " ".join(text), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    for size, percent in ((3, 70), (4, 85)):
+        assert sorted(tuple(r) for r in jaccard_join.jaccard_components(docs, size, percent).collect()) == brute_components(rows, size, percent)
+
+
 def test_keep_one(docs, none):
     kept = jaccard_join.keep_one_of_each(docs, 5, 80)
     expected = {c for _, _, c in brute_components(awkward(), 5, 80)}
