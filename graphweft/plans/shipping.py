@@ -11,9 +11,16 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch, unless the session has set its own; wide rows would make batches of 64 MB.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
     """Once per application: Spark's file server hands the zipped sources to every Python worker."""
     context = spark.sparkContext
+    if context.getConf().get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
