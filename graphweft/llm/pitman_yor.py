@@ -1,27 +1,34 @@
-"""Language-model scores by a hierarchical Pitman-Yor model over word pairs.
-
-Every word seen before another is a restaurant whose customers are the words that follow it; the first
-customer at each of its tables is a customer of the one root restaurant that all contexts share as
-parent, whose own parent is uniform over the vocabulary and one unknown word. Seatings are sampled by
-Gibbs sweeps: a sweep seats the customers of every dish in every restaurant anew, given the tables of
-all restaurants after the sweep before (all restaurants at once, as no task may hold the whole model).
-Beyond 16 customers of a dish they come in groups that double, with one binomial draw each at the chance
-in the group's middle. Scores use
-the predictive probabilities averaged over the sweeps after the first.
+"""Language-model scores by a hierarchical Pitman-Yor model of three words.
+
+Every two words seen before another are a restaurant whose customers are the words that follow them. Its
+parent is the restaurant of the nearer word alone, which all contexts that end in this word share: the
+first customer at each table is a customer there too. Those restaurants share the root, whose parent is
+uniform over the vocabulary and one unknown word. Seatings are sampled by Gibbs sweeps: a sweep takes all
+customers of a dish away and seats them one after another, each at a new table with its conditional chance
+given the tables of all restaurants after the sweep before. Restaurants are seated at once, as no task may
+hold the whole model; beyond 64 customers of a dish they come in groups of a quarter of those seated, with
+one binomial draw each at the chance in the group's middle. Scores use the predictive probabilities
+averaged over the sweeps after the burn-in; each state's probabilities sum to one.
 
 Plan:
-1. One scan hashes the words and writes lots of a million tokens, with a dictionary each, as files in
-   the shared folder. Later steps read a lot's file, so texts and tokens are never shuffled.
-2. Lots send the counts of their distinct words and word pairs to ranges of the hash, as packed columns;
-   the totals come back in the order they were sent, without the hashes. A pair's random numbers follow
-   from its hash, so every lot that has the pair seats it alike, and one lot, its owner, adds it to the
-   sums. After each sweep only the sums by word go round: tables of a context, customers of the root.
-3. Each lot scores its documents.
-A frequent word or pair is one entry a lot, whatever its count, and ranges of hashes get equal shares.
+1. One scan hashes the words and writes lots of about a million tokens, with a dictionary each, as files
+   in the shared folder. Later steps read a lot's file, so texts and tokens are never shuffled. A longer
+   document is cut to parts, which keep the two words before them.
+2. Lots send the counts of their distinct words, word pairs and triples to ranges of the hash, as packed
+   columns; the totals come back in the order they were sent, without the hashes. The random numbers of a
+   dish follow from its hash, so every lot that has it seats it alike, and one lot, its owner, adds it to
+   the sums. In each sweep two kinds of sums go round: by pair, the customers that triples send to their
+   parent and the tables of a context, and by word, the same one level up.
+3. Each lot scores its documents; parts of one document are added.
+A frequent word or pair is one entry a lot, whatever its count, and ranges of hashes get equal shares. A
+task works on one range after the other; where the input would need more ranges than RANGE_TASKS, a task
+takes several, sorted by the shuffle. An entry is sent with at most one header, so what is sent stays in
+proportion to the distinct entries of the lots.
 
 Defined results: a null or empty text is the end alone; words of other documents than the training ones
 are unknown; without training documents every token has the uniform probability of one unknown word;
-repeated rows count each time; other columns are ignored. A null doc_id is a training document.
+repeated rows count each time; other columns are ignored. A null doc_id is a training document. Hashes of
+pairs and triples have 44 bits, so two of 10^9 share one with a chance of 10^-4 each; they then count as one.
 """
 
 from __future__ import annotations
@@ -35,16 +42,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import pack, pack_many, pack_rising, unpack, unpack_many, unpack_rising
-from .common import SharedTables, byte_slices, input_bytes, shuffle_partitions, utf8_values
+from .common import SharedTables, byte_slices, input_bytes, lean, shuffle_partitions, utf8_values
 from .shingles import mix, word_hashes
 
 LOT_TOKENS = 1_000_000
 RANGE_BYTES = 8 << 20
+#: Tasks that the ranges are dealt to at most.
+RANGE_TASKS = 20_000
 _END, _BEGIN = (mix(np.array([x], np.uint64)) for x in (0xE4D0, 0xBE61))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MESSAGE = "range int, lot long, kind int, blob binary"
 _REPLY = "lot long, range int, kind int, blob binary"
-WORDS, PAIRS, SUMS, TOTALS = 1, 2, 3, 9
+WORDS, PAIRS, TRIPLES, TOTALS = 1, 2, 3, 9
+#: Kinds of a sweep's sums are these and the sweep's number.
+BY_PAIR, BY_WORD = 1000, 2000
+#: Customers of a dish that are seated one by one; a group after them is this share of those seated.
+ONE_BY_ONE, GROUP = 64, 4
 
 
 def _rows(rows: list[tuple], names: list[str]):
@@ -60,20 +73,21 @@ def uniform(keys: np.ndarray, draw: int) -> np.ndarray:
 
 
 def _binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, draw: int) -> np.ndarray:
-    """Poisson numbers by inversion for small means, rounded normal ones for large."""
+    """Binomial numbers: by inversion where the mean is below 8, rounded normal ones beyond."""
     mean = n * p
     out = np.zeros(len(n))
     small = mean < 8
-    chance = np.exp(-mean[small])
+    many, odds = n[small], p[small] / np.maximum(1 - p[small], 1e-300)
+    chance = np.exp(many * np.log1p(-np.minimum(p[small], 1 - 1e-16)))
     left = uniform(keys[small], draw) - chance
     drawn = np.zeros(len(left))
-    for k in range(1, 40):
-        over = left >= 0
+    for k in range(1, 60):
+        over = (left >= 0) & (drawn < many)
         if not over.any():
             break
         drawn += over
-        chance = chance * mean[small] / k
-        left = left - chance
+        chance = chance * odds * (many - k + 1) / k
+        left = left - np.maximum(chance, 0)
     out[small] = drawn
     big = ~small
     normal = np.sqrt(-2 * np.log1p(-uniform(keys[big], draw))) * np.cos(2 * np.pi * uniform(keys[big], draw + 1))
@@ -85,76 +99,115 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, keys: np.ndar
     """Tables of dishes with these customers; ``pull`` is (strength + discount * tables) * the parent's probability."""
     tables = (customers > 0).astype(np.float64)
     alive = np.flatnonzero(customers > 1)
-    for i in range(1, 16):
+    for i in range(1, ONE_BY_ONE):
         if not len(alive):
             return tables
-        chance = pull[alive] / (i - discount * tables[alive] + pull[alive])
-        tables[alive] += uniform(keys[alive], sweep * 256 + i) < chance
+        own = pull[alive]
+        tables[alive] += uniform(keys[alive], sweep * 1024 + i) < own / (i - discount * tables[alive] + own)
         alive = alive[customers[alive] > i + 1]
-    done, draw = 16, 16
+    done, draw = ONE_BY_ONE, ONE_BY_ONE
     while len(alive):
-        n = np.minimum(customers[alive], 2 * done) - done
-        first = pull[alive] / (done - discount * tables[alive] + pull[alive])
+        own = pull[alive]
+        n = np.minimum(customers[alive], done + done // GROUP) - done
+        first = own / (done - discount * tables[alive] + own)
         # the chance in the middle of the group, by when it has about half of its new tables
-        chance = pull[alive] / (done + n / 2 - discount * (tables[alive] + n * first / 3) + pull[alive])
-        tables[alive] += _binomial(n, np.clip(chance, 0, 1), keys[alive], sweep * 256 + draw)
-        done, draw = 2 * done, draw + 2
+        chance = own / (done + n / 2 - discount * (tables[alive] + n * first / 2) + own)
+        tables[alive] += _binomial(n, np.clip(chance, 0, 1), keys[alive], sweep * 1024 + draw)
+        done, draw = done + done // GROUP, draw + 2
         alive = alive[customers[alive] > done]
     return tables
 
 
+def _group(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of small numbers: (first, second, which one each entry is)."""
+    n = len(first)
+    low, spot = (max(1, int(x).bit_length()) for x in (second.max(initial=0), n))
+    if int(first.max(initial=0)).bit_length() + low + spot > 64:
+        keys, place = np.unique(first.astype(np.int64) << low | second, return_inverse=True)
+        return keys >> low, keys & ((1 << low) - 1), place
+    # key and place in one number: plain sorting is much faster than sorting with places
+    whole = (first.astype(np.uint64) << np.uint64(low) | second.astype(np.uint64)) << np.uint64(spot) | np.arange(n, dtype=np.uint64)
+    whole.sort()
+    keys, at = whole >> np.uint64(spot), (whole & np.uint64((1 << spot) - 1)).astype(np.int64)
+    heads = np.ones(n, bool)
+    heads[1:] = keys[1:] != keys[:-1]
+    place = np.empty(n, np.int64)
+    place[at] = np.cumsum(heads) - 1
+    keys = keys[heads]
+    return (keys >> np.uint64(low)).astype(np.int64), (keys & np.uint64((1 << low) - 1)).astype(np.int64), place
+
+
 class Lot:
-    """A million tokens of whole documents, the words as codes of the lot's own dictionary."""
+    """About a million tokens of documents or their parts, the words as codes of the lot's own dictionary.
+
+    Each part is stored with the two words before it, which are no tokens of it.
+    """
 
     def __init__(self, blob: bytes):
-        known, own, held, sizes, dictionary, codes = unpack_many(blob, 6)
+        known, own, rows, held, sizes, dictionary, codes = unpack_many(blob, 7)
         self.doc_ids = [int(x) if k else None for x, k in zip(np.frombuffer(own, "<i8"), np.frombuffer(known, np.uint8))]
+        self.rows = np.frombuffer(rows, "<i8")
         self.held = np.frombuffer(held, np.uint8).astype(bool)
         self.sizes = unpack(sizes).astype(np.int64)
         self.words = np.frombuffer(dictionary, "<u8").astype(np.uint64)
-        self.codes = unpack(codes).astype(np.int64)
+        every = unpack(codes).astype(np.int64)
+        stored = self.sizes + 2
+        starts = np.cumsum(stored) - stored
+        token = np.ones(len(every), bool)
+        token[starts] = token[starts + 1] = False
+        self.spots = np.flatnonzero(token)
+        self.every, self.seconds = every, starts + 1
+        self.codes = every[self.spots]
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(~self.held, self.sizes)
         self.order = np.argsort(self.words)
         self.end, self.begin = (int(np.flatnonzero(self.words == x)[0]) for x in (_END, _BEGIN))
 
     @staticmethod
-    def write(docs: list[tuple[int | None, bool]], hashes: list[np.ndarray]) -> bytes:
-        flat = np.concatenate([x for h in hashes for x in (h, _END)])
-        words, codes, counts = np.unique(np.concatenate((flat, _BEGIN)), return_inverse=True, return_counts=True)
+    def write(parts: list[tuple]) -> bytes:
+        """``parts``: (doc_id, row, held, hashes with two before them)."""
+        flat = np.concatenate([*(p[3] for p in parts), _BEGIN, _END])
+        words, codes, counts = np.unique(flat, return_inverse=True, return_counts=True)
         by_count = np.argsort(-counts, kind="stable")
         rank = np.empty(len(words), np.int64)
         rank[by_count] = np.arange(len(words))
         return pack_many(
-            np.array([i is not None for i, _ in docs], np.uint8).tobytes(), np.array([i or 0 for i, _ in docs], "<i8").tobytes(), np.array([h for _, h in docs], np.uint8).tobytes(),
-            pack(np.array([len(h) + 1 for h in hashes])), words[by_count].astype("<u8").tobytes(), pack(rank[codes[:-1]]),
+            np.array([p[0] is not None for p in parts], np.uint8).tobytes(), np.array([p[0] or 0 for p in parts], "<i8").tobytes(), np.array([p[1] for p in parts], "<i8").tobytes(),
+            np.array([p[2] for p in parts], np.uint8).tobytes(), pack(np.array([len(p[3]) - 2 for p in parts])), words[by_count].astype("<u8").tobytes(), pack(rank[codes[:-2]]),
         )
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.codes[self.train], minlength=len(self.words))
 
-    def pairs(self, of_tokens: bool = False):
-        """Distinct (context, word) pairs by rising hash: hashes, contexts, words, training counts; with ``of_tokens`` also each token's pair."""
-        before = np.empty_like(self.codes)
-        before[1:] = self.codes[:-1]
-        before[self.starts] = self.begin
-        keys, owner = np.unique(before * len(self.words) + self.codes, return_inverse=True)
-        contexts, words = keys // len(self.words), keys % len(self.words)
-        hashes = mix(self.words[contexts] * _STEP + self.words[words]) >> np.uint64(20)
-        order = np.argsort(hashes, kind="stable")
-        counts = np.bincount(owner, weights=self.train, minlength=len(keys)).astype(np.int64)
-        out = hashes[order], contexts[order], words[order], counts[order]
-        if of_tokens:
-            place = np.empty(len(keys), np.int64)
-            place[order] = np.arange(len(keys))
-            return *out, place[owner]
-        return out
-
-    def by_word(self, rising: np.ndarray) -> np.ndarray:
-        """Values in the order of rising word hashes, by code."""
-        out = np.empty(len(rising), rising.dtype)
-        out[self.order] = rising
-        return out
+    def group_pairs(self) -> None:
+        """Distinct pairs of a word and the one before it, also those before a part; ``pair_order`` is by rising hash."""
+        at = np.concatenate((self.seconds, self.spots))
+        self.pair_first, self.pair_second, place = _group(self.every[at - 1], self.every[at])
+        self.pair_at = np.empty(len(self.every), np.int64)
+        self.pair_at[at] = place
+        own = place[len(self.seconds) :]
+        self.pair_counts = np.bincount(own[self.train], minlength=len(self.pair_first))
+        self.pair_hashes = mix(self.words[self.pair_first] * _STEP + self.words[self.pair_second]) >> np.uint64(20)
+        self.pair_order = np.argsort(self.pair_hashes, kind="stable")
+
+    def group_triples(self) -> None:
+        """Distinct triples: the pair before (``context``), the pair of the nearer word and the last (``parent``)."""
+        before = self.pair_at[self.spots - 1]
+        self.context, last, self.triple_of = _group(before, self.codes)
+        some = np.empty(len(self.context), np.int64)
+        some[self.triple_of] = self.pair_at[self.spots]
+        self.parent = some
+        self.triple_counts = np.bincount(self.triple_of[self.train], minlength=len(self.context))
+        first, second = self.words[self.pair_first[self.context]], self.words[self.pair_second[self.context]]
+        self.triple_hashes = mix(mix(first * _STEP + second) + self.words[last] * _STEP) >> np.uint64(20)
+        self.triple_order = np.argsort(self.triple_hashes, kind="stable")
+
+
+def _scattered(rising: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Values in the order of rising hashes, put back to their places."""
+    out = np.empty(len(rising), rising.dtype)
+    out[order] = rising
+    return out
 
 
 def _cuts(hashes: np.ndarray, bits: int, ranges: int):
@@ -163,13 +216,36 @@ def _cuts(hashes: np.ndarray, bits: int, ranges: int):
     return [(k, slice(bounds[k], bounds[k + 1])) for k in np.flatnonzero(np.diff(bounds)).tolist()]
 
 
+def _by_range(batches):
+    """(range, its messages) of a task's rows, one range after the other."""
+    at, messages = None, []
+    for batch in batches:
+        for where, lot, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("range", "lot", "kind", "blob"))):
+            if where != at:
+                if messages:
+                    yield at, messages
+                at, messages = where, []
+            messages.append((lot, kind, blob))
+    if messages:
+        yield at, messages
+
+
+class State:
+    """What is known of a lot's words and pairs after a sweep."""
+
+    def __init__(self, chance, context_tables, context_customers, customers, tables):
+        #: By word: root probability, and tables and customers of the restaurant after it.
+        self.chance, self.context_tables, self.context_customers = chance, context_tables, context_customers
+        #: By pair: customers of the word in the restaurant of the one before it, and tables of the restaurant after both.
+        self.customers, self.tables = customers, tables
+
+
 class Model:
-    """Parameters and the steps that run on executors."""
+    """Parameters and the steps that run on executors. Discounts and strengths: of the root, of one word, of two."""
 
-    def __init__(self, folder: str, ranges: int, discount: float, strength: float, root_discount: float, root_strength: float):
+    def __init__(self, folder: str, ranges: int, discounts: tuple[float, float, float], strengths: tuple[float, float, float]):
         self.folder, self.ranges = folder, ranges
-        self.discount, self.strength = discount, strength
-        self.root_discount, self.root_strength = root_discount, root_strength
+        self.discounts, self.strengths = discounts, strengths
 
     # lots -------------------------------------------------------------
 
@@ -178,28 +254,32 @@ class Model:
 
         files, root = fs.FileSystem.from_uri(self.folder)
         files.create_dir(root, recursive=True)
-        task, number, docs, hashes, n = TaskContext.get().partitionId(), 0, [], [], 0
+        task, number, parts, n, row = TaskContext.get().partitionId(), 0, [], 0, 0
+        most = LOT_TOKENS // 2
 
         def flush():
-            nonlocal number, docs, hashes, n
+            nonlocal number, parts, n
             # the manifest names the file that counts, should a task run twice
             path = f"{root}/lot-{task}-{number}-{uuid.uuid4().hex}"
             with files.open_output_stream(path) as out:
-                out.write(Lot.write(docs, hashes))
-            row = pa.RecordBatch.from_arrays([pa.array([(task << 24) | number], pa.int64()), pa.array([path])], ["lot", "path"])
-            number, docs, hashes, n = number + 1, [], [], 0
-            return row
+                out.write(Lot.write(parts))
+            batch = pa.RecordBatch.from_arrays([pa.array([(task << 24) | number], pa.int64()), pa.array([path])], ["lot", "path"])
+            number, parts, n = number + 1, [], 0
+            return batch
 
         for whole in batches:
             for batch in byte_slices(whole, "text", 1 << 20):
                 flat, bounds = word_hashes(utf8_values(batch.column("text")))
-                for i, doc in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist())):
-                    docs.append(doc)
-                    hashes.append(flat[bounds[i] : bounds[i + 1]])
-                    n += len(hashes[-1]) + 1
-                    if n >= LOT_TOKENS:
-                        yield flush()
-        if docs:
+                for i, (doc_id, held) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist())):
+                    hashes = np.concatenate((_BEGIN, _BEGIN, flat[bounds[i] : bounds[i + 1]], _END))
+                    for at in range(0, len(hashes) - 2, most):
+                        part = hashes[at : at + most + 2]
+                        parts.append((doc_id, (task << 36) + row, held, part))
+                        n += len(part) - 2
+                        if n >= LOT_TOKENS - most:
+                            yield flush()
+                    row += 1
+        if parts:
             yield flush()
 
     def _lot(self, path: str) -> Lot:
@@ -209,14 +289,21 @@ class Model:
         with files.open_input_stream(path) as stream:
             return Lot(stream.read())
 
+    def _send(self, key: int, kind: int, hashes: np.ndarray, bits: int, *values: np.ndarray) -> list[tuple]:
+        return [(k, key, kind, pack_many(pack_rising(hashes[c]), *(pack(v[c]) for v in values))) for k, c in _cuts(hashes, bits, self.ranges)]
+
     def send_counts(self, batches):
         for batch in batches:
             for key, path in zip(batch.column("lot").to_pylist(), batch.column("path").to_pylist()):
                 lot = self._lot(path)
-                words, counts = lot.words[lot.order], lot.word_counts()[lot.order]
-                rows = [(k, key, WORDS, pack_many(pack_rising(words[c]), pack(counts[c]))) for k, c in _cuts(words, 64, self.ranges)]
-                hashes, _, _, counts = lot.pairs()
-                rows += [(k, key, PAIRS, pack_many(pack_rising(hashes[c]), pack(counts[c]))) for k, c in _cuts(hashes, 44, self.ranges)]
+                lot.group_pairs()
+                lot.group_triples()
+                o = lot.order
+                rows = self._send(key, WORDS, lot.words[o], 64, lot.word_counts()[o])
+                o = lot.pair_order
+                rows += self._send(key, PAIRS, lot.pair_hashes[o], 44, lot.pair_counts[o])
+                o = lot.triple_order
+                rows += self._send(key, TRIPLES, lot.triple_hashes[o], 44, lot.triple_counts[o])
                 yield from _rows(rows, ["range", "lot", "kind", "blob"])
 
     @staticmethod
@@ -226,123 +313,178 @@ class Model:
             out.setdefault(kind, []).append(blob)
         return out
 
-    def _counted(self, lot: Lot, replies: dict):
-        words = lot.by_word(np.concatenate([unpack(b) for b in replies[WORDS]]).astype(np.int64))
-        coded = np.concatenate([unpack(b) for b in replies[PAIRS]]).astype(np.int64)
-        return words, coded >> 1, (coded & 1).astype(bool)
-
-    def _state(self, lot: Lot, blobs: list[bytes], sums: dict) -> tuple[np.ndarray, np.ndarray]:
-        """(root probability, tables of the context) by code after a sweep."""
-        customers, tables, context = (np.concatenate(x) for x in zip(*([unpack(p) for p in unpack_many(b, 3)] for b in blobs)))
-        whole = self.root_strength + sums["customers"]
-        new = (self.root_strength + self.root_discount * sums["tables"]) / whole / (sums["vocabulary"] + 1)
-        chance = (customers.astype(np.float64) - self.root_discount * tables) / whole + new
-        return lot.by_word(np.maximum(chance, new)), lot.by_word(context.astype(np.float64))
+    @staticmethod
+    def _columns(blobs: list[bytes], n: int, order: np.ndarray) -> list[np.ndarray]:
+        parts = zip(*([unpack(p) for p in unpack_many(b, n)] for b in blobs))
+        return [_scattered(np.concatenate(x).astype(np.float64), order) for x in parts]
 
-    def _seated(self, hashes, contexts, words, counts, state, sweep: int) -> np.ndarray:
+    @staticmethod
+    def _totals(blobs: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total, whether this lot owns it)."""
+        coded = _scattered(np.concatenate([unpack(b) for b in blobs]).astype(np.int64), order)
+        return coded >> 1, (coded & 1).astype(bool)
+
+    def _state(self, lot: Lot, replies: dict, sweep: int, sums: dict) -> State:
+        customers, tables, after, served = self._columns(replies[BY_WORD + sweep], 4, lot.order)
+        whole = self.strengths[0] + sums["customers"]
+        new = (self.strengths[0] + self.discounts[0] * sums["tables"]) / whole / (sums["vocabulary"] + 1)
+        chance = np.maximum((customers - self.discounts[0] * tables) / whole + new, new)
+        return State(chance, after, served, *self._columns(replies[BY_PAIR + sweep], 2, lot.pair_order))
+
+    def _pair_tables(self, lot: Lot, customers: np.ndarray, before: State | None, sweep: int) -> np.ndarray:
+        """Tables of each pair's last word in the restaurant of the first."""
+        if before is None:
+            return (customers > 0).astype(np.float64)
+        pull = (self.strengths[1] + self.discounts[1] * before.context_tables[lot.pair_first]) * before.chance[lot.pair_second]
+        return seat(customers, pull, self.discounts[1], lot.pair_hashes, sweep)
+
+    def _pair_chance(self, lot: Lot, state: State, before: State | None, sweep: int) -> np.ndarray:
+        """Probability of each pair's last word after the first."""
+        seated = self._pair_tables(lot, state.customers, before, sweep)
+        root, served = state.chance[lot.pair_second], state.context_customers[lot.pair_first]
+        own = np.maximum(state.customers - self.discounts[1] * seated, 0) + (self.strengths[1] + self.discounts[1] * state.context_tables[lot.pair_first]) * root
+        return np.where(served > 0, own / (self.strengths[1] + served), root)
+
+    def _triple_tables(self, lot: Lot, counts: np.ndarray, state: State | None, chance: np.ndarray | None, sweep: int) -> np.ndarray:
         if state is None:
             return (counts > 0).astype(np.float64)
-        chance, tables = state
-        return seat(counts, (self.strength + self.discount * tables[contexts]) * chance[words], self.discount, hashes, sweep)
+        pull = (self.strengths[2] + self.discounts[2] * state.tables[lot.context]) * chance[lot.parent]
+        return seat(counts, pull, self.discounts[2], lot.triple_hashes, sweep)
+
+    def send_pair_sums(self, sweep: int, sums: list[dict]):
+        """First half of a sweep on one lot: seats its triples and sends the sums by pair of those it owns."""
+
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            lot, replies = self._lot(table.column("path")[0].as_py()), self._replies(table)
+            lot.group_pairs()
+            lot.group_triples()
+            counts, owned = self._totals(replies[TRIPLES], lot.triple_order)
+            state = chance = None
+            if sweep:
+                before = self._state(lot, replies, sweep - 2, sums[sweep - 2]) if sweep > 1 else None
+                state = self._state(lot, replies, sweep - 1, sums[sweep - 1])
+                chance = self._pair_chance(lot, state, before, sweep - 1)
+            tables = self._triple_tables(lot, counts * owned, state, chance, sweep)
+            customers = np.bincount(lot.parent, weights=tables, minlength=len(lot.pair_first)).astype(np.int64)
+            of_context = np.bincount(lot.context, weights=tables, minlength=len(lot.pair_first)).astype(np.int64)
+            o = lot.pair_order
+            rows = self._send(key[0].as_py(), BY_PAIR + sweep, lot.pair_hashes[o], 44, customers[o], of_context[o])
+            return pa.Table.from_batches(list(_rows(rows, ["range", "lot", "kind", "blob"])))
+
+        return run
 
-    def send_sums(self, sweep: int, sums: dict | None):
-        """A sweep on one lot: seats its pairs and sends the sums of those it owns."""
+    def send_word_sums(self, sweep: int, sums: list[dict]):
+        """Second half: seats the pairs and sends the sums by word of those it owns."""
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
             lot, replies = self._lot(table.column("path")[0].as_py()), self._replies(table)
-            _, counts, owned = self._counted(lot, replies)
-            hashes, contexts, words, _ = lot.pairs()
-            state = None if sums is None else self._state(lot, replies[SUMS + sweep - 1], sums)
-            tables = self._seated(hashes, contexts, words, counts, state, sweep) * owned
-            n = len(lot.words)
-            by_context = np.bincount(contexts, weights=tables, minlength=n).astype(np.int64)[lot.order]
-            by_word = np.bincount(words, weights=tables, minlength=n).astype(np.int64)[lot.order]
-            keys = lot.words[lot.order]
-            rows = [(k, key[0].as_py(), SUMS + sweep, pack_many(pack_rising(keys[c]), pack(by_context[c]), pack(by_word[c]))) for k, c in _cuts(keys, 64, self.ranges)]
+            lot.group_pairs()
+            _, owned = self._totals(replies[PAIRS], lot.pair_order)
+            customers, _ = self._columns(replies[BY_PAIR + sweep], 2, lot.pair_order)
+            customers = customers * owned
+            before = self._state(lot, replies, sweep - 1, sums[sweep - 1]) if sweep else None
+            tables = self._pair_tables(lot, customers, before, sweep)
+            n, o = len(lot.words), lot.order
+            add = lambda codes, x: np.bincount(codes, weights=x, minlength=n).astype(np.int64)[o]
+            values = add(lot.pair_second, tables), add(lot.pair_first, tables), add(lot.pair_first, customers)
+            rows = self._send(key[0].as_py(), BY_WORD + sweep, lot.words[o], 64, *values)
             return pa.Table.from_batches(list(_rows(rows, ["range", "lot", "kind", "blob"])))
 
         return run
 
     def score(self, sums: list[dict], first: int):
-        """(doc_id, held_out, n_tokens, n_known, base_score, score) of one lot's documents."""
+        """(row, doc_id, held_out, n_tokens, n_known, base_score, score) of one lot's documents or parts."""
 
         def run(table: pa.Table) -> pa.Table:
             lot, replies = self._lot(table.column("path")[0].as_py()), self._replies(table)
-            seen, counts, _ = self._counted(lot, replies)
-            hashes, contexts, words, _, owner = lot.pairs(of_tokens=True)
-            served = seen.astype(np.float64)
-            served[lot.begin] = seen[lot.end]
-            states = [self._state(lot, replies[SUMS + k], s) for k, s in enumerate(sums)]
-            mean = np.zeros(len(hashes))
-            for k in range(first, len(sums)):
-                chance, tables = states[k]
-                seated = self._seated(hashes, contexts, words, counts, states[k - 1] if k else None, k)
-                own = np.maximum(counts - self.discount * seated, 0) + (self.strength + self.discount * tables[contexts]) * chance[words]
-                mean += np.where(served[contexts] > 0, own / (self.strength + served[contexts]), chance[words])
-            logs = np.log10(mean / (len(sums) - first))[owner]
+            lot.group_pairs()
+            lot.group_triples()
+            seen = _scattered(np.concatenate([unpack(b) for b in replies[WORDS]]).astype(np.int64), lot.order)
+            served, _ = self._totals(replies[PAIRS], lot.pair_order)
+            # before a document stand two beginnings, a context of as many customers as there are ends
+            served[(lot.pair_first == lot.begin) & (lot.pair_second == lot.begin)] = seen[lot.end]
+            served = served[lot.context]
+            counts, _ = self._totals(replies[TRIPLES], lot.triple_order)
+            mean, before, state, chance = np.zeros(len(counts)), None, None, None
+            for sweep in range(len(sums)):
+                at = self._state(lot, replies, sweep, sums[sweep])
+                now = self._pair_chance(lot, at, state, sweep) if sweep >= first - 1 else None
+                if sweep >= first:
+                    seated = self._triple_tables(lot, counts, state, chance, sweep)
+                    lower = now[lot.parent]
+                    own = np.maximum(counts - self.discounts[2] * seated, 0) + (self.strengths[2] + self.discounts[2] * at.tables[lot.context]) * lower
+                    mean += np.where(served > 0, own / (self.strengths[2] + served), lower)
+                state, chance = at, now
+            logs = np.log10(mean / (len(sums) - first))[lot.triple_of]
             total, vocabulary = sums[0]["tokens"], sums[0]["vocabulary"]
             base = np.log10((seen + 0.1) / (total + 0.1 * (vocabulary + 1)))[lot.codes]
             add = lambda x: np.add.reduceat(x, lot.starts)
             return pa.table(
-                [pa.array(lot.doc_ids, pa.int64()), pa.array(lot.held), pa.array(lot.sizes), pa.array(add((seen > 0).astype(np.int64)[lot.codes])), pa.array(add(base)), pa.array(add(logs))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                [
+                    pa.array(lot.rows, pa.int64()), pa.array(lot.doc_ids, pa.int64()), pa.array(lot.held), pa.array(lot.sizes),
+                    pa.array(add((seen > 0).astype(np.int64)[lot.codes])), pa.array(add(base)), pa.array(add(logs)),
+                ],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
         return run
 
     # ranges of hashes ---------------------------------------------------
 
-    def total_range(self, batches):
-        """Totals of the words and pairs of one range, back to each lot in its order; and the sums over the range."""
-        got: dict[int, list] = {WORDS: [], PAIRS: []}
-        where = None
-        for batch in batches:
-            for where, lot, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("range", "lot", "kind", "blob"))):
-                got[kind].append((lot, *unpack_many(blob, 2)))
-        for kind, messages in got.items():
-            if not messages:
-                continue
-            messages.sort(key=lambda m: m[0])
-            keys, counts = [unpack_rising(m[1]) for m in messages], [unpack(m[2]).astype(np.int64) for m in messages]
-            flat, number = np.concatenate(keys), np.concatenate(counts)
-            distinct, place = np.unique(flat, return_inverse=True)
-            total = np.bincount(place, weights=number, minlength=len(distinct)).astype(np.int64)
-            reply = total[place]
-            if kind == PAIRS:
-                trained = np.flatnonzero(number > 0)
-                _, head = np.unique(place[trained], return_index=True)
-                reply = reply * 2
-                reply[trained[head]] += 1
-            else:
-                sums = pack(np.array([int(total.sum()), int((total > 0).sum())]))
-                yield from _rows([(-1, where, TOTALS, sums)], ["lot", "range", "kind", "blob"])
-            cut = np.cumsum([0, *map(len, keys)])
-            yield from _rows([(m[0], where, kind, pack(reply[cut[i] : cut[i + 1]])) for i, m in enumerate(messages)], ["lot", "range", "kind", "blob"])
+    def total_ranges(self, batches):
+        """Totals of the words, pairs and triples of each range, back to each lot in its order; and the sums over the range."""
+        for where, rows in _by_range(batches):
+            for kind in (WORDS, PAIRS, TRIPLES):
+                messages = sorted((lot, *unpack_many(blob, 2)) for lot, k, blob in rows if k == kind)
+                if not messages:
+                    continue
+                keys, counts = [unpack_rising(m[1]) for m in messages], [unpack(m[2]).astype(np.int64) for m in messages]
+                number = np.concatenate(counts)
+                distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+                total = np.bincount(place, weights=number, minlength=len(distinct)).astype(np.int64)
+                reply = total[place]
+                if kind == WORDS:
+                    sums = pack(np.array([int(total.sum()), int((total > 0).sum())]))
+                    yield from _rows([(-1, where, TOTALS, sums)], ["lot", "range", "kind", "blob"])
+                else:
+                    trained = np.flatnonzero(number > 0)
+                    _, head = np.unique(place[trained], return_index=True)
+                    reply = reply * 2
+                    reply[trained[head]] += 1
+                cut = np.cumsum([0, *map(len, keys)])
+                yield from _rows([(m[0], where, kind, pack(reply[cut[i] : cut[i + 1]])) for i, m in enumerate(messages)], ["lot", "range", "kind", "blob"])
+
+    @staticmethod
+    def _summed(rows: list, n: int):
+        """(messages, where each one's entries stand, distinct hashes, sums of the ``n`` values by distinct hash)."""
+        messages = [(lot, *unpack_many(blob, n + 1)) for lot, _, blob in rows]
+        keys = [unpack_rising(m[1]) for m in messages]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        add = lambda k: np.bincount(place, weights=np.concatenate([unpack(m[k]) for m in messages]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
+        cut = np.cumsum([0, *map(len, keys)])
+        return [(m[0], place[cut[i] : cut[i + 1]]) for i, m in enumerate(messages)], distinct, [add(2 + k) for k in range(n)]
+
+    def add_pairs(self, sweep: int):
+        """The first half's sums, back to each lot that has the pair."""
+
+        def run(batches):
+            for where, rows in _by_range(batches):
+                lots, _, values = self._summed(rows, 2)
+                yield from _rows([(lot, where, BY_PAIR + sweep, pack_many(*(pack(v[at]) for v in values))) for lot, at in lots], ["lot", "range", "kind", "blob"])
+
+        return run
 
     def seat_root(self, sweep: int, vocabulary: int, root_tables: float):
-        """The root's part of a sweep on one range of words."""
+        """The second half's sums, and the root's part of the sweep on each range of words."""
 
         def run(batches):
-            messages, where = [], None
-            for batch in batches:
-                for where, lot, _, blob in zip(*(batch.column(c).to_pylist() for c in ("range", "lot", "kind", "blob"))):
-                    messages.append((lot, *unpack_many(blob, 3)))
-            if not messages:
-                return
-            keys = [unpack_rising(m[1]) for m in messages]
-            distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total = lambda k: np.bincount(place, weights=np.concatenate([unpack(m[k]) for m in messages]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
-            context, customers = total(2), total(3)
-            pull = np.full(len(distinct), (self.root_strength + self.root_discount * root_tables) / (vocabulary + 1))
-            tables = seat(customers, pull, self.root_discount, distinct, sweep).astype(np.int64)
-            sums = pack(np.array([int(customers.sum()), int(tables.sum())]))
-            yield from _rows([(-1, where, TOTALS, sums)], ["lot", "range", "kind", "blob"])
-            cut = np.cumsum([0, *map(len, keys)])
-            replies = []
-            for i, m in enumerate(messages):
-                at = place[cut[i] : cut[i + 1]]
-                replies.append((m[0], where, SUMS + sweep, pack_many(pack(customers[at]), pack(tables[at]), pack(context[at]))))
-            yield from _rows(replies, ["lot", "range", "kind", "blob"])
+            for where, rows in _by_range(batches):
+                lots, distinct, (customers, after, served) = self._summed(rows, 3)
+                pull = np.full(len(distinct), (self.strengths[0] + self.discounts[0] * root_tables) / (vocabulary + 1))
+                tables = seat(customers, pull, self.discounts[0], distinct, sweep).astype(np.int64)
+                yield from _rows([(-1, where, TOTALS, pack(np.array([int(customers.sum()), int(tables.sum())])))], ["lot", "range", "kind", "blob"])
+                values = (customers, tables, after, served)
+                yield from _rows([(lot, where, BY_WORD + sweep, pack_many(*(pack(v[at]) for v in values))) for lot, at in lots], ["lot", "range", "kind", "blob"])
 
         return run
 
@@ -355,23 +497,28 @@ def _sums(replies: DataFrame) -> tuple[int, int]:
 
 
 def score_documents(
-    docs: DataFrame, held_out, sweeps: int = 2, burn_in: int = 1, discount: float = 0.8, strength: float = 1.0, root_discount: float = 0.6, root_strength: float = 10.0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, held_out, sweeps: int = 3, burn_in: int = 1, discounts: tuple[float, float, float] = (0.6, 0.75, 0.85), strengths: tuple[float, float, float] = (10.0, 2.0, 1.0), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row.
 
     Learns from the rows for which the column ``held_out`` is not true. ``sweeps`` Gibbs sweeps follow the
-    first seating, one table for each dish; the states from number ``burn_in`` on are averaged.
+    first seating, one table for each dish; the states from number ``burn_in`` on are averaged. Discounts
+    and strengths: of the root, of restaurants after one word, of those after two.
     """
     spark = docs.sparkSession
     tables = SharedTables(spark)
-    ranges = max(shuffle_partitions(spark), input_bytes(docs, text_col) // RANGE_BYTES)
-    model = Model(f"{tables.root}/lots", ranges, discount, strength, root_discount, root_strength)
+    ranges = int(max(shuffle_partitions(spark), input_bytes(docs, text_col) // RANGE_BYTES))
+    tasks = min(ranges, RANGE_TASKS)
+    model = Model(f"{tables.root}/lots", ranges, discounts, strengths)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    lots = tables.save(rows.mapInArrow(model.write_lots, "lot long, path string"), "lots-manifest")
-    dealt = lots.repartitionById(ranges, F.pmod(F.xxhash64("lot"), F.lit(ranges)).cast("int"))
+    lots = tables.save(rows.mapInArrow(lean(model.write_lots), "lot long, path string"), "lots-manifest")
+    dealt = lots.repartitionById(tasks, F.pmod(F.xxhash64("lot"), F.lit(tasks)).cast("int"))
 
     def ask(messages: DataFrame, reduce, name: str) -> DataFrame:
-        return tables.save(messages.repartitionById(ranges, F.col("range")).mapInArrow(reduce, _REPLY), name)
+        sent = messages.repartitionById(tasks, F.floor(F.col("range") * tasks / ranges).cast("int"))
+        if tasks < ranges:
+            sent = sent.sortWithinPartitions("range")
+        return tables.save(sent.mapInArrow(lean(reduce), _REPLY), name)
 
     def with_lot(*replies: DataFrame):
         every = replies[0]
@@ -379,15 +526,23 @@ def score_documents(
             every = every.union(more)
         return every.where(F.col("kind") != TOTALS).join(lots, "lot").groupBy("lot")
 
-    counts = ask(dealt.mapInArrow(model.send_counts, _MESSAGE), model.total_range, "counts")
+    counts = ask(dealt.mapInArrow(lean(model.send_counts), _MESSAGE), model.total_ranges, "counts")
     tokens, vocabulary = _sums(counts)
-    states: list[DataFrame] = []
+    of = lambda *kinds: counts.where(F.col("kind").isin(*kinds))
+    by_pair: list[DataFrame] = []
+    by_word: list[DataFrame] = []
     sums: list[dict] = []
     for sweep in range(sweeps + 1):
-        grouped = with_lot(counts, *states[-1:])
-        messages = grouped.applyInArrow(model.send_sums(sweep, sums[-1] if sums else None), _MESSAGE)
-        states.append(ask(messages, model.seat_root(sweep, vocabulary, sums[-1]["tables"] if sums else 0.0), f"state-{sweep}"))
-        customers, root = _sums(states[-1])
+        last = slice(max(0, sweep - 2), sweep)
+        sent = with_lot(of(TRIPLES), *by_pair[last], *by_word[last]).applyInArrow(model.send_pair_sums(sweep, sums), _MESSAGE)
+        by_pair.append(ask(sent, model.add_pairs(sweep), f"pairs-{sweep}"))
+        last = slice(max(0, sweep - 1), sweep)
+        sent = with_lot(of(PAIRS), *by_pair[max(0, sweep - 1) :], *by_word[last]).applyInArrow(model.send_word_sums(sweep, sums), _MESSAGE)
+        by_word.append(ask(sent, model.seat_root(sweep, vocabulary, sums[-1]["tables"] if sums else 0.0), f"words-{sweep}"))
+        customers, root = _sums(by_word[-1])
         sums.append({"tokens": tokens, "vocabulary": vocabulary, "customers": customers, "tables": root})
-    scored = with_lot(counts, *states).applyInArrow(model.score(sums, burn_in), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(tokens).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = with_lot(counts, *by_pair, *by_word).applyInArrow(model.score(sums, burn_in), kinds)
+    # parts of one document
+    whole = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))).drop("row")
+    return whole.withColumn("train_tokens", F.lit(tokens).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

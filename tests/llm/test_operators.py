@@ -176,43 +176,179 @@ def test_language_model(docs, none, monkeypatch):
     assert {r.train_tokens for r in all_held} == {0} and all(abs(r.score) < 1e-9 for r in all_held)
 
 
-def test_language_model_sums_to_one_and_beats_the_base(spark):
-    draw = random.Random(2)
+def corpus(seed=2, n=300):
+    draw = random.Random(seed)
     follow = {w: draw.sample(WORDS, 3) for w in WORDS}
     rows = []
-    for i in range(300):
+    for i in range(n):
         text = [draw.choice(WORDS)]
         for _ in range(30):
             text.append(draw.choice(follow[text[-1]]))
         rows.append((i, " ".join(text), "en", "s", 0))
-    # one-word documents after the same context: the chances of all first words, the end and an unknown word
-    probes = [(1000 + k, w, "en", "s", 0) for k, w in enumerate([*WORDS, "unseen"])]
-    docs = spark.createDataFrame(rows + probes, DOCS)
-    found = {r.doc_id: r for r in pitman_yor.score_documents(docs, F.col("doc_id") >= 270).collect()}
-    held = [found[i] for i in range(270, 300)]
-    assert sum(r.score for r in held) > 1.25 * sum(r.base_score for r in held)
-
-
-def test_predictive_probabilities_sum_to_one():
-    counts, discount, strength = np.array([5, 1, 3, 0, 0]), 0.8, 1.0
-    root = np.array([0.3, 0.1, 0.2, 0.3, 0.1])
-    tables = pitman_yor.seat(counts, (strength + discount * 4) * root, discount, np.arange(5, dtype=np.uint64), 1)
-    chance = (np.maximum(counts - discount * tables, 0) + (strength + discount * tables.sum()) * root) / (strength + counts.sum())
-    assert abs(chance.sum() - 1) < 1e-12 and (tables <= counts).all() and (tables[:3] >= 1).all()
+    return rows
+
+
+class Plain:
+    """The same model on dictionaries, one process, from one list of training texts; words are their hashes."""
+
+    def __init__(self, texts, sweeps, discounts=(0.6, 0.75, 0.85), strengths=(10.0, 2.0, 1.0)):
+        self.discounts, self.strengths, self.states = discounts, strengths, []
+        self.count = collections.Counter(x for t in texts for x in self.triples(t))
+        self.vocabulary = {x[2] for x in self.count}
+        for sweep in range(sweeps + 1):
+            self.states.append(self.swept(sweep))
+
+    @staticmethod
+    def words(text):
+        return [int(x) for x in pitman_yor.word_hashes([text.encode()])[0]] + [int(pitman_yor._END[0])]
+
+    def triples(self, text):
+        w = [int(pitman_yor._BEGIN[0])] * 2 + self.words(text)
+        return list(zip(w, w[1:], w[2:]))
+
+    @staticmethod
+    def key(*words):
+        step, h = pitman_yor._STEP, lambda x: np.array([x], np.uint64)
+        first = pitman_yor.mix(h(words[0]) * step + h(words[1]))
+        return (first if len(words) == 2 else pitman_yor.mix(first + h(words[2]) * step)) >> np.uint64(20)
+
+    def seated(self, customers, level, key, parent, own_tables, sweep):
+        if not sweep:
+            return int(customers > 0)
+        pull = (self.strengths[level] + self.discounts[level] * own_tables) * parent
+        return int(pitman_yor.seat(np.array([customers]), np.array([pull]), self.discounts[level], key, sweep)[0])
+
+    def swept(self, sweep):
+        old = self.states[-1] if sweep else None
+        s = {"c3": self.count, "t3": {}, "c2": collections.Counter(), "t2": {}, "c1": collections.Counter(), "t1": {}, "T3": collections.Counter(), "C3": collections.Counter(), "T2": collections.Counter(), "C2": collections.Counter()}
+        for (x, v, w), c in self.count.items():
+            t = s["t3"][x, v, w] = self.seated(c, 2, self.key(x, v, w), old and self.lower(old, v, w), old and old["T3"][x, v], sweep)
+            s["c2"][v, w] += t
+            s["T3"][x, v] += t
+            s["C3"][x, v] += c
+        for (v, w), c in s["c2"].items():
+            t = s["t2"][v, w] = self.seated(c, 1, self.key(v, w), old and self.root(old, w), old and old["T2"][v], sweep)
+            s["c1"][w] += t
+            s["T2"][v] += t
+            s["C2"][v] += c
+        for w, c in s["c1"].items():
+            # the root's tables are sampled in the first seating too, from no tables before
+            pull = (self.strengths[0] + self.discounts[0] * (sum(old["t1"].values()) if old else 0.0)) / (len(self.vocabulary) + 1)
+            s["t1"][w] = int(pitman_yor.seat(np.array([c]), np.array([pull]), self.discounts[0], np.array([w], np.uint64), sweep)[0])
+        return s
+
+    def root(self, s, w):
+        d, th, n = self.discounts[0], self.strengths[0], sum(s["c1"].values())
+        return (max(0, s["c1"][w] - d * s["t1"].get(w, 0)) + (th + d * sum(s["t1"].values())) / (len(self.vocabulary) + 1)) / (th + n)
+
+    def lower(self, s, v, w):
+        d, th = self.discounts[1], self.strengths[1]
+        if not s["C2"][v]:
+            return self.root(s, w)
+        return (max(0, s["c2"][v, w] - d * s["t2"].get((v, w), 0)) + (th + d * s["T2"][v]) * self.root(s, w)) / (th + s["C2"][v])
+
+    def chance(self, s, x, v, w):
+        d, th = self.discounts[2], self.strengths[2]
+        if not s["C3"][x, v]:
+            return self.lower(s, v, w)
+        return (max(0, s["c3"][x, v, w] - d * s["t3"].get((x, v, w), 0)) + (th + d * s["T3"][x, v]) * self.lower(s, v, w)) / (th + s["C3"][x, v])
+
+    def mean(self, first, x, v, w):
+        return sum(self.chance(s, x, v, w) for s in self.states[first:]) / len(self.states[first:])
+
+
+def test_language_model_equals_the_plain_one(spark, monkeypatch):
+    """Scores over many lots and ranges, documents cut to parts among them, are those of one process, whose probabilities sum to one."""
+    rows = corpus(n=60) + [(100, " ".join(WORDS * 9), "en", "s", 0), (101, "the unseen of", "en", "s", 0), (102, "", "en", "s", 0), (103, None, "en", "s", 0)]
+    learned = [t or "" for i, t, *_ in rows if i < 50 or i == 100]
+    plain = Plain(learned, 2)
+    for context in [(int(pitman_yor._BEGIN[0]),) * 2, *list(plain.count)[:5], (1, plain.words("of")[0]), (1, 2)]:
+        assert abs(sum(plain.mean(1, *context[:2], w) for w in [*plain.vocabulary, 5]) - 1) < 1e-9
+    monkeypatch.setattr(pitman_yor, "LOT_TOKENS", 120)
+    monkeypatch.setattr(pitman_yor, "RANGE_TASKS", 3)
+    held = (F.col("doc_id") >= 50) & (F.col("doc_id") != 100)
+    found = {r.doc_id: r for r in pitman_yor.score_documents(spark.createDataFrame(rows, DOCS).repartition(3), held, sweeps=2, burn_in=1).collect()}
+    assert len(found) == len(rows)
+    for i, t, *_ in rows:
+        expected = sum(math.log10(plain.mean(1, *x)) for x in plain.triples(t or ""))
+        assert abs(found[i].score - expected) < 1e-6 * max(1, -expected), i
+        assert found[i].n_tokens == len((t or "").split()) + 1
+
+
+def test_language_model_agrees_with_one_customer_at_a_time(spark):
+    """Held-out scores against plain Gibbs sampling that moves a single customer at a time and keeps every table's size."""
+    rows, draw = corpus(n=80), random.Random(9)
+    discounts, strengths = (0.6, 0.75, 0.85), (10.0, 2.0, 1.0)
+    plain = Plain([], 0)
+    rooms: list[dict] = [collections.defaultdict(lambda: collections.defaultdict(list)) for _ in range(3)]
+    vocabulary = {w for _, t, *_ in rows[:60] for w in plain.words(t)}
+
+    def context(level, x):
+        return x[2 - level : 2]
+
+    def chance(level, x):
+        if level < 0:
+            return 1 / (len(vocabulary) + 1)
+        room, d, th = rooms[level][context(level, x)], discounts[level], strengths[level]
+        n, t, own = sum(map(sum, room.values())), sum(map(len, room.values())), room.get(x[2], [])
+        return (sum(own) - d * len(own) + (th + d * t) * chance(level - 1, x)) / (th + n) if n else chance(level - 1, x)
+
+    def add(level, x):
+        if level < 0:
+            return
+        room, d, th = rooms[level][context(level, x)], discounts[level], strengths[level]
+        own = room[x[2]]
+        weights = [n - d for n in own] + [(th + d * sum(map(len, room.values()))) * chance(level - 1, x)]
+        at = draw.choices(range(len(weights)), weights)[0]
+        if at == len(own):
+            own.append(1)
+            add(level - 1, x)
+        else:
+            own[at] += 1
+
+    def remove(level, x):
+        if level < 0:
+            return
+        room = rooms[level][context(level, x)]
+        own = room[x[2]]
+        at = draw.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        if not own[at]:
+            own.pop(at)
+            remove(level - 1, x)
+            if not own:
+                del room[x[2]]
+
+    customers = [x for _, t, *_ in rows[:60] for x in plain.triples(t)]
+    for x in customers:
+        add(2, x)
+    total, states = collections.Counter(), 0
+    for sweep in range(6):
+        for x in customers:
+            remove(2, x)
+            add(2, x)
+        if sweep >= 3:
+            states += 1
+            for x in {x for _, t, *_ in rows[60:] for x in plain.triples(t)}:
+                total[x] += chance(2, x)
+    expected = sum(math.log10(total[x] / states) for _, t, *_ in rows[60:] for x in plain.triples(t))
+    found = pitman_yor.score_documents(spark.createDataFrame(rows, DOCS), F.col("doc_id") >= 60, sweeps=4, burn_in=2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert abs(found[0] / expected - 1) < 0.02
+    assert found[0] > 0.8 * found[1]
 
 
 def test_seating_has_the_right_mean():
-    n, pull, discount = 400, 0.7, 0.5
-    expected, mean = np.zeros(n + 1), 1.0
-    probabilities = np.zeros(n + 1)
-    probabilities[1] = 1.0
-    for i in range(1, n):
-        k = np.arange(n + 1)
-        new = np.where(probabilities > 0, pull / (i - discount * k + pull), 0)
-        probabilities = probabilities * (1 - new) + np.concatenate(([0], (probabilities * new)[:-1]))
-    mean = (probabilities * np.arange(n + 1)).sum()
-    drawn = pitman_yor.seat(np.full(20000, n), np.full(20000, pull), discount, np.arange(20000, dtype=np.uint64), 3)
-    assert abs(drawn.mean() / mean - 1) < 0.1
+    for n, pull, discount in ((400, 0.7, 0.5), (400, 0.02, 0.8), (3000, 5.0, 0.85)):
+        probabilities = np.zeros(n + 1)
+        probabilities[1] = 1.0
+        for i in range(1, n):
+            k = np.arange(n + 1)
+            new = np.where(probabilities > 0, pull / (i - discount * k + pull), 0)
+            probabilities = probabilities * (1 - new) + np.concatenate(([0], (probabilities * new)[:-1]))
+        mean = (probabilities * np.arange(n + 1)).sum()
+        spread = math.sqrt((probabilities * (np.arange(n + 1) - mean) ** 2).sum())
+        drawn = pitman_yor.seat(np.full(20000, n), np.full(20000, pull), discount, np.arange(20000, dtype=np.uint64), 3)
+        assert abs(drawn.mean() / mean - 1) < 0.03 and abs(drawn.std() / spread - 1) < 0.12
 
 
 # 5, 6, 7
