@@ -31,8 +31,15 @@ def input_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
+#: With this on, Spark deletes the shuffle files of a query when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class SharedTables:
-    """Parquet tables of one run in the shared folder. They cut lineage and outlive lost executors."""
+    """Parquet tables of one run in the shared folder. They cut lineage and outlive lost executors.
+
+    A table stands for the shuffles that made it, so their files go as soon as it is written.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -42,7 +49,12 @@ class SharedTables:
         writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(f"{self.root}/{name}")
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            writer.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

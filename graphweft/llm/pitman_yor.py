@@ -14,11 +14,13 @@ Plan:
 1. One scan hashes the words and writes lots of about a million tokens, with a dictionary each, as files
    in the shared folder. Later steps read a lot's file, so texts and tokens are never shuffled. A longer
    document is cut to parts, which keep the two words before them.
-2. Lots send the counts of their distinct words, word pairs and triples to ranges of the hash, as packed
-   columns; the totals come back in the order they were sent, without the hashes. The random numbers of a
-   dish follow from its hash, so every lot that has it seats it alike, and one lot, its owner, adds it to
-   the sums. In each sweep two kinds of sums go round: by pair, the customers that triples send to their
-   parent and the tables of a context, and by word, the same one level up.
+2. Lots send the counts of their distinct words and word pairs, then of triples, to ranges of the hash, as
+   packed columns; the totals come back in the order they were sent, without the hashes. A triple with a
+   pair that no other lot has is this lot's alone and not sent. The random numbers of a dish follow from
+   its hash, so every lot that has it seats it alike, and one lot, its owner, adds it to the sums. In each
+   sweep two kinds of sums go round: by pair, the customers that triples send to their parent and the
+   tables of a context, and by word, the same one level up. A pair or word that stands once in all has one
+   customer at one table, so its sums are known and not sent.
 3. Each lot scores its documents; parts of one document are added.
 A frequent word or pair is one entry a lot, whatever its count, and ranges of hashes get equal shares. A
 task works on one range after the other; where the input would need more ranges than RANGE_TASKS, a task
@@ -28,7 +30,8 @@ proportion to the distinct entries of the lots.
 Defined results: a null or empty text is the end alone; words of other documents than the training ones
 are unknown; without training documents every token has the uniform probability of one unknown word;
 repeated rows count each time; other columns are ignored. A null doc_id is a training document. Hashes of
-pairs and triples have 44 bits, so two of 10^9 share one with a chance of 10^-4 each; they then count as one.
+pairs and triples have 42 bits; of 10^9 distinct ones about one in 4000 shares its hash with another, and
+these two then count as one.
 """
 
 from __future__ import annotations
@@ -49,6 +52,8 @@ LOT_TOKENS = 1_000_000
 RANGE_BYTES = 8 << 20
 #: Tasks that the ranges are dealt to at most.
 RANGE_TASKS = 20_000
+#: Bits of a pair's or triple's hash; the others of 64 hold a place in a lot while it is sorted.
+HASH_BITS = 42
 _END, _BEGIN = (mix(np.array([x], np.uint64)) for x in (0xE4D0, 0xBE61))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MESSAGE = "range int, lot long, kind int, blob binary"
@@ -118,23 +123,20 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, keys: np.ndar
     return tables
 
 
-def _group(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of small numbers: (first, second, which one each entry is)."""
-    n = len(first)
-    low, spot = (max(1, int(x).bit_length()) for x in (second.max(initial=0), n))
-    if int(first.max(initial=0)).bit_length() + low + spot > 64:
-        keys, place = np.unique(first.astype(np.int64) << low | second, return_inverse=True)
-        return keys >> low, keys & ((1 << low) - 1), place
-    # key and place in one number: plain sorting is much faster than sorting with places
-    whole = (first.astype(np.uint64) << np.uint64(low) | second.astype(np.uint64)) << np.uint64(spot) | np.arange(n, dtype=np.uint64)
+def _group(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, rising; one entry of each; which one each entry is)."""
+    n, low = len(hashes), 64 - HASH_BITS
+    if n >> low:
+        return np.unique(hashes, return_index=True, return_inverse=True)
+    # hash and place in one number: plain sorting is much faster than sorting with places
+    whole = hashes << np.uint64(low) | np.arange(n, dtype=np.uint64)
     whole.sort()
-    keys, at = whole >> np.uint64(spot), (whole & np.uint64((1 << spot) - 1)).astype(np.int64)
+    keys, at = whole >> np.uint64(low), (whole & np.uint64((1 << low) - 1)).astype(np.int64)
     heads = np.ones(n, bool)
     heads[1:] = keys[1:] != keys[:-1]
     place = np.empty(n, np.int64)
     place[at] = np.cumsum(heads) - 1
-    keys = keys[heads]
-    return (keys >> np.uint64(low)).astype(np.int64), (keys & np.uint64((1 << low) - 1)).astype(np.int64), place
+    return keys[heads], at[heads], place
 
 
 class Lot:
@@ -180,27 +182,57 @@ class Lot:
         return np.bincount(self.codes[self.train], minlength=len(self.words))
 
     def group_pairs(self) -> None:
-        """Distinct pairs of a word and the one before it, also those before a part; ``pair_order`` is by rising hash."""
+        """Distinct pairs of a word and the one before it, by rising hash; also those before a part."""
         at = np.concatenate((self.seconds, self.spots))
-        self.pair_first, self.pair_second, place = _group(self.every[at - 1], self.every[at])
+        first, second = self.every[at - 1], self.every[at]
+        mixed = mix(self.words[first] * _STEP + self.words[second])
+        self.pair_hashes, some, place = _group(mixed >> np.uint64(64 - HASH_BITS))
+        self.pair_first, self.pair_second, self.pair_mixed = first[some], second[some], mixed[some]
         self.pair_at = np.empty(len(self.every), np.int64)
         self.pair_at[at] = place
-        own = place[len(self.seconds) :]
-        self.pair_counts = np.bincount(own[self.train], minlength=len(self.pair_first))
-        self.pair_hashes = mix(self.words[self.pair_first] * _STEP + self.words[self.pair_second]) >> np.uint64(20)
-        self.pair_order = np.argsort(self.pair_hashes, kind="stable")
+        self.pair_counts = np.bincount(self.pair_at[self.spots[self.train]], minlength=len(some))
+        #: Two beginnings stand before every document and are no pair of tokens.
+        self.opening = (self.pair_first == self.begin) & (self.pair_second == self.begin)
 
     def group_triples(self) -> None:
-        """Distinct triples: the pair before (``context``), the pair of the nearer word and the last (``parent``)."""
-        before = self.pair_at[self.spots - 1]
-        self.context, last, self.triple_of = _group(before, self.codes)
-        some = np.empty(len(self.context), np.int64)
-        some[self.triple_of] = self.pair_at[self.spots]
-        self.parent = some
-        self.triple_counts = np.bincount(self.triple_of[self.train], minlength=len(self.context))
-        first, second = self.words[self.pair_first[self.context]], self.words[self.pair_second[self.context]]
-        self.triple_hashes = mix(mix(first * _STEP + second) + self.words[last] * _STEP) >> np.uint64(20)
-        self.triple_order = np.argsort(self.triple_hashes, kind="stable")
+        """Distinct triples by rising hash: the pair before (``context``) and the pair of the nearer word and the last (``parent``)."""
+        context, parent = self.pair_at[self.spots - 1], self.pair_at[self.spots]
+        mixed = mix(self.pair_mixed[context] + self.words[self.codes] * _STEP)
+        self.triple_hashes, some, self.triple_of = _group(mixed >> np.uint64(64 - HASH_BITS))
+        self.context, self.parent = context[some], parent[some]
+        self.triple_counts = np.bincount(self.triple_of[self.train], minlength=len(some))
+
+
+class Shares:
+    """What the lot knows of its words and pairs after the counts: totals, which pairs it owns, which others have too."""
+
+    def __init__(self, lot: Lot, replies: dict):
+        self.seen = _scattered(np.concatenate([unpack(b) for b in replies[WORDS]]).astype(np.int64), lot.order)
+        spoken = self.seen > 1
+        spoken[lot.begin] = True
+        #: Words whose sums go round, by rising hash.
+        self.words = lot.order[spoken[lot.order]]
+        coded = np.concatenate([unpack(b) for b in replies[PAIRS]]).astype(np.int64)
+        self.total, self.owned = coded >> 2, (coded >> 1 & 1).astype(bool)
+        self.shared = (coded & 1).astype(bool) | lot.opening
+        #: Pairs whose sums go round.
+        self.spoken = lot.opening | (self.total > 1)
+        self.goes_on = lot.pair_second != lot.end
+
+    def _filled(self, blobs: list[bytes], where: np.ndarray, known: list[np.ndarray]) -> list[np.ndarray]:
+        found = [np.concatenate(x) for x in zip(*([unpack(p) for p in unpack_many(b, len(known))] for b in blobs))]
+        out = [x.astype(np.float64) for x in known]
+        for whole, part in zip(out, found):
+            whole[where] = part
+        return out
+
+    def sums(self, blobs: list[bytes]) -> list[np.ndarray]:
+        """(customers, tables of the context) of all pairs."""
+        return self._filled(blobs, self.spoken, [self.total, self.total * self.goes_on])
+
+    def word_sums(self, blobs: list[bytes]) -> list[np.ndarray]:
+        """(customers, tables, tables and customers of the restaurant after it) of all words."""
+        return self._filled(blobs, self.words, [self.seen == 1] * 4)
 
 
 def _scattered(rising: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -276,7 +308,7 @@ class Model:
                         part = hashes[at : at + most + 2]
                         parts.append((doc_id, (task << 36) + row, held, part))
                         n += len(part) - 2
-                        if n >= LOT_TOKENS - most:
+                        if n >= LOT_TOKENS:
                             yield flush()
                     row += 1
         if parts:
@@ -297,15 +329,33 @@ class Model:
             for key, path in zip(batch.column("lot").to_pylist(), batch.column("path").to_pylist()):
                 lot = self._lot(path)
                 lot.group_pairs()
-                lot.group_triples()
                 o = lot.order
                 rows = self._send(key, WORDS, lot.words[o], 64, lot.word_counts()[o])
-                o = lot.pair_order
-                rows += self._send(key, PAIRS, lot.pair_hashes[o], 44, lot.pair_counts[o])
-                o = lot.triple_order
-                rows += self._send(key, TRIPLES, lot.triple_hashes[o], 44, lot.triple_counts[o])
+                rows += self._send(key, PAIRS, lot.pair_hashes, HASH_BITS, lot.pair_counts)
                 yield from _rows(rows, ["range", "lot", "kind", "blob"])
 
+    def send_triples(self, key: tuple, table: pa.Table) -> pa.Table:
+        lot, shares, _ = self._opened(table)
+        out = self._sent_triples(lot, shares)
+        rows = self._send(key[0].as_py(), TRIPLES, lot.triple_hashes[out], HASH_BITS, lot.triple_counts[out])
+        return self._table(rows)
+
+    @staticmethod
+    def _sent_triples(lot: Lot, shares: Shares) -> np.ndarray:
+        return shares.shared[lot.context] & shares.shared[lot.parent]
+
+    @staticmethod
+    def _table(rows: list[tuple]) -> pa.Table:
+        names = ["range", "lot", "kind", "blob"]
+        return pa.Table.from_batches(list(_rows(rows, names)), pa.schema([("range", pa.int32()), ("lot", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())]))
+
+    def _opened(self, table: pa.Table, triples: bool = True) -> tuple[Lot, Shares, dict]:
+        lot, replies = self._lot(table.column("path")[0].as_py()), self._replies(table)
+        lot.group_pairs()
+        if triples:
+            lot.group_triples()
+        return lot, Shares(lot, replies), replies
+
     @staticmethod
     def _replies(table: pa.Table) -> dict[int, list[bytes]]:
         out: dict[int, list] = {}
@@ -313,23 +363,20 @@ class Model:
             out.setdefault(kind, []).append(blob)
         return out
 
-    @staticmethod
-    def _columns(blobs: list[bytes], n: int, order: np.ndarray) -> list[np.ndarray]:
-        parts = zip(*([unpack(p) for p in unpack_many(b, n)] for b in blobs))
-        return [_scattered(np.concatenate(x).astype(np.float64), order) for x in parts]
+    def _triple_totals(self, lot: Lot, shares: Shares, replies: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(total, whether this lot owns it) of the triples."""
+        total, owned, out = lot.triple_counts.copy(), np.ones(len(lot.context), bool), self._sent_triples(lot, shares)
+        if out.any():
+            coded = np.concatenate([unpack(b) for b in replies[TRIPLES]]).astype(np.int64)
+            total[out], owned[out] = coded >> 2, (coded >> 1 & 1).astype(bool)
+        return total, owned
 
-    @staticmethod
-    def _totals(blobs: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(total, whether this lot owns it)."""
-        coded = _scattered(np.concatenate([unpack(b) for b in blobs]).astype(np.int64), order)
-        return coded >> 1, (coded & 1).astype(bool)
-
-    def _state(self, lot: Lot, replies: dict, sweep: int, sums: dict) -> State:
-        customers, tables, after, served = self._columns(replies[BY_WORD + sweep], 4, lot.order)
+    def _state(self, lot: Lot, shares: Shares, replies: dict, sweep: int, sums: dict) -> State:
+        customers, tables, after, served = shares.word_sums(replies[BY_WORD + sweep])
         whole = self.strengths[0] + sums["customers"]
         new = (self.strengths[0] + self.discounts[0] * sums["tables"]) / whole / (sums["vocabulary"] + 1)
         chance = np.maximum((customers - self.discounts[0] * tables) / whole + new, new)
-        return State(chance, after, served, *self._columns(replies[BY_PAIR + sweep], 2, lot.pair_order))
+        return State(chance, after, served, *shares.sums(replies[BY_PAIR + sweep]))
 
     def _pair_tables(self, lot: Lot, customers: np.ndarray, before: State | None, sweep: int) -> np.ndarray:
         """Tables of each pair's last word in the restaurant of the first."""
@@ -355,21 +402,18 @@ class Model:
         """First half of a sweep on one lot: seats its triples and sends the sums by pair of those it owns."""
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
-            lot, replies = self._lot(table.column("path")[0].as_py()), self._replies(table)
-            lot.group_pairs()
-            lot.group_triples()
-            counts, owned = self._totals(replies[TRIPLES], lot.triple_order)
+            lot, shares, replies = self._opened(table)
+            counts, owned = self._triple_totals(lot, shares, replies)
             state = chance = None
             if sweep:
-                before = self._state(lot, replies, sweep - 2, sums[sweep - 2]) if sweep > 1 else None
-                state = self._state(lot, replies, sweep - 1, sums[sweep - 1])
+                before = self._state(lot, shares, replies, sweep - 2, sums[sweep - 2]) if sweep > 1 else None
+                state = self._state(lot, shares, replies, sweep - 1, sums[sweep - 1])
                 chance = self._pair_chance(lot, state, before, sweep - 1)
             tables = self._triple_tables(lot, counts * owned, state, chance, sweep)
             customers = np.bincount(lot.parent, weights=tables, minlength=len(lot.pair_first)).astype(np.int64)
             of_context = np.bincount(lot.context, weights=tables, minlength=len(lot.pair_first)).astype(np.int64)
-            o = lot.pair_order
-            rows = self._send(key[0].as_py(), BY_PAIR + sweep, lot.pair_hashes[o], 44, customers[o], of_context[o])
-            return pa.Table.from_batches(list(_rows(rows, ["range", "lot", "kind", "blob"])))
+            o = shares.spoken
+            return self._table(self._send(key[0].as_py(), BY_PAIR + sweep, lot.pair_hashes[o], HASH_BITS, customers[o], of_context[o]))
 
         return run
 
@@ -377,18 +421,14 @@ class Model:
         """Second half: seats the pairs and sends the sums by word of those it owns."""
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
-            lot, replies = self._lot(table.column("path")[0].as_py()), self._replies(table)
-            lot.group_pairs()
-            _, owned = self._totals(replies[PAIRS], lot.pair_order)
-            customers, _ = self._columns(replies[BY_PAIR + sweep], 2, lot.pair_order)
-            customers = customers * owned
-            before = self._state(lot, replies, sweep - 1, sums[sweep - 1]) if sweep else None
+            lot, shares, replies = self._opened(table, triples=False)
+            customers = shares.sums(replies[BY_PAIR + sweep])[0] * shares.owned
+            before = self._state(lot, shares, replies, sweep - 1, sums[sweep - 1]) if sweep else None
             tables = self._pair_tables(lot, customers, before, sweep)
-            n, o = len(lot.words), lot.order
+            n, o = len(lot.words), shares.words
             add = lambda codes, x: np.bincount(codes, weights=x, minlength=n).astype(np.int64)[o]
             values = add(lot.pair_second, tables), add(lot.pair_first, tables), add(lot.pair_first, customers)
-            rows = self._send(key[0].as_py(), BY_WORD + sweep, lot.words[o], 64, *values)
-            return pa.Table.from_batches(list(_rows(rows, ["range", "lot", "kind", "blob"])))
+            return self._table(self._send(key[0].as_py(), BY_WORD + sweep, lot.words[o], 64, *values))
 
         return run
 
@@ -396,18 +436,14 @@ class Model:
         """(row, doc_id, held_out, n_tokens, n_known, base_score, score) of one lot's documents or parts."""
 
         def run(table: pa.Table) -> pa.Table:
-            lot, replies = self._lot(table.column("path")[0].as_py()), self._replies(table)
-            lot.group_pairs()
-            lot.group_triples()
-            seen = _scattered(np.concatenate([unpack(b) for b in replies[WORDS]]).astype(np.int64), lot.order)
-            served, _ = self._totals(replies[PAIRS], lot.pair_order)
-            # before a document stand two beginnings, a context of as many customers as there are ends
-            served[(lot.pair_first == lot.begin) & (lot.pair_second == lot.begin)] = seen[lot.end]
-            served = served[lot.context]
-            counts, _ = self._totals(replies[TRIPLES], lot.triple_order)
+            lot, shares, replies = self._opened(table)
+            seen = shares.seen
+            # the context of two beginnings has as many customers as there are ends
+            served = np.where(lot.opening, seen[lot.end], shares.total)[lot.context]
+            counts, _ = self._triple_totals(lot, shares, replies)
             mean, before, state, chance = np.zeros(len(counts)), None, None, None
             for sweep in range(len(sums)):
-                at = self._state(lot, replies, sweep, sums[sweep])
+                at = self._state(lot, shares, replies, sweep, sums[sweep])
                 now = self._pair_chance(lot, at, state, sweep) if sweep >= first - 1 else None
                 if sweep >= first:
                     seated = self._triple_tables(lot, counts, state, chance, sweep)
@@ -444,13 +480,14 @@ class Model:
                 total = np.bincount(place, weights=number, minlength=len(distinct)).astype(np.int64)
                 reply = total[place]
                 if kind == WORDS:
-                    sums = pack(np.array([int(total.sum()), int((total > 0).sum())]))
+                    sums = pack(np.array([int(total.sum()), int((total > 0).sum()), int((total == 1).sum())]))
                     yield from _rows([(-1, where, TOTALS, sums)], ["lot", "range", "kind", "blob"])
                 else:
                     trained = np.flatnonzero(number > 0)
                     _, head = np.unique(place[trained], return_index=True)
-                    reply = reply * 2
-                    reply[trained[head]] += 1
+                    reply = 4 * reply
+                    reply[trained[head]] += 2
+                    reply += (np.bincount(place) > 1)[place]
                 cut = np.cumsum([0, *map(len, keys)])
                 yield from _rows([(m[0], where, kind, pack(reply[cut[i] : cut[i + 1]])) for i, m in enumerate(messages)], ["lot", "range", "kind", "blob"])
 
@@ -489,15 +526,15 @@ class Model:
         return run
 
 
-def _sums(replies: DataFrame) -> tuple[int, int]:
-    """Two numbers a range reach the driver."""
+def _sums(replies: DataFrame, n: int) -> tuple[int, ...]:
+    """``n`` numbers a range reach the driver."""
     rows = replies.where(F.col("kind") == TOTALS).select("blob").collect()
-    parts = np.array([unpack(bytes(r["blob"])).astype(np.int64) for r in rows], np.int64).reshape(-1, 2)
-    return int(parts[:, 0].sum()), int(parts[:, 1].sum())
+    parts = np.array([unpack(bytes(r["blob"])).astype(np.int64) for r in rows], np.int64).reshape(-1, n)
+    return tuple(int(x) for x in parts.sum(axis=0))
 
 
 def score_documents(
-    docs: DataFrame, held_out, sweeps: int = 3, burn_in: int = 1, discounts: tuple[float, float, float] = (0.6, 0.75, 0.85), strengths: tuple[float, float, float] = (10.0, 2.0, 1.0), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, held_out, sweeps: int = 2, burn_in: int = 1, discounts: tuple[float, float, float] = (0.6, 0.75, 0.85), strengths: tuple[float, float, float] = (10.0, 2.0, 1.0), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row.
 
@@ -527,22 +564,22 @@ def score_documents(
         return every.where(F.col("kind") != TOTALS).join(lots, "lot").groupBy("lot")
 
     counts = ask(dealt.mapInArrow(lean(model.send_counts), _MESSAGE), model.total_ranges, "counts")
-    tokens, vocabulary = _sums(counts)
-    of = lambda *kinds: counts.where(F.col("kind").isin(*kinds))
+    tokens, vocabulary, once = _sums(counts, 3)
+    triples = ask(with_lot(counts).applyInArrow(lambda key, table: model.send_triples(key, table), _MESSAGE), model.total_ranges, "triples")
     by_pair: list[DataFrame] = []
     by_word: list[DataFrame] = []
     sums: list[dict] = []
     for sweep in range(sweeps + 1):
         last = slice(max(0, sweep - 2), sweep)
-        sent = with_lot(of(TRIPLES), *by_pair[last], *by_word[last]).applyInArrow(model.send_pair_sums(sweep, sums), _MESSAGE)
+        sent = with_lot(counts, triples, *by_pair[last], *by_word[last]).applyInArrow(model.send_pair_sums(sweep, sums), _MESSAGE)
         by_pair.append(ask(sent, model.add_pairs(sweep), f"pairs-{sweep}"))
         last = slice(max(0, sweep - 1), sweep)
-        sent = with_lot(of(PAIRS), *by_pair[max(0, sweep - 1) :], *by_word[last]).applyInArrow(model.send_word_sums(sweep, sums), _MESSAGE)
+        sent = with_lot(counts, *by_pair[max(0, sweep - 1) :], *by_word[last]).applyInArrow(model.send_word_sums(sweep, sums), _MESSAGE)
         by_word.append(ask(sent, model.seat_root(sweep, vocabulary, sums[-1]["tables"] if sums else 0.0), f"words-{sweep}"))
-        customers, root = _sums(by_word[-1])
-        sums.append({"tokens": tokens, "vocabulary": vocabulary, "customers": customers, "tables": root})
+        customers, root = _sums(by_word[-1], 2)
+        sums.append({"tokens": tokens, "vocabulary": vocabulary, "customers": customers + once, "tables": root + once})
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = with_lot(counts, *by_pair, *by_word).applyInArrow(model.score(sums, burn_in), kinds)
+    scored = with_lot(counts, triples, *by_pair, *by_word).applyInArrow(model.score(sums, burn_in), kinds)
     # parts of one document
     whole = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))).drop("row")
     return whole.withColumn("train_tokens", F.lit(tokens).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -210,7 +210,7 @@ class Plain:
     def key(*words):
         step, h = pitman_yor._STEP, lambda x: np.array([x], np.uint64)
         first = pitman_yor.mix(h(words[0]) * step + h(words[1]))
-        return (first if len(words) == 2 else pitman_yor.mix(first + h(words[2]) * step)) >> np.uint64(20)
+        return (first if len(words) == 2 else pitman_yor.mix(first + h(words[2]) * step)) >> np.uint64(64 - pitman_yor.HASH_BITS)
 
     def seated(self, customers, level, key, parent, own_tables, sweep):
         if not sweep:
@@ -343,7 +343,7 @@ def test_seating_has_the_right_mean():
         probabilities[1] = 1.0
         for i in range(1, n):
             k = np.arange(n + 1)
-            new = np.where(probabilities > 0, pull / (i - discount * k + pull), 0)
+            new = pull / np.maximum(i - discount * k + pull, pull)
             probabilities = probabilities * (1 - new) + np.concatenate(([0], (probabilities * new)[:-1]))
         mean = (probabilities * np.arange(n + 1)).sum()
         spread = math.sqrt((probabilities * (np.arange(n + 1) - mean) ** 2).sum())
