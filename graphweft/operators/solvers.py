@@ -41,16 +41,20 @@ METHODS = {
 
 
 def coarsened(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: id, c), (coarse nodes: id, size), (coarse arcs with loops), small enough for one process."""
+    """(members: id, c), (coarse nodes: id, size), (coarse arcs with loops), small enough for one process.
+
+    Nodes without an arc to another one have no cluster to join and stay among the members only.
+    """
     members = graph.nodes.select("id", F.col("id").alias("c"))
     nodes, arcs = graph.nodes.select("id", F.lit(1).cast("long").alias("size")), graph.arcs.select("src", "dst", "w")
     arcs = transform.checkpointed(arcs)
+    nodes = transform.checkpointed(nodes.join(arcs.select(F.col("src").alias("id")).distinct(), "id", "left_semi"))
     while arcs.limit(LOCAL_ARCS + 1).count() > LOCAL_ARCS or nodes.limit(LOCAL_NODES + 1).count() > LOCAL_NODES:
         labels = nodes.select("id", F.col("id").alias("c"))
         before = nodes.count()
         for i in range(SWEEPS):
             labels = transform.checkpointed(steps.louvain_sweep(nodes, arcs, labels, down=i % 2 == 0))
-        members = transform.checkpointed(members.join(labels.select(F.col("id").alias("c"), F.col("c").alias("d")), "c").select("id", F.col("d").alias("c")))
+        members = transform.checkpointed(members.join(labels.select(F.col("id").alias("c"), F.col("c").alias("d")), "c", "left").select("id", F.coalesce("d", "c").alias("c")))
         arcs = transform.checkpointed(transform.contract_keep_diagonal(arcs, labels))
         nodes = transform.checkpointed(nodes.join(labels, "id").groupBy("c").agg(F.sum("size").alias("size")).select(F.col("c").alias("id"), "size"))
         if nodes.count() == before:
@@ -80,7 +84,7 @@ def searched(members: DataFrame, ids: list[int], g: local.LocalGraph, method: st
     for i, c in zip(ids, labels):
         first.setdefault(c, i)
     found = spark.createDataFrame([(i, first[c]) for i, c in zip(ids, labels)], "c long, d long")
-    return members.join(found, "c").select("id", F.col("d").alias("c"))
+    return members.join(found, "c", "left").select("id", F.coalesce("d", "c").alias("c"))
 
 
 def best_of(graph: Graph, method: str, runs: int = 5, **options) -> DataFrame:

@@ -188,3 +188,17 @@ def test_edge_stream_operator(spark, tmp_path):
         assert {r.id: r.c for r in spark.table("communities").collect()} == batch
     finally:
         started.stop()
+
+
+def test_isolated_nodes_keep_their_label(spark, monkeypatch):
+    """More isolated nodes than one process takes are no reason to fail."""
+    from graphweft.operators import solvers
+    from graphweft.sources.views import Graph
+
+    monkeypatch.setattr(solvers, "LOCAL_NODES", 20)
+    pairs = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3)]
+    arcs = spark.createDataFrame([(a, b, 1) for x, y in pairs for a, b in ((x, y), (y, x))], "src long, dst long, w long")
+    graph = Graph(spark.range(200).toDF("id"), arcs, None)
+    for method in ("louvain", "cnm", "walktrap"):
+        found = {r.id: r.c for r in solvers.solve(graph, method).collect()}
+        assert found == {i: 0 if i < 3 else 3 if i < 6 else i for i in range(200)}
