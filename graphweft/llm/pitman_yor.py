@@ -15,7 +15,8 @@ Plan:
    in the shared folder. Later steps read a lot's file, so texts and tokens are never shuffled. A longer
    document is cut to parts, which keep the two words before them.
 2. Lots send the counts of their distinct words and word pairs, then of triples, to ranges of the hash, as
-   packed columns; the totals come back in the order they were sent, without the hashes. A triple with a
+   packed columns; the totals come back in the order they were sent, without the hashes, and are written to
+   a file of the lot, so no answer is shuffled twice. A triple with a
    pair that no other lot has is this lot's alone and not sent. The random numbers of a dish follow from
    its hash, so every lot that has it seats it alike, and one lot, its owner, adds it to the sums. In each
    sweep two kinds of sums go round: by pair, the customers that triples send to their parent and the
@@ -58,6 +59,10 @@ _END, _BEGIN = (mix(np.array([x], np.uint64)) for x in (0xE4D0, 0xBE61))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MESSAGE = "range int, lot long, kind int, blob binary"
 _REPLY = "lot long, range int, kind int, blob binary"
+#: A lot's file of one step (0: its texts); sums over all ranges have a negative lot.
+_KEPT = "lot long, step int, path string, sums binary"
+#: Keys that the ranges' sums are dealt to.
+SUM_KEYS = 64
 WORDS, PAIRS, TRIPLES, TOTALS = 1, 2, 3, 9
 #: Kinds of a sweep's sums are these and the sweep's number.
 BY_PAIR, BY_WORD = 1000, 2000
@@ -295,9 +300,9 @@ class Model:
             path = f"{root}/lot-{task}-{number}-{uuid.uuid4().hex}"
             with files.open_output_stream(path) as out:
                 out.write(Lot.write(parts))
-            batch = pa.RecordBatch.from_arrays([pa.array([(task << 24) | number], pa.int64()), pa.array([path])], ["lot", "path"])
+            kept = self._kept((task << 24) | number, 0, path, None)
             number, parts, n = number + 1, [], 0
-            return batch
+            return kept.to_batches()[0]
 
         for whole in batches:
             for batch in byte_slices(whole, "text", 1 << 20):
@@ -314,55 +319,88 @@ class Model:
         if parts:
             yield flush()
 
-    def _lot(self, path: str) -> Lot:
+    def _read(self, path: str) -> bytes:
         from pyarrow import fs
 
         files, _ = fs.FileSystem.from_uri(self.folder)
         with files.open_input_stream(path) as stream:
-            return Lot(stream.read())
+            return stream.read()
+
+    @staticmethod
+    def _kept(lot: int, step: int, path: str | None, sums: bytes | None) -> pa.Table:
+        return pa.table([pa.array([lot], pa.int64()), pa.array([step], pa.int32()), pa.array([path], pa.string()), pa.array([sums], pa.binary())], names=["lot", "step", "path", "sums"])
+
+    def keep(self, step: int):
+        """Writes the answers to one lot as a file; adds the sums of the ranges."""
+
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            from pyarrow import fs
+
+            lot = key[0].as_py()
+            rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "range", "blob"))), key=lambda r: r[:2])
+            if lot < 0:
+                return self._kept(lot, step, None, pack(sum(unpack(r[2]).astype(np.int64) for r in rows)))
+            files, root = fs.FileSystem.from_uri(self.folder)
+            path = f"{root}/step-{step}-{lot}-{uuid.uuid4().hex}"
+            whole = pack_many(pack(np.array([r[0] for r in rows])), pack(np.array([len(r[2]) for r in rows])), b"".join(r[2] for r in rows))
+            with files.open_output_stream(path) as out, pa.CompressedOutputStream(out, "zstd") as packed:
+                packed.write(whole)
+            return self._kept(lot, step, path, None)
+
+        return run
+
+    def _replies(self, paths: list[str]) -> dict[int, list[bytes]]:
+        out: dict[int, list] = {}
+        for path in paths:
+            kinds, sizes, flat = unpack_many(pa.CompressedInputStream(pa.BufferReader(self._read(path)), "zstd").read(), 3)
+            at = 0
+            for kind, size in zip(unpack(kinds).tolist(), unpack(sizes).tolist()):
+                out.setdefault(kind, []).append(flat[at : at + size])
+                at += size
+        return out
+
+    @staticmethod
+    def on_lots(run):
+        """A function for mapInArrow: ``run(lot, its files)`` gives record batches."""
+
+        def task(batches):
+            for batch in batches:
+                for lot, files in zip(batch.column("lot").to_pylist(), batch.column("files").to_pylist()):
+                    yield from run(lot, [f["path"] for f in files])
+
+        return lean(task)
 
     def _send(self, key: int, kind: int, hashes: np.ndarray, bits: int, *values: np.ndarray) -> list[tuple]:
         return [(k, key, kind, pack_many(pack_rising(hashes[c]), *(pack(v[c]) for v in values))) for k, c in _cuts(hashes, bits, self.ranges)]
 
-    def send_counts(self, batches):
-        for batch in batches:
-            for key, path in zip(batch.column("lot").to_pylist(), batch.column("path").to_pylist()):
-                lot = self._lot(path)
-                lot.group_pairs()
-                o = lot.order
-                rows = self._send(key, WORDS, lot.words[o], 64, lot.word_counts()[o])
-                rows += self._send(key, PAIRS, lot.pair_hashes, HASH_BITS, lot.pair_counts)
-                yield from _rows(rows, ["range", "lot", "kind", "blob"])
-
-    def send_triples(self, key: tuple, table: pa.Table) -> pa.Table:
-        lot, shares, _ = self._opened(table)
+    def send_counts(self, key: int, paths: list[str]):
+        lot = Lot(self._read(paths[0]))
+        lot.group_pairs()
+        o = lot.order
+        rows = self._send(key, WORDS, lot.words[o], 64, lot.word_counts()[o])
+        rows += self._send(key, PAIRS, lot.pair_hashes, HASH_BITS, lot.pair_counts)
+        return self._sent(rows)
+
+    def send_triples(self, key: int, paths: list[str]):
+        lot, shares, _ = self._opened(paths)
         out = self._sent_triples(lot, shares)
-        rows = self._send(key[0].as_py(), TRIPLES, lot.triple_hashes[out], HASH_BITS, lot.triple_counts[out])
-        return self._table(rows)
+        return self._sent(self._send(key, TRIPLES, lot.triple_hashes[out], HASH_BITS, lot.triple_counts[out]))
 
     @staticmethod
     def _sent_triples(lot: Lot, shares: Shares) -> np.ndarray:
         return shares.shared[lot.context] & shares.shared[lot.parent]
 
     @staticmethod
-    def _table(rows: list[tuple]) -> pa.Table:
-        names = ["range", "lot", "kind", "blob"]
-        return pa.Table.from_batches(list(_rows(rows, names)), pa.schema([("range", pa.int32()), ("lot", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())]))
+    def _sent(rows: list[tuple]):
+        return _rows(rows, ["range", "lot", "kind", "blob"])
 
-    def _opened(self, table: pa.Table, triples: bool = True) -> tuple[Lot, Shares, dict]:
-        lot, replies = self._lot(table.column("path")[0].as_py()), self._replies(table)
+    def _opened(self, paths: list[str], triples: bool = True) -> tuple[Lot, Shares, dict]:
+        lot, replies = Lot(self._read(paths[0])), self._replies(paths[1:])
         lot.group_pairs()
         if triples:
             lot.group_triples()
         return lot, Shares(lot, replies), replies
 
-    @staticmethod
-    def _replies(table: pa.Table) -> dict[int, list[bytes]]:
-        out: dict[int, list] = {}
-        for r, kind, blob in sorted(zip(table.column("range").to_pylist(), table.column("kind").to_pylist(), table.column("blob").to_pylist()), key=lambda x: x[0]):
-            out.setdefault(kind, []).append(blob)
-        return out
-
     def _triple_totals(self, lot: Lot, shares: Shares, replies: dict) -> tuple[np.ndarray, np.ndarray]:
         """(total, whether this lot owns it) of the triples."""
         total, owned, out = lot.triple_counts.copy(), np.ones(len(lot.context), bool), self._sent_triples(lot, shares)
@@ -401,8 +439,8 @@ class Model:
     def send_pair_sums(self, sweep: int, sums: list[dict]):
         """First half of a sweep on one lot: seats its triples and sends the sums by pair of those it owns."""
 
-        def run(key: tuple, table: pa.Table) -> pa.Table:
-            lot, shares, replies = self._opened(table)
+        def run(key: int, paths: list[str]):
+            lot, shares, replies = self._opened(paths)
             counts, owned = self._triple_totals(lot, shares, replies)
             state = chance = None
             if sweep:
@@ -413,30 +451,30 @@ class Model:
             customers = np.bincount(lot.parent, weights=tables, minlength=len(lot.pair_first)).astype(np.int64)
             of_context = np.bincount(lot.context, weights=tables, minlength=len(lot.pair_first)).astype(np.int64)
             o = shares.spoken
-            return self._table(self._send(key[0].as_py(), BY_PAIR + sweep, lot.pair_hashes[o], HASH_BITS, customers[o], of_context[o]))
+            return self._sent(self._send(key, BY_PAIR + sweep, lot.pair_hashes[o], HASH_BITS, customers[o], of_context[o]))
 
         return run
 
     def send_word_sums(self, sweep: int, sums: list[dict]):
         """Second half: seats the pairs and sends the sums by word of those it owns."""
 
-        def run(key: tuple, table: pa.Table) -> pa.Table:
-            lot, shares, replies = self._opened(table, triples=False)
+        def run(key: int, paths: list[str]):
+            lot, shares, replies = self._opened(paths, triples=False)
             customers = shares.sums(replies[BY_PAIR + sweep])[0] * shares.owned
             before = self._state(lot, shares, replies, sweep - 1, sums[sweep - 1]) if sweep else None
             tables = self._pair_tables(lot, customers, before, sweep)
             n, o = len(lot.words), shares.words
             add = lambda codes, x: np.bincount(codes, weights=x, minlength=n).astype(np.int64)[o]
             values = add(lot.pair_second, tables), add(lot.pair_first, tables), add(lot.pair_first, customers)
-            return self._table(self._send(key[0].as_py(), BY_WORD + sweep, lot.words[o], 64, *values))
+            return self._sent(self._send(key, BY_WORD + sweep, lot.words[o], 64, *values))
 
         return run
 
     def score(self, sums: list[dict], first: int):
         """(row, doc_id, held_out, n_tokens, n_known, base_score, score) of one lot's documents or parts."""
 
-        def run(table: pa.Table) -> pa.Table:
-            lot, shares, replies = self._opened(table)
+        def run(key: int, paths: list[str]):
+            lot, shares, replies = self._opened(paths)
             seen = shares.seen
             # the context of two beginnings has as many customers as there are ends
             served = np.where(lot.opening, seen[lot.end], shares.total)[lot.context]
@@ -461,7 +499,7 @@ class Model:
                     pa.array(add((seen > 0).astype(np.int64)[lot.codes])), pa.array(add(base)), pa.array(add(logs)),
                 ],
                 names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+            ).to_batches()
 
         return run
 
@@ -481,7 +519,7 @@ class Model:
                 reply = total[place]
                 if kind == WORDS:
                     sums = pack(np.array([int(total.sum()), int((total > 0).sum()), int((total == 1).sum())]))
-                    yield from _rows([(-1, where, TOTALS, sums)], ["lot", "range", "kind", "blob"])
+                    yield from _rows([(-1 - where % SUM_KEYS, where, TOTALS, sums)], ["lot", "range", "kind", "blob"])
                 else:
                     trained = np.flatnonzero(number > 0)
                     _, head = np.unique(place[trained], return_index=True)
@@ -519,17 +557,17 @@ class Model:
                 lots, distinct, (customers, after, served) = self._summed(rows, 3)
                 pull = np.full(len(distinct), (self.strengths[0] + self.discounts[0] * root_tables) / (vocabulary + 1))
                 tables = seat(customers, pull, self.discounts[0], distinct, sweep).astype(np.int64)
-                yield from _rows([(-1, where, TOTALS, pack(np.array([int(customers.sum()), int(tables.sum())])))], ["lot", "range", "kind", "blob"])
+                yield from _rows([(-1 - where % SUM_KEYS, where, TOTALS, pack(np.array([int(customers.sum()), int(tables.sum())])))], ["lot", "range", "kind", "blob"])
                 values = (customers, tables, after, served)
                 yield from _rows([(lot, where, BY_WORD + sweep, pack_many(*(pack(v[at]) for v in values))) for lot, at in lots], ["lot", "range", "kind", "blob"])
 
         return run
 
 
-def _sums(replies: DataFrame, n: int) -> tuple[int, ...]:
-    """``n`` numbers a range reach the driver."""
-    rows = replies.where(F.col("kind") == TOTALS).select("blob").collect()
-    parts = np.array([unpack(bytes(r["blob"])).astype(np.int64) for r in rows], np.int64).reshape(-1, n)
+def _sums(kept: DataFrame, n: int) -> tuple[int, ...]:
+    """``n`` numbers of each of SUM_KEYS keys reach the driver."""
+    rows = kept.where("lot < 0").select("sums").collect()
+    parts = np.array([unpack(bytes(r["sums"])).astype(np.int64) for r in rows], np.int64).reshape(-1, n)
     return tuple(int(x) for x in parts.sum(axis=0))
 
 
@@ -548,38 +586,42 @@ def score_documents(
     tasks = min(ranges, RANGE_TASKS)
     model = Model(f"{tables.root}/lots", ranges, discounts, strengths)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    lots = tables.save(rows.mapInArrow(lean(model.write_lots), "lot long, path string"), "lots-manifest")
-    dealt = lots.repartitionById(tasks, F.pmod(F.xxhash64("lot"), F.lit(tasks)).cast("int"))
-
-    def ask(messages: DataFrame, reduce, name: str) -> DataFrame:
-        sent = messages.repartitionById(tasks, F.floor(F.col("range") * tasks / ranges).cast("int"))
+    kept = [tables.save(rows.mapInArrow(lean(model.write_lots), _KEPT), "step-0")]
+    lots = max(1, min(RANGE_TASKS, kept[0].count()))
+
+    def with_files(*steps: int) -> DataFrame:
+        every = kept[0]
+        for step in steps:
+            every = every.union(kept[step])
+        files = every.where("lot >= 0").groupBy("lot").agg(F.array_sort(F.collect_list(F.struct("step", "path"))).alias("files"))
+        # dealt in turn, a lot to each task
+        return files.repartition(lots)
+
+    def ask(run, reduce, *steps: int) -> int:
+        """The number of the step that ``run`` and ``reduce`` make of the files of ``steps``."""
+        step = len(kept)
+        sent = with_files(*steps).mapInArrow(model.on_lots(run), _MESSAGE).repartitionById(tasks, F.floor(F.col("range") * tasks / ranges).cast("int"))
         if tasks < ranges:
             sent = sent.sortWithinPartitions("range")
-        return tables.save(sent.mapInArrow(lean(reduce), _REPLY), name)
-
-    def with_lot(*replies: DataFrame):
-        every = replies[0]
-        for more in replies[1:]:
-            every = every.union(more)
-        return every.where(F.col("kind") != TOTALS).join(lots, "lot").groupBy("lot")
-
-    counts = ask(dealt.mapInArrow(lean(model.send_counts), _MESSAGE), model.total_ranges, "counts")
-    tokens, vocabulary, once = _sums(counts, 3)
-    triples = ask(with_lot(counts).applyInArrow(lambda key, table: model.send_triples(key, table), _MESSAGE), model.total_ranges, "triples")
-    by_pair: list[DataFrame] = []
-    by_word: list[DataFrame] = []
+        answers = sent.mapInArrow(lean(reduce), _REPLY).groupBy("lot")
+        kept.append(tables.save(answers.applyInArrow(model.keep(step), _KEPT), f"step-{step}"))
+        return step
+
+    counts = ask(model.send_counts, model.total_ranges)
+    tokens, vocabulary, once = _sums(kept[counts], 3)
+    triples = ask(model.send_triples, model.total_ranges, counts)
+    by_pair: list[int] = []
+    by_word: list[int] = []
     sums: list[dict] = []
     for sweep in range(sweeps + 1):
         last = slice(max(0, sweep - 2), sweep)
-        sent = with_lot(counts, triples, *by_pair[last], *by_word[last]).applyInArrow(model.send_pair_sums(sweep, sums), _MESSAGE)
-        by_pair.append(ask(sent, model.add_pairs(sweep), f"pairs-{sweep}"))
+        by_pair.append(ask(model.send_pair_sums(sweep, sums), model.add_pairs(sweep), counts, triples, *by_pair[last], *by_word[last]))
         last = slice(max(0, sweep - 1), sweep)
-        sent = with_lot(counts, *by_pair[max(0, sweep - 1) :], *by_word[last]).applyInArrow(model.send_word_sums(sweep, sums), _MESSAGE)
-        by_word.append(ask(sent, model.seat_root(sweep, vocabulary, sums[-1]["tables"] if sums else 0.0), f"words-{sweep}"))
-        customers, root = _sums(by_word[-1], 2)
+        by_word.append(ask(model.send_word_sums(sweep, sums), model.seat_root(sweep, vocabulary, sums[-1]["tables"] if sums else 0.0), counts, *by_pair[max(0, sweep - 1) :], *by_word[last]))
+        customers, root = _sums(kept[by_word[-1]], 2)
         sums.append({"tokens": tokens, "vocabulary": vocabulary, "customers": customers + once, "tables": root + once})
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = with_lot(counts, triples, *by_pair, *by_word).applyInArrow(model.score(sums, burn_in), kinds)
+    scored = with_files(counts, triples, *by_pair, *by_word).mapInArrow(model.on_lots(model.score(sums, burn_in)), kinds)
     # parts of one document
     whole = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))).drop("row")
     return whole.withColumn("train_tokens", F.lit(tokens).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
