@@ -27,6 +27,23 @@ def unpack(blob: bytes) -> np.ndarray:
     return (out << np.uint64(32)) | np.frombuffer(blob, "<u4", n, _HEAD.size) if wide else out
 
 
+def pack_small(values: np.ndarray) -> bytes:
+    """Unsigned values that are mostly below 255, in one byte each; the others stand after them."""
+    values = np.asarray(values, dtype=np.uint64)
+    large = values[values >= 255]
+    return struct.pack("<I", len(values)) + np.minimum(values, 255).astype(np.uint8).tobytes() + pack(large)
+
+
+def unpack_small(blob: bytes) -> np.ndarray:
+    (n,) = struct.unpack_from("<I", blob)
+    small = np.frombuffer(blob, np.uint8, n, 4)
+    out = small.astype(np.uint64)
+    large = np.flatnonzero(small == 255)
+    if len(large):
+        out[large] = unpack(blob[4 + n :])
+    return out
+
+
 def pack_rising(values: np.ndarray) -> bytes:
     return pack(np.diff(values, prepend=values[:1] * 0))
 

@@ -45,12 +45,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codec import pack, pack_many, pack_rising, unpack, unpack_many, unpack_rising
+from .codec import pack, pack_many, pack_rising, pack_small, unpack, unpack_many, unpack_rising, unpack_small
 from .common import SharedTables, byte_slices, input_bytes, lean, shuffle_partitions, utf8_values
 from .shingles import mix, word_hashes
 
 LOT_TOKENS = 1_000_000
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 #: Tasks that the ranges are dealt to at most.
 RANGE_TASKS = 20_000
 #: Bits of a pair's or triple's hash; the others of 64 hold a place in a lot while it is sorted.
@@ -188,17 +188,20 @@ class Lot:
 
     def group_pairs(self) -> None:
         """Distinct pairs of a word and the one before it, by rising hash; also those before a part."""
-        at = np.concatenate((self.seconds, self.spots))
-        first, second = self.every[at - 1], self.every[at]
-        mixed = mix(self.words[first] * _STEP + self.words[second])
+        second = np.ones(len(self.every), bool)
+        second[self.seconds - 1] = False
+        at, hashes = np.flatnonzero(second), self.words[self.every]
+        mixed = mix(hashes[:-1] * _STEP + hashes[1:])[second[1:]]
         self.pair_hashes, some, place = _group(mixed >> np.uint64(64 - HASH_BITS))
-        self.pair_first, self.pair_second, self.pair_mixed = first[some], second[some], mixed[some]
+        self.pair_first, self.pair_second, self.pair_mixed = self.every[at[some] - 1], self.every[at[some]], mixed[some]
         self.pair_at = np.empty(len(self.every), np.int64)
-        self.pair_at[at] = place
-        self.pair_counts = np.bincount(self.pair_at[self.spots[self.train]], minlength=len(some))
+        self.pair_at[second] = place
         #: Two beginnings stand before every document and are no pair of tokens.
         self.opening = (self.pair_first == self.begin) & (self.pair_second == self.begin)
 
+    def pair_counts(self) -> np.ndarray:
+        return np.bincount(self.pair_at[self.spots[self.train]], minlength=len(self.pair_hashes))
+
     def group_triples(self) -> None:
         """Distinct triples by rising hash: the pair before (``context``) and the pair of the nearer word and the last (``parent``)."""
         context, parent = self.pair_at[self.spots - 1], self.pair_at[self.spots]
@@ -212,12 +215,12 @@ class Shares:
     """What the lot knows of its words and pairs after the counts: totals, which pairs it owns, which others have too."""
 
     def __init__(self, lot: Lot, replies: dict):
-        self.seen = _scattered(np.concatenate([unpack(b) for b in replies[WORDS]]).astype(np.int64), lot.order)
+        self.seen = _scattered(np.concatenate([unpack_small(b) for b in replies[WORDS]]).astype(np.int64), lot.order)
         spoken = self.seen > 1
         spoken[lot.begin] = True
         #: Words whose sums go round, by rising hash.
         self.words = lot.order[spoken[lot.order]]
-        coded = np.concatenate([unpack(b) for b in replies[PAIRS]]).astype(np.int64)
+        coded = np.concatenate([unpack_small(b) for b in replies[PAIRS]]).astype(np.int64)
         self.total, self.owned = coded >> 2, (coded >> 1 & 1).astype(bool)
         self.shared = (coded & 1).astype(bool) | lot.opening
         #: Pairs whose sums go round.
@@ -225,7 +228,7 @@ class Shares:
         self.goes_on = lot.pair_second != lot.end
 
     def _filled(self, blobs: list[bytes], where: np.ndarray, known: list[np.ndarray]) -> list[np.ndarray]:
-        found = [np.concatenate(x) for x in zip(*([unpack(p) for p in unpack_many(b, len(known))] for b in blobs))]
+        found = [np.concatenate(x) for x in zip(*([unpack_small(p) for p in unpack_many(b, len(known))] for b in blobs))]
         out = [x.astype(np.float64) for x in known]
         for whole, part in zip(out, found):
             whole[where] = part
@@ -371,14 +374,14 @@ class Model:
         return lean(task)
 
     def _send(self, key: int, kind: int, hashes: np.ndarray, bits: int, *values: np.ndarray) -> list[tuple]:
-        return [(k, key, kind, pack_many(pack_rising(hashes[c]), *(pack(v[c]) for v in values))) for k, c in _cuts(hashes, bits, self.ranges)]
+        return [(k, key, kind, pack_many(pack_rising(hashes[c]), *(pack_small(v[c]) for v in values))) for k, c in _cuts(hashes, bits, self.ranges)]
 
     def send_counts(self, key: int, paths: list[str]):
         lot = Lot(self._read(paths[0]))
         lot.group_pairs()
         o = lot.order
         rows = self._send(key, WORDS, lot.words[o], 64, lot.word_counts()[o])
-        rows += self._send(key, PAIRS, lot.pair_hashes, HASH_BITS, lot.pair_counts)
+        rows += self._send(key, PAIRS, lot.pair_hashes, HASH_BITS, lot.pair_counts())
         return self._sent(rows)
 
     def send_triples(self, key: int, paths: list[str]):
@@ -405,7 +408,7 @@ class Model:
         """(total, whether this lot owns it) of the triples."""
         total, owned, out = lot.triple_counts.copy(), np.ones(len(lot.context), bool), self._sent_triples(lot, shares)
         if out.any():
-            coded = np.concatenate([unpack(b) for b in replies[TRIPLES]]).astype(np.int64)
+            coded = np.concatenate([unpack_small(b) for b in replies[TRIPLES]]).astype(np.int64)
             total[out], owned[out] = coded >> 2, (coded >> 1 & 1).astype(bool)
         return total, owned
 
@@ -512,7 +515,7 @@ class Model:
                 messages = sorted((lot, *unpack_many(blob, 2)) for lot, k, blob in rows if k == kind)
                 if not messages:
                     continue
-                keys, counts = [unpack_rising(m[1]) for m in messages], [unpack(m[2]).astype(np.int64) for m in messages]
+                keys, counts = [unpack_rising(m[1]) for m in messages], [unpack_small(m[2]).astype(np.int64) for m in messages]
                 number = np.concatenate(counts)
                 distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
                 total = np.bincount(place, weights=number, minlength=len(distinct)).astype(np.int64)
@@ -527,7 +530,7 @@ class Model:
                     reply[trained[head]] += 2
                     reply += (np.bincount(place) > 1)[place]
                 cut = np.cumsum([0, *map(len, keys)])
-                yield from _rows([(m[0], where, kind, pack(reply[cut[i] : cut[i + 1]])) for i, m in enumerate(messages)], ["lot", "range", "kind", "blob"])
+                yield from _rows([(m[0], where, kind, pack_small(reply[cut[i] : cut[i + 1]])) for i, m in enumerate(messages)], ["lot", "range", "kind", "blob"])
 
     @staticmethod
     def _summed(rows: list, n: int):
@@ -535,7 +538,7 @@ class Model:
         messages = [(lot, *unpack_many(blob, n + 1)) for lot, _, blob in rows]
         keys = [unpack_rising(m[1]) for m in messages]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        add = lambda k: np.bincount(place, weights=np.concatenate([unpack(m[k]) for m in messages]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
+        add = lambda k: np.bincount(place, weights=np.concatenate([unpack_small(m[k]) for m in messages]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
         cut = np.cumsum([0, *map(len, keys)])
         return [(m[0], place[cut[i] : cut[i + 1]]) for i, m in enumerate(messages)], distinct, [add(2 + k) for k in range(n)]
 
@@ -545,7 +548,7 @@ class Model:
         def run(batches):
             for where, rows in _by_range(batches):
                 lots, _, values = self._summed(rows, 2)
-                yield from _rows([(lot, where, BY_PAIR + sweep, pack_many(*(pack(v[at]) for v in values))) for lot, at in lots], ["lot", "range", "kind", "blob"])
+                yield from _rows([(lot, where, BY_PAIR + sweep, pack_many(*(pack_small(v[at]) for v in values))) for lot, at in lots], ["lot", "range", "kind", "blob"])
 
         return run
 
@@ -559,7 +562,7 @@ class Model:
                 tables = seat(customers, pull, self.discounts[0], distinct, sweep).astype(np.int64)
                 yield from _rows([(-1 - where % SUM_KEYS, where, TOTALS, pack(np.array([int(customers.sum()), int(tables.sum())])))], ["lot", "range", "kind", "blob"])
                 values = (customers, tables, after, served)
-                yield from _rows([(lot, where, BY_WORD + sweep, pack_many(*(pack(v[at]) for v in values))) for lot, at in lots], ["lot", "range", "kind", "blob"])
+                yield from _rows([(lot, where, BY_WORD + sweep, pack_many(*(pack_small(v[at]) for v in values))) for lot, at in lots], ["lot", "range", "kind", "blob"])
 
         return run
 

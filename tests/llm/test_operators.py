@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphweft.llm import decontamination, jaccard_join, language_id, packing, pitman_yor, quotations, sharding, token_counts, token_files, topk
+from graphweft.llm import codec, decontamination, jaccard_join, language_id, packing, pitman_yor, quotations, sharding, token_counts, token_files, topk
 from graphweft.llm.codec import pack, pack_rising, unpack, unpack_rising
 from graphweft.llm.queries import QUERIES, SQL
 from graphweft.llm.tokenizing import tokenizer_path
@@ -166,6 +166,11 @@ def brute_base(rows, held):
     return sorted((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in tokens)
 
 
+def test_small_numbers_round_trip():
+    for values in ([], [0], [254, 255, 256], [0, 255, 1 << 32, (1 << 64) - 1, 7], list(range(0, 3000, 7))):
+        assert codec.unpack_small(codec.pack_small(np.array(values, np.uint64))).tolist() == values
+
+
 def test_language_model(docs, none, monkeypatch):
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     rows = pitman_yor.score_documents(docs, held).collect()
