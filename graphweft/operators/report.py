@@ -56,6 +56,16 @@ def geomean_summary(results: DataFrame) -> DataFrame:
     )
 
 
+def improvement_log(results: DataFrame) -> DataFrame:
+    """(algorithm, instance, run, time, modularity) of the runs that beat all before them; runs without a value are no runs.
+
+    One task orders the runs of an algorithm on an instance.
+    """
+    before = Window.partitionBy("algorithm", "instance").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    best = results.where("modularity is not null").withColumn("best", F.max("modularity").over(before))
+    return best.where("best is null or modularity > best").select("algorithm", "instance", "run", "time", "modularity")
+
+
 def best_run(results: DataFrame) -> DataFrame:
     """The row of the best modularity of each algorithm and instance; the first run of equal ones."""
     rows = require_columns(results, "modularity", "time", "edges", "run").na.drop(subset=["modularity"])

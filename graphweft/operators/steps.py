@@ -116,10 +116,20 @@ def two_hop_cooccurrence(arcs: DataFrame) -> DataFrame:
 
 
 def modularity_entries(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(src, dst, b): W w - k k of every arc; the dense rest of the matrix is -k k and never built."""
+    """(src, dst, b, x) of every arc; the dense rest of the matrix is -k k and never built.
+
+    b is W w - k k, exact; x is a quarter of w - k k / W, and w where the weights add up to 0.
+    """
     degrees = node_degrees(nodes, arcs)
     own, other = degrees.select(F.col("id").alias("src"), F.col("k").alias("ks")), degrees.select(F.col("id").alias("dst"), F.col("k").alias("kd"))
-    return arcs.join(own, "src").join(other, "dst").join(degrees.agg(F.sum("k").alias("total"))).select("src", "dst", (F.col("total") * F.col("w") - F.col("ks") * F.col("kd")).alias("b"))
+    whole, square = degrees.agg(F.sum("k").alias("total")), F.col("ks") * F.col("kd")
+    scaled = F.when(F.col("total") == 0, F.col("w").cast("double")).otherwise((F.col("w") - square.cast("double") / F.col("total")) / 4)
+    return arcs.join(own, "src").join(other, "dst").join(whole).select("src", "dst", (F.col("total") * F.col("w") - square).alias("b"), rounded(scaled).alias("x"))
+
+
+def sigmoid(logits: DataFrame) -> DataFrame:
+    """(id, f): the probabilities of logits."""
+    return logits.select("id", F.transform("f", lambda x: 1 / (1 + F.exp(-x))).alias("f"))
 
 
 def select_large_communities(labels: DataFrame, factor: float = 0.5) -> DataFrame:

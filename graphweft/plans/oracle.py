@@ -84,6 +84,13 @@ gains AS (SELECT l.id, o.b, 2 * (tot_w * (o.w - coalesce(h.w, 0)) - d.k * (vb.K
 picks AS (SELECT id, b FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gain DESC, b) AS r FROM gains WHERE gain > 0) WHERE r = 1)"""
 MERGES = "gains AS (SELECT x.a, x.b, 2 * (tot_w * x.w - p.volume * s.volume) AS gain, round(2.0 * (tot_w * x.w - p.volume * s.volume) * (CAST(least(p.size, s.size) AS DOUBLE) / greatest(p.size, s.size)), 6) AS score FROM between_ x JOIN clus p ON p.c = x.a JOIN clus s ON s.c = x.b, whole WHERE x.a < x.b)"
 
+LINE = ("graph", "nodes", "edges", "modularity", "N", "clusters", "conductance", "cut", "f1", "accuracy", "tp", "fp", "tn", "fn", "ari", "nmi", "purity", "invpurity")
+DECIMALS = {"modularity": 9} | dict.fromkeys(("conductance", "cut", "f1", "accuracy", "ari", "nmi", "purity", "invpurity"), 8)
+VALIDATE = """SELECT 'endpoint' AS rule, src, dst, CAST(1 AS BIGINT) AS detail FROM bad WHERE dst NOT IN (SELECT id FROM nodes)
+UNION ALL SELECT 'self_loop', src, dst, 1 FROM bad WHERE src = dst
+UNION ALL SELECT 'repeated', src, dst, count(*) FROM bad GROUP BY src, dst HAVING count(*) > 1
+UNION ALL SELECT 'asymmetric', src, dst, 1 FROM (SELECT DISTINCT src, dst FROM bad b WHERE NOT EXISTS (SELECT 1 FROM bad r WHERE r.src = b.dst AND r.dst = b.src))"""
+
 SQL = {
     "selfloop_drop": "WITH e AS (SELECT event_id AS pos, lag(user_id) OVER (ORDER BY ts, event_id) AS src, user_id AS dst, row_number() OVER (ORDER BY ts, event_id) AS n FROM events) SELECT n AS pos, src, dst FROM e WHERE src IS NOT NULL AND src <> dst",
     "default_features": q(TRADE, "SELECT id, 1.0::DOUBLE AS f0 FROM nodes"),
@@ -94,11 +101,8 @@ UNION ALL SELECT id + 1, coalesce((SELECT string_agg(CAST(dst + 1 AS VARCHAR), '
     "arcs_dedup": f"WITH {PAIRS} SELECT DISTINCT src, dst, CAST(1 AS BIGINT) AS w FROM pairs",
     "arcs_merge": f"WITH {PAIRS} SELECT src, dst, count(*) AS w FROM pairs GROUP BY 1, 2",
     "graph_stats": q(TRADE, "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM arcs) AS edges, (SELECT CAST(sum(w) AS BIGINT) FROM arcs) AS total_weight"),
-    "validate_graph": q(TRADE, """SELECT rule, src, dst, detail FROM (
-SELECT 'endpoint' AS rule, src, dst, CAST(1 AS BIGINT) AS detail FROM bad WHERE dst NOT IN (SELECT id FROM nodes)
-UNION ALL SELECT 'self_loop', src, dst, 1 FROM bad WHERE src = dst
-UNION ALL SELECT 'repeated', src, dst, count(*) FROM bad GROUP BY src, dst HAVING count(*) > 1
-UNION ALL SELECT 'asymmetric', src, dst, 1 FROM (SELECT DISTINCT src, dst FROM bad b WHERE NOT EXISTS (SELECT 1 FROM bad r WHERE r.src = b.dst AND r.dst = b.src)))""", VALIDATE_ARCS),
+    "validate_graph": q(TRADE, f"SELECT rule, src, dst, detail FROM ({VALIDATE})", VALIDATE_ARCS),
+    "validate_header": q(TRADE, f"SELECT rule, src, dst, detail FROM ({VALIDATE} UNION ALL SELECT 'edge_count', NULL, NULL, count(*) FROM bad HAVING count(*) <> 14)", VALIDATE_ARCS),
     "asymmetric_arcs": q(TRADE, "SELECT DISTINCT src, dst FROM bad b WHERE NOT EXISTS (SELECT 1 FROM bad r WHERE r.src = b.dst AND r.dst = b.src)", VALIDATE_ARCS),
     "graph_diff": q(TRADE, "SELECT src, dst, w FROM bad EXCEPT ALL SELECT src, dst, w FROM arcs", VALIDATE_ARCS),
     "contract_clusters": q(TRADE, "SELECT 'node' AS kind, CAST(c AS BIGINT) AS src, CAST(c AS BIGINT) AS dst, inner_ AS w FROM clus UNION ALL SELECT 'arc', a, b, w FROM between_ WHERE a <> b", CLUS),
@@ -144,6 +148,8 @@ LEFT JOIN (SELECT x, count(*) AS tv, count(*) FILTER (WHERE cx = cy AND cx = cz)
     "performance_profile": f"WITH {RESULTS}, {RATIOS} {PROFILE}",
     "performance_profile_wide": f"WITH {RESULTS}, {RATIOS} SELECT fraction, " + ", ".join(f"max(ratio) FILTER (WHERE algorithm = '{x}') AS \"{x}\"" for x in ("click", "error", "purchase", "signup", "view")) + f" FROM ({PROFILE}) GROUP BY rank, fraction",
     "geomean_summary": f"WITH {RESULTS}, b AS ({BEST_RUN}) SELECT algorithm, round(exp(avg(ln(modularity))), 6) AS quality, round(exp(avg(ln(time * 1e6 / edges))), 3) AS us_per_edge, count(*) AS instances FROM b WHERE modularity > 0 AND time > 0 AND edges > 0 GROUP BY 1",
+    "improvement_log": f"WITH {RESULTS} SELECT algorithm, instance, run, time, modularity FROM (SELECT *, max(modularity) OVER (PARTITION BY algorithm, instance ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM results WHERE modularity IS NOT NULL) WHERE best IS NULL OR modularity > best",
+    "results_scan": f"WITH {RESULTS} SELECT algorithm, instance, run, memory, time, edges, modularity FROM results",
     "best_run": f"WITH {RESULTS} {BEST_RUN}",
     "speedup": f"WITH {RESULTS} SELECT algorithm, instance, t_low, t_high, round(t_low / nullif(t_high, 0), 6) AS speedup FROM (SELECT algorithm, instance, max(time) FILTER (WHERE threads = 1) AS t_low, max(time) FILTER (WHERE threads = 16) AS t_high FROM results GROUP BY 1, 2)",
     "memory_table": f"WITH {RESULTS} SELECT algorithm, kb, CASE WHEN kb >= 1048576 THEN CAST(kb // 1048576 AS VARCHAR) || ' GB' WHEN kb >= 1024 THEN CAST(kb // 1024 AS VARCHAR) || ' MB' ELSE CAST(kb AS VARCHAR) || ' KB' END AS memory FROM (SELECT algorithm, max(memory) AS kb FROM results GROUP BY 1)",
@@ -159,11 +165,20 @@ LEFT JOIN (SELECT x, count(*) AS tv, count(*) FILTER (WHERE cx = cy AND cx = cz)
     "neighbor_sample": q(COPURCHASE, "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (src * 7919 + dst * 104729) % 1000003, dst) AS r FROM arcs) WHERE r <= 10"),
     "walk_distribution": q(KNN, "SELECT a.src, b.dst, round(sum(a.p * b.p), 8) AS p FROM one a JOIN one b ON a.dst = b.src GROUP BY 1, 2", "one AS (SELECT arcs.src, dst, CAST(w AS DOUBLE) / k AS p FROM arcs JOIN (SELECT src, sum(w) AS k FROM arcs GROUP BY 1) d ON d.src = arcs.src)"),
     "two_hop_cooccurrence": q(KNN, "SELECT a.dst AS a, b.dst AS b, count(*) AS n FROM arcs a JOIN arcs b ON a.src = b.src AND a.dst < b.dst GROUP BY 1, 2"),
-    "modularity_matrix_entries": q(TRADE, "SELECT src, dst, tot_w * w - p.k * s.k AS b FROM arcs JOIN deg p ON p.id = src JOIN deg s ON s.id = dst, (SELECT CAST(sum(k) AS BIGINT) AS tot_w FROM deg)", DEG),
+    "modularity_matrix_entries": q(TRADE, """SELECT src, dst, tot_w * w - p.k * s.k AS b, round(CASE WHEN tot_w = 0 THEN CAST(w AS DOUBLE) ELSE (w - CAST(p.k * s.k AS DOUBLE) / tot_w) / 4 END, 8) AS x
+FROM arcs JOIN held p ON p.id = src JOIN held s ON s.id = dst, (SELECT CAST(sum(k) AS BIGINT) AS tot_w FROM held)""", DEG, "held AS MATERIALIZED (SELECT id, k FROM deg)").replace("edges0 AS (", "edges0 AS MATERIALIZED (", 1),
     "select_large_communities": q(DOCS, "SELECT c, size FROM (SELECT c, count(*) AS size FROM labels GROUP BY c), (SELECT avg(size) AS mean, stddev_pop(size) AS sd FROM (SELECT count(*) AS size FROM labels GROUP BY c)) WHERE size > mean + 0.5 * sd"),
     "features_row_norm": "SELECT id, pos, round(x / (sum(x) OVER (PARTITION BY id) + 1e-9), 8) AS x FROM (SELECT vec_id AS id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, abs(CAST(unnest(embedding) AS DOUBLE)) AS x FROM embeddings)",
     "features_l2_norm": "SELECT id, pos, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY id)), 1e-12), 8) AS x FROM (SELECT vec_id AS id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)",
     "adcsbm_params": "SELECT CAST(c AS INTEGER) AS c, CAST(250 AS BIGINT) AS size, round(20 * 0.8 / 249, 10) AS p_in, round(20 * (1 - 0.8) / 750, 10) AS p_out FROM range(4) x(c)",
+    "sigmoid_probabilities": "SELECT id, pos, round(1 / (1 + exp(-x)), 8) AS x FROM (SELECT vec_id AS id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)",
+    "feature_lines": "SELECT CAST(0 AS BIGINT) AS row, printf('%d %d', count(*), max(len(embedding))) AS line FROM embeddings UNION ALL SELECT vec_id + 1, list_aggregate(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), 'string_agg', ' ') FROM embeddings",
+    "features_scan": "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(printf('%.6f', CAST(x AS DOUBLE)) AS DOUBLE))), 4) AS total FROM embeddings",
+    "soft_modularity": q(TRADE, """SELECT round((inner_ - square / total) / total, 6) AS modularity FROM
+(SELECT sum(w * CASE WHEN p.t = r.t THEN 0.40::DOUBLE ELSE 0.15::DOUBLE END) AS inner_, CAST(sum(w) AS DOUBLE) AS total FROM arcs JOIN labels p ON src = p.id JOIN labels r ON dst = r.id),
+(SELECT sum(v * v) AS square FROM (SELECT sum(k * CASE WHEN t = i THEN 0.6::DOUBLE ELSE 0.1::DOUBLE END) AS v FROM labels JOIN deg USING (id), range(5) r(i) GROUP BY i))""", DEG),
+    "eval_line": q(TRADE, "SELECT concat_ws(',', " + ", ".join(f"printf('%.{DECIMALS[c]}f', {c})" if c in DECIMALS else c for c in LINE) + f") AS line FROM ({EVAL})", CLUS, CONT),
+    "metis_weighted_scan": q(DOCS, "SELECT src, dst, (src + dst) % 5 + 1 AS w FROM arcs"),
     "metis_scan": q(DOCS, "SELECT src, dst, w FROM arcs"),
     "labels_scan": q(DOCS, "SELECT id, c FROM labels"),
     "sweep_settings": "SELECT 'assortativity' AS setting, CAST(i AS INTEGER) AS step, round(0.95 - 0.025 * i, 3)::DOUBLE AS value FROM range(27) r(i) UNION ALL SELECT 'signal', CAST(j AS INTEGER), round(pow(10.0, (j - 20) / 10.0), 6) FROM range(31) s(j)",

@@ -97,6 +97,13 @@ def validate_graph(spark, sf_dir):
     return normalize.validate(g.nodes, _spoiled(g))
 
 
+@query
+def validate_header(spark, sf_dir):
+    """The violations with a header that names a wrong number of edges."""
+    g = views.trade(spark, sf_dir)
+    return normalize.validate(g.nodes, _spoiled(g), 7)
+
+
 @query
 def asymmetric_arcs(spark, sf_dir):
     return normalize.asymmetric_arcs(_spoiled(views.trade(spark, sf_dir)))
@@ -315,6 +322,7 @@ QUERIES |= {
     "performance_profile": lambda s, d: report.performance_profile(results(s, d)),
     "performance_profile_wide": lambda s, d: report.performance_profile_wide(results(s, d)),
     "geomean_summary": lambda s, d: report.geomean_summary(results(s, d)),
+    "improvement_log": lambda s, d: report.improvement_log(results(s, d)),
     "best_run": lambda s, d: report.best_run(results(s, d)),
     "speedup": lambda s, d: report.speedup(results(s, d)),
     "memory_table": lambda s, d: report.memory_table(results(s, d)),
@@ -427,6 +435,11 @@ def features_row_norm(spark, sf_dir):
     return _long(steps.row_normalized(_features(spark, sf_dir).select("id", F.transform("f", F.abs).alias("f"))))
 
 
+@query
+def sigmoid_probabilities(spark, sf_dir):
+    return _long(steps.sigmoid(_features(spark, sf_dir)))
+
+
 @query
 def features_l2_norm(spark, sf_dir):
     return _long(steps.l2_normalized(_features(spark, sf_dir)))
@@ -565,6 +578,25 @@ def metis_scan(spark, sf_dir):
     return text.read_metis(spark, path).arcs
 
 
+@query
+def metis_weighted_scan(spark, sf_dir):
+    """The documents' graph with arc and node weights as METIS lines, read back."""
+    g = views.documents_graph(spark, sf_dir)
+    path = _shared(spark, "weighted.metis")
+    nodes = g.nodes.withColumn("size", F.col("id") % 3 + 1)
+    text.write_lines(text.weighted_metis_lines(nodes, g.arcs.withColumn("w", (F.col("src") + F.col("dst")) % 5 + 1)), path)
+    return text.read_metis(spark, path).arcs
+
+
+@query
+def results_scan(spark, sf_dir):
+    """The table of runs written as CSV and read back."""
+    path, runs = _shared(spark, "results"), results(spark, sf_dir)
+    kinds = [field.split(" ", 1) for field in text.RESULT_SCHEMA.split(", ")]
+    text.write_results(runs.select(*[(F.col(name) if name in runs.columns else F.lit(None)).cast(kind).alias(name) for name, kind in kinds]), path)
+    return text.read_results(spark, path).select("algorithm", "instance", "run", "memory", "time", "edges", "modularity")
+
+
 @query
 def labels_scan(spark, sf_dir):
     path = _shared(spark, "graph.labels")

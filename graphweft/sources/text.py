@@ -80,6 +80,16 @@ def truth_beside(spark: SparkSession, path: str) -> str | None:
     return beside if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop) else None
 
 
+def weighted_metis_lines(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(row, line) with weights, format 11: a node's weight (its column ``size``, else 1), then neighbour and weight by turns."""
+    between = arcs.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    near = between.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct((F.col("dst") + 1).alias("dst"), "w"))).alias("x"))
+    weight = (F.col("size") if "size" in nodes.columns else F.lit(1)).cast("string")
+    body = nodes.join(near, "id", "left").select((F.col("id") + 1).alias("row"), F.concat_ws(" ", weight, F.array_join(F.transform("x", lambda e: F.format_string("%d %d", e["dst"], e["w"])), " ")).alias("line"))
+    counts = nodes.agg(F.count(F.lit(1)).alias("n")).join(between.agg(F.floor(F.count(F.lit(1)) / 2).alias("m")))
+    return counts.select(F.lit(0).cast("long").alias("row"), F.format_string("%d %d 11", "n", "m").alias("line")).union(body)
+
+
 def metis_lines(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """(row, line): header `n m 0` in row 0, then each node's sorted neighbours, from 1. Node ids are 0 to n - 1."""
     near = arcs.where("src <> dst").select("src", "dst").distinct().groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.col("dst") + 1)).alias("x"))
