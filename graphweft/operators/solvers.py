@@ -11,6 +11,8 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -122,20 +124,50 @@ def propagate_kmeans(graph: Graph, features: DataFrame, k: int, seed: int = 0) -
     return kmeans(propagated(graph, features), k, seed)
 
 
-def propagate_threshold(graph: Graph, features: DataFrame, threshold: float = 0.5, k: int = 64) -> DataFrame:
-    """Surrogate of threshold clustering without a given k: fine k-means, then centres nearer than ``threshold`` join."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def threshold_clusters(points: DataFrame, threshold: float) -> DataFrame:
+    """(id, c) of points (id, f) by leaders: in id order a point joins the first leader nearer than ``threshold``, else it leads.
 
-    vectors = propagated(graph, features).select("id", array_to_vector("f").alias("features"))
-    model = KMeans(k=k, seed=1, maxIter=30).fit(vectors)
-    centres, top = model.clusterCenters(), list(range(len(model.clusterCenters())))
-    for i in range(len(centres)):  # k centres
-        for j in range(i):
-            if float(((centres[i] - centres[j]) ** 2).sum()) ** 0.5 < threshold:
-                top = [top[j] if t == top[i] else t for t in top]
-    found = vectors.sparkSession.createDataFrame(list(enumerate(top)), "prediction int, c long")
-    return model.transform(vectors).select("id", "prediction").join(F.broadcast(found), "prediction").select("id", "c")
+    Parts of the points are clustered at once, then the leaders of all parts in one task, which holds one vector
+    for each cluster of a part; so a point is less than two thresholds from its leader. c is the leader's id.
+    """
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        vectors = np.zeros((0, 0))
+        names: list[int] = []
+        for batch in batches:
+            own, flat = batch.column("id").to_numpy(zero_copy_only=False), batch.column("f").flatten().to_numpy(zero_copy_only=False)
+            f, found, apart = flat.reshape(len(own), -1), np.zeros(len(own), np.int64), np.ones(len(own), bool)
+            for at in range(0, len(names), 1024):
+                rest, some = np.flatnonzero(apart), vectors[at : at + 1024]
+                square = (f[rest] ** 2).sum(axis=1)[:, None] + (some**2).sum(axis=1)[None, :] - 2 * f[rest] @ some.T
+                near = square < threshold**2
+                hit = near.any(axis=1)
+                found[rest[hit]] = np.array(names)[at + near[hit].argmax(axis=1)]
+                apart[rest[hit]] = False
+            led = []
+            while apart.any():
+                first = int(apart.argmax())
+                joins = apart & (((f - f[first]) ** 2).sum(axis=1) < threshold**2)
+                joins[first] = True
+                found[joins], apart = own[first], apart & ~joins
+                led.append(first)
+            if led:
+                vectors = np.concatenate((vectors, f[led])) if names else f[led]
+                names += own[led].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.int64())], ["id", "c"])
+
+    def led_by(some: DataFrame, n: int) -> DataFrame:
+        return transform.checkpointed(some.select("id", "f").repartition(n, "id").sortWithinPartitions("id").mapInArrow(run, "id long, c long"))
+
+    labels = led_by(points, parts)
+    leaders = led_by(points.join(labels.where("id = c").select("id"), "id"), 1)
+    return labels.join(leaders.select(F.col("id").alias("c"), F.col("c").alias("d")), "c").select("id", F.col("d").alias("c"))
+
+
+def propagate_threshold(graph: Graph, features: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Surrogate of threshold clustering without a given k: propagated features, then leaders at least ``threshold`` apart."""
+    return threshold_clusters(transform.checkpointed(propagated(graph, features)), threshold)
 
 
 def select_then_assign(graph: Graph, features: DataFrame, gamma: float = 0.3, seed: int = 123) -> DataFrame:

@@ -102,7 +102,7 @@ UNION ALL SELECT id + 1, coalesce((SELECT string_agg(CAST(dst + 1 AS VARCHAR), '
     "arcs_merge": f"WITH {PAIRS} SELECT src, dst, count(*) AS w FROM pairs GROUP BY 1, 2",
     "graph_stats": q(TRADE, "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM arcs) AS edges, (SELECT CAST(sum(w) AS BIGINT) FROM arcs) AS total_weight"),
     "validate_graph": q(TRADE, f"SELECT rule, src, dst, detail FROM ({VALIDATE})", VALIDATE_ARCS),
-    "validate_header": q(TRADE, f"SELECT rule, src, dst, detail FROM ({VALIDATE} UNION ALL SELECT 'edge_count', NULL, NULL, count(*) FROM bad HAVING count(*) <> 14)", VALIDATE_ARCS),
+    "validate_header": q(TRADE, f"SELECT rule, src, dst, detail FROM ({VALIDATE} UNION ALL SELECT 'edge_count', -1, -1, count(*) FROM bad HAVING count(*) <> 14)", VALIDATE_ARCS),
     "asymmetric_arcs": q(TRADE, "SELECT DISTINCT src, dst FROM bad b WHERE NOT EXISTS (SELECT 1 FROM bad r WHERE r.src = b.dst AND r.dst = b.src)", VALIDATE_ARCS),
     "graph_diff": q(TRADE, "SELECT src, dst, w FROM bad EXCEPT ALL SELECT src, dst, w FROM arcs", VALIDATE_ARCS),
     "contract_clusters": q(TRADE, "SELECT 'node' AS kind, CAST(c AS BIGINT) AS src, CAST(c AS BIGINT) AS dst, inner_ AS w FROM clus UNION ALL SELECT 'arc', a, b, w FROM between_ WHERE a <> b", CLUS),

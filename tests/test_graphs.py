@@ -202,3 +202,10 @@ def test_isolated_nodes_keep_their_label(spark, monkeypatch):
     for method in ("louvain", "cnm", "walktrap"):
         found = {r.id: r.c for r in solvers.solve(graph, method).collect()}
         assert found == {i: 0 if i < 3 else 3 if i < 6 else i for i in range(200)}
+
+
+def test_threshold_clusters_have_no_cap(spark):
+    rows = [(g * 10 + i, [float(g % 10), float(g // 10), 0.01 * i]) for g in range(100) for i in range(10)]
+    found = {r.id: r.c for r in solvers.threshold_clusters(spark.createDataFrame(rows, "id long, f array<double>"), 0.5).collect()}
+    assert len(found) == 1000 and len(set(found.values())) == 100
+    assert all(c // 10 == i // 10 for i, c in found.items())
