@@ -68,6 +68,11 @@ _FOLD = "lower(regexp_replace(regexp_replace(line, '^([ \\t]*>)*', ''), '\\s+',
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 SQL: dict[str, str] = {
+    # the checksum bit by bit, lowest bit of each byte first
+    "op1_sharding": """WITH sized AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, string_split(CAST(CAST(encode(coalesce(text, '')) AS BIT) AS VARCHAR), '') AS b FROM documents),
+sums AS (SELECT doc_id, n + 1 AS size, sum(n + 1) OVER (ORDER BY doc_id) AS upto, sum(n + 1) OVER () AS total, CASE WHEN n = 0 THEN 0 ELSE xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * n), lambda k: CAST(b[(k // 8) * 8 + 8 - k % 8] AS BIGINT))), lambda c, x: xor(c >> 1, 3988292384 * (xor(c, x) & 1)))) END AS crc FROM sized),
+cut AS (SELECT *, CAST(least(15, (2 * upto - size) * 16 // (2 * total)) AS INTEGER) AS shard FROM sums)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut""",
     "op2_quotation_chat": f"""WITH RECURSIVE lines AS (SELECT conv_id, turn, row_number() OVER () AS m, role, text FROM conversations),
 cut AS (SELECT m, conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM lines WHERE text IS NOT NULL),
 levels AS (SELECT m, conv_id, turn, i, length(regexp_replace(regexp_extract(line, '^([ \\t]*>)*'), '[^>]', '', 'g')) AS level, trim({_FOLD}) AS t, line FROM cut),

@@ -132,6 +132,17 @@ def test_quotations_match_sql(spark):
     assert any(r["depth"] > 1 for r in got)
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark", "conversations"):
+        con.execute(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
+    found = con.execute(SQL[name])
+    names = [c[0] for c in found.description]
+    got = QUERIES[name](spark, DATA).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, found.fetchall()))
+
+
 # 3
 
 
