@@ -219,3 +219,11 @@ def test_a_folder_of_lines_is_read_in_the_order_of_its_parts(spark, tmp_path):
     (tmp_path / "_SUCCESS").write_text("")
     assert [r["line"] for r in text.numbered_lines(spark, str(tmp_path)).orderBy("pos").collect()] == lines
     assert sorted(map(tuple, text.read_metis(spark, str(tmp_path)).arcs.collect())) == sorted(map(tuple, g.arcs.collect()))
+
+
+def test_weighted_lines_in_many_parts(spark, tmp_path):
+    g = graph(spark, " ".join(f"{i}-{i + 1}:{i + 2}" for i in range(59)), [0] * 60)
+    lines = [r["line"] for r in text.weighted_metis_lines(g.nodes, g.arcs).orderBy("row").collect()]
+    for part, at in enumerate(range(0, len(lines), 3)):
+        (tmp_path / f"part-{part:05}-x.txt").write_text("".join(f"{x}\n" for x in lines[at : at + 3]))
+    assert sorted(map(tuple, text.read_metis(spark, str(tmp_path)).arcs.collect())) == sorted(map(tuple, g.arcs.collect()))
