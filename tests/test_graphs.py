@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphweft.functions.exact import rounded
 from graphweft.operators import local, metrics, normalize, report, solvers, steps, transform
 from graphweft.plans import registry
 from graphweft.sources import generate, text
@@ -233,3 +234,13 @@ def test_feature_lines_round_the_binary_value(spark):
     rows = [(0, [0.0000005, 2.5e-07, -1.0000015, 0.1000005]), (1, [float("nan"), None, float("-inf"), -0.0]), (2, None), (3, [])]
     found = dict(map(tuple, text.feature_lines(spark.createDataFrame(rows, "id long, f array<double>")).collect()))
     assert found == {0: "4 4", 1: f"{0.0000005:.6f} {2.5e-07:.6f} {-1.0000015:.6f} {0.1000005:.6f}", 2: "nan -inf -0.000000", 3: None, 4: None}
+
+
+def test_rounded_like_sql_engines(spark):
+    import duckdb
+
+    values = [0.00029999999999999997, 0.00034999999999999994, -0.8989499999999999, 2.5e-5, -2.5e-5, 0.5, 1e300, -1e306, 1.7e-9, float("inf"), None]
+    values += [(-1) ** i * (i / 1e5 - i * 2**-58) for i in range(1, 2000)]
+    data = spark.createDataFrame(list(enumerate(values)), "i long, x double")
+    found = [r["y"] for r in data.select("i", rounded(F.col("x"), 4).alias("y")).orderBy("i").collect()]
+    assert found == [duckdb.execute("select round(?::double, 4)", [x]).fetchone()[0] for x in values]
