@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweft.functions.exact import rounded
-from graphweft.operators import local, metrics, normalize, report, solvers, steps, transform
+from graphweft.operators import blocks, local, metrics, normalize, report, solvers, steps, transform
 from graphweft.plans import registry
 from graphweft.sources import generate, text
 from graphweft.sources.views import Graph, both_directions
@@ -244,3 +244,37 @@ def test_rounded_like_sql_engines(spark):
     data = spark.createDataFrame(list(enumerate(values)), "i long, x double")
     found = [r["y"] for r in data.select("i", rounded(F.col("x"), 4).alias("y")).orderBy("i").collect()]
     assert found == [duckdb.execute("select round(?::double, 4)", [x]).fetchone()[0] for x in values]
+
+
+def test_common_neighbours_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD", 40)
+    monkeypatch.setattr(blocks, "PASSING", 50)
+    monkeypatch.setattr(blocks, "RETURNED", 7)
+    draw = random.Random(4)
+    near = {i: sorted({draw.randrange(30) for _ in range(5)} - {i}) for i in range(30)}
+    arcs = spark.createDataFrame([(i * 10**12, j * 10**12, 1 + (i + j) % 3) for i in near for j in near[i]], "src long, dst long, w long")
+    counts = {}
+    for m in near:
+        for a in near[m]:
+            for b in near[m]:
+                if a < b:
+                    counts[a * 10**12, b * 10**12] = counts.get((a * 10**12, b * 10**12), 0) + 1
+    assert {(r["a"], r["b"]): r["n"] for r in steps.two_hop_cooccurrence(arcs).collect()} == counts
+
+
+def test_walks_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD", 40)
+    monkeypatch.setattr(blocks, "PASSING", 50)
+    draw = random.Random(5)
+    near = {i: {j: 1 + (i + j) % 3 for j in {draw.randrange(30) for _ in range(5)} - {i}} for i in range(30)}
+    at = {i: {i: 1.0} for i in near}
+    for _ in range(3):
+        after = {i: {} for i in near}
+        for i in at:
+            for m, p in at[i].items():
+                for j, w in near[m].items():
+                    after[i][j] = after[i].get(j, 0) + p * w / sum(near[m].values())
+        at = after
+    arcs = spark.createDataFrame([(i, j, w) for i in near for j, w in near[i].items()], "src long, dst long, w long")
+    found = {(r["src"], r["dst"]): r["p"] for r in steps.walk_distribution(arcs, 3).collect()}
+    assert found == pytest.approx({(i, j): p for i in at for j, p in at[i].items()})
