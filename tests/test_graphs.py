@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,47 @@ def test_walks_block_by_block(spark, monkeypatch):
     arcs = spark.createDataFrame([(i, j, w) for i in near for j, w in near[i].items()], "src long, dst long, w long")
     found = {(r["src"], r["dst"]): r["p"] for r in steps.walk_distribution(arcs, 3).collect()}
     assert found == pytest.approx({(i, j): p for i in at for j, p in at[i].items()})
+
+
+def test_wcc_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD", 30)
+    monkeypatch.setattr(blocks, "PASSING", 40)
+    draw = random.Random(6)
+    pairs = sorted({tuple(sorted(draw.sample(range(24), 2))) for _ in range(90)})
+    g = graph(spark, " ".join(f"{u}-{v}" for u, v in pairs), [i % 3 for i in range(24)])
+    near = {i: {v for u, v in pairs if u == i} | {u for u, v in pairs if v == i} for i in range(24)}
+    total = 0.0
+    for x in near:
+        closing = [(y, z) for y in near[x] for z in near[x] if y < z and z in near[y]]
+        inside = [(y, z) for y, z in closing if y % 3 == z % 3 == x % 3]
+        ends = {v for pair in closing for v in pair}
+        below = 8 - 1 + len(ends) - len([v for v in ends if v % 3 == x % 3])
+        total += len(inside) / len(closing) * len(ends) / below if closing else 0.0
+    repeated = g.arcs.union(g.arcs.where("src % 4 = 0")).union(g.arcs.limit(1).select("src", F.col("src").alias("dst"), "w"))
+    assert metrics.wcc(g.nodes, repeated, g.labels).first()["wcc"] == pytest.approx(total / 24, abs=1e-6)
+
+
+def test_means_of_neighbours_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD", 6)
+    monkeypatch.setattr(blocks, "PASSING", 6)
+    arcs = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 0), (2, 0), (2, 3), (3, 4), (4, 4), (5, 9)], "src long, dst long")
+    features = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, None]), (2, [5.0, 8.0, 4.0]), (3, None), (4, [None, 1.0])], "id long, f array<double>")
+    found = dict(map(tuple, blocks.neighbour_means(blocks.lists(arcs, "src", "dst"), features).collect()))
+    assert found == {0: [4.0, 8.0, 4.0], 1: [1.0, 2.0], 2: [1.0, 2.0], 3: [None, 1.0], 4: [None, 1.0]}
+
+
+def test_best_of_coarsens_once(spark, monkeypatch):
+    calls, before = [], solvers.coarsened
+    monkeypatch.setattr(solvers, "coarsened", lambda g: calls.append(1) or before(g))
+    g = graph(spark, TWO, [0] * 6)
+    labels = {r["id"]: r["c"] for r in solvers.best_of(g, "louvain").collect()}
+    assert len(calls) == 1 and labels == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
+def test_node_stream_places_and_moves():
+    state = stream_cluster.NodeClusterer(14)
+    near = {0: [1, 2], 1: [0, 2], 2: [0, 1, 3], 3: [2, 4, 5], 4: [3, 5], 5: [3, 4]}
+    state.arrive(np.arange(6) * 10**12)
+    rows = {u: (state.codes(np.array(v) * 10**12), np.ones(len(v), np.int64)) for u, v in near.items()}
+    assert all([state.add(u, *rows[u]) for u in near]) and not any([state.add(u, *rows[u]) for u in near])
+    assert state.community[:6].tolist() == [0, 0, 0, 3, 3, 3]
