@@ -213,6 +213,19 @@ def test_threshold_clusters_have_no_cap(spark):
     assert all(c // 10 == i // 10 for i, c in found.items())
 
 
+def test_leaders_are_paired_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(600, 64))
+    points = np.concatenate((points, points[:100] + 0.001))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "id long, f array<double>")
+    monkeypatch.setattr(blocks, "HELD", 64 * 128)
+    near = {(r.id, r.j) for r in blocks.nearer(frame, 1.2).collect()}
+    distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    assert near == {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(distance < 1.2))) if j < i}
+    assert {r.id: r.c for r in solvers.threshold_clusters(frame, 0.5).collect()} == {i: i % 600 for i in range(700)}
+
+
 def test_a_folder_of_lines_is_read_in_the_order_of_its_parts(spark, tmp_path):
     g = graph(spark, " ".join(f"{i}-{i + 1}" for i in range(59)), [0] * 60)
     lines = [r["line"] for r in text.metis_lines(g.nodes, g.arcs).orderBy("row").collect()]
