@@ -226,6 +226,42 @@ def test_leaders_are_paired_block_by_block(spark, monkeypatch):
     assert {r.id: r.c for r in solvers.threshold_clusters(frame, 0.5).collect()} == {i: i % 600 for i in range(700)}
 
 
+def test_nearest_centres_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    f, u = rng.normal(size=(500, 8)), rng.normal(size=(60, 8))
+    f[7, 3] = np.nan
+    frame = lambda rows, name: spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in x]) for i, x in enumerate(rows)], f"{name} long, f array<double>")
+    monkeypatch.setattr(blocks, "HELD", 100)
+    found = {r.id: r.c for r in blocks.nearest(frame(f, "id"), frame(u, "c")).collect()}
+    assert found == dict(enumerate(np.nansum((f[:, None] - u[None]) ** 2, axis=2).argmin(axis=1).tolist()))
+
+
+def test_sweep_over_lists_is_the_sweep(spark):
+    draw = random.Random(4)
+    g = graph(spark, " ".join(f"{a}-{b}:{draw.randint(1, 5)}" for a, b in {tuple(sorted(draw.sample(range(80), 2))) for _ in range(300)}), [0] * 80)
+    loops = g.arcs.union(spark.range(0, 80, 3).selectExpr("id AS src", "id AS dst", "cast(4 AS long) AS w"))
+    degrees = metrics.node_degrees(g.nodes, loops)
+    total = degrees.agg(F.sum("k")).first()[0]
+    near = blocks.lists(g.arcs, "src", "dst", "w")
+    for labels in (g.nodes.selectExpr("id", "id AS c"), g.nodes.selectExpr("id", "id % 11 AS c")):
+        for down in (True, False):
+            found = {r.id: r.c for r in steps.listed_sweep(near, labels, degrees, total, down).collect()}
+            assert found == {r.id: r.c for r in steps.louvain_sweep(g.nodes, loops, labels, down).collect()}
+            assert len(found) == 80
+
+
+def test_lists_of_rows_in_small_batches(spark):
+    rows = [(i % 7, i, i / 2) for i in range(100)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = blocks.lists(spark.createDataFrame(rows, "k long, v long, w double"), "k", "v", "w").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r.id for r in found) == list(range(7))
+    assert all(sorted(zip(r.m, r.x)) == [(v, w) for k, v, w in rows if k == r.id] for r in found)
+
+
 def test_a_folder_of_lines_is_read_in_the_order_of_its_parts(spark, tmp_path):
     g = graph(spark, " ".join(f"{i}-{i + 1}" for i in range(59)), [0] * 60)
     lines = [r["line"] for r in text.metis_lines(g.nodes, g.arcs).orderBy("row").collect()]
