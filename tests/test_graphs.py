@@ -250,6 +250,17 @@ def test_sweep_over_lists_is_the_sweep(spark):
             assert len(found) == 80
 
 
+def test_walk_lists_are_packed_without_loss():
+    rng = np.random.default_rng(6)
+    for values in (rng.random(500), np.full(500, 0.1), rng.integers(1, 90, 500) / 7, np.array([-0.0, 0.0, np.nan] * 100), np.array([0.3])):
+        for m in (np.sort(rng.choice(60_000, len(values), replace=False)), rng.integers(-(1 << 62), 1 << 62, len(values))):
+            found, x = blocks._unpack(len(m), blocks._pack(m, values))
+            order = np.argsort(m, kind="stable")
+            assert found.tolist() == m[order].tolist() and x.tobytes() == values[order].tobytes()
+    near = np.sort(rng.choice(51_282, 400, replace=False))
+    assert len(blocks._pack(near, 1 / rng.integers(330, 480, 400))) < 400 * 6
+
+
 def test_lists_of_rows_in_small_batches(spark):
     rows = [(i % 7, i, i / 2) for i in range(100)]
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
