@@ -396,3 +396,30 @@ def test_documents_with_gaps_in_their_ids_pass_through_metis(spark, tmp_path):
     for name in ("metis_scan", "metis_weighted_scan"):
         got = sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).select("src", "dst", "w").collect()))
         assert got and got == sorted(con.execute(f"select src, dst, w from ({registry.SQL[name]})").fetchall())
+
+
+def test_clusterings_evaluated_together(spark):
+    draw = random.Random(9)
+    g = graph(spark, TWO, [0] * 6)
+    rows = {run: [(i, draw.randrange(3), draw.randrange(2)) for i in range(6)] for run in range(4)}
+    for arcs in (g.arcs, g.arcs.where("src < 0")):
+        alone = [metrics.evaluate(g.nodes, arcs, spark.createDataFrame(x, "id long, c int, t int"), "x").first().asDict() for x in rows.values()]
+        labels = spark.createDataFrame([(run, *r) for run, x in rows.items() for r in x], "run int, id long, c int, t int")
+        found = {r.run: r.asDict() for r in metrics.evaluate(g.nodes, arcs, labels, "x", by=("run",)).collect()}
+        assert [str({k: v for k, v in found[run].items() if k != "run"}) for run in rows] == [str(x) for x in alone]
+
+
+def test_shifts_between_two_communities():
+    draw = random.Random(5)
+    arcs = [(a, b, draw.randint(1, 3)) for a, b in {tuple(draw.sample(range(14), 2)) for _ in range(40)}]
+    g = local.LocalGraph.of_arcs(14, *zip(*arcs, *((b, a, w) for a, b, w in arcs), (3, 3, 4)))
+    labels = [draw.randrange(3) for _ in range(14)]
+    for a, b in ((0, 1), (1, 0), (2, 1), (0, None)):
+        now, to, steps_ = list(labels), 3 if b is None else b, [(0, [])]
+        while a in now:
+            tried = [(g.numerator([to if v == u else c for v, c in enumerate(now)]), -u) for u in range(14) if now[u] == a]
+            value, u = max(tried)
+            now[-u] = to
+            steps_.append((value - g.numerator(labels), [*steps_[-1][1], -u]))
+        assert local._Shifts(g).best(np.array(labels), a, b) == max(steps_, key=lambda x: x[0])
+    assert local.combo(local.LocalGraph([{}, {}], [1, 1])) == [0, 1]
