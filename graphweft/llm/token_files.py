@@ -36,6 +36,8 @@ FRAME_IDS = 1 << 21
 FILE_BYTES = 256 << 20
 #: Bytes of each of the four values of a control byte.
 _WIDTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
+#: Bits of a value by its bytes.
+_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], "<u4")
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -50,13 +52,11 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
-    widths = _WIDTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    starts = np.cumsum(widths) - widths
-    raw, out = np.frombuffer(data, np.uint8), np.zeros((n, 4), np.uint8)
-    for k in range(4):
-        wide = np.flatnonzero(widths > k)
-        out[wide, k] = raw[starts[wide] + k]
-    return out.reshape(-1).view("<u4")
+    widths = _WIDTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    starts = np.cumsum(widths, dtype=np.int64) - widths
+    # four bytes from each place of the data on, of which a value has the first ones
+    whole = np.ndarray((len(data),), "<u4", b"".join((data, bytes(3))), strides=(1,))
+    return whole[starts] & _MASKS[widths]
 
 
 def encode_frame(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
