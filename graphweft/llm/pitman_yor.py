@@ -18,11 +18,13 @@ Plan:
    packed columns; the totals come back in the order they were sent, without the hashes, and are written to
    a file of the lot, so no answer is shuffled twice. A triple with a
    pair that no other lot has is this lot's alone and not sent. The random numbers of a dish follow from
-   its hash, so every lot that has it seats it alike, and one lot, its owner, adds it to the sums. In each
-   sweep two kinds of sums go round: by pair, the customers that triples send to their parent and the
-   tables of a context, and by word, the same one level up. A pair or word that stands once in all has one
-   customer at one table, so its sums are known and not sent.
-3. Each lot scores its documents; parts of one document are added.
+   its hash, so every lot that has it seats it alike, and one lot, its owner, adds it to the sums. What
+   stands once in all has one customer at one table, so its sums are known and not sent, and it is counted
+   once for all sweeps.
+3. A file of each lot keeps what the sweeps still need: the words and pairs whose sums go round, and the
+   triples of this lot that stand more than once. In each sweep two kinds of sums go round: by pair, the
+   customers that triples send to their parent and the tables of a context, and by word, the same one level up.
+4. Each lot scores its documents; parts of one document are added.
 A frequent word or pair is one entry a lot, whatever its count, and ranges of hashes get equal shares. A
 task works on one range after the other; where the input would need more ranges than RANGE_TASKS, a task
 takes several, sorted by the shuffle. An entry is sent with at most one header, so what is sent stays in
@@ -46,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import pack, pack_many, pack_rising, pack_small, unpack, unpack_many, unpack_rising, unpack_small
-from .common import SharedTables, byte_slices, input_bytes, lean, shuffle_partitions, utf8_values
+from .common import SharedTables, byte_slices, input_bytes, reusing, shuffle_partitions, utf8_values
 from .shingles import mix, word_hashes
 
 LOT_TOKENS = 1_000_000
@@ -79,7 +81,12 @@ def _rows(rows: list[tuple], names: list[str]):
 
 def uniform(keys: np.ndarray, draw: int) -> np.ndarray:
     """Numbers in [0, 1) that follow from the key and the number of the draw."""
-    return (mix(keys + np.uint64(int(_STEP) * (draw + 1) % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    x = mix(keys + np.uint64(int(_STEP) * (draw + 1) % (1 << 64)))
+    x >>= np.uint64(11)
+    # below 2^53, and signed numbers become floats faster
+    out = x.view(np.int64).astype(np.float64)
+    out *= 2.0**-53
+    return out
 
 
 def _binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, draw: int) -> np.ndarray:
@@ -107,38 +114,51 @@ def _binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, draw: int) -> np.n
 
 def seat(customers: np.ndarray, pull: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of dishes with these customers; ``pull`` is (strength + discount * tables) * the parent's probability."""
-    tables = (customers > 0).astype(np.float64)
+    out = (customers > 0).astype(np.float64)
     alive = np.flatnonzero(customers > 1)
+    # those with most customers first: a step's dishes are the first ones, and no step gathers them
+    size = np.minimum(customers[alive], ONE_BY_ONE + 1).astype(np.int64)
+    alive = alive[np.argsort((ONE_BY_ONE + 1 - size).astype(np.uint8), kind="stable")]
+    left = len(alive) - np.cumsum(np.bincount(size, minlength=ONE_BY_ONE + 2))
+    own, keys, tables = pull[alive], keys[alive], out[alive]
     for i in range(1, ONE_BY_ONE):
-        if not len(alive):
-            return tables
-        own = pull[alive]
-        tables[alive] += uniform(keys[alive], sweep * 1024 + i) < own / (i - discount * tables[alive] + own)
-        alive = alive[customers[alive] > i + 1]
-    done, draw = ONE_BY_ONE, ONE_BY_ONE
-    while len(alive):
-        own = pull[alive]
-        n = np.minimum(customers[alive], done + done // GROUP) - done
-        first = own / (done - discount * tables[alive] + own)
+        n = left[i]
+        if not n:
+            break
+        tables[:n] += uniform(keys[:n], sweep * 1024 + i) < own[:n] / (i - discount * tables[:n] + own[:n])
+    many = customers[alive[: left[ONE_BY_ONE]]]
+    rest, done, draw = np.arange(len(many)), ONE_BY_ONE, ONE_BY_ONE
+    while len(rest):
+        pulled = own[rest]
+        n = np.minimum(many[rest], done + done // GROUP) - done
+        first = pulled / (done - discount * tables[rest] + pulled)
         # the chance in the middle of the group, by when it has about half of its new tables
-        chance = own / (done + n / 2 - discount * (tables[alive] + n * first / 2) + own)
-        tables[alive] += _binomial(n, np.clip(chance, 0, 1), keys[alive], sweep * 1024 + draw)
+        chance = pulled / (done + n / 2 - discount * (tables[rest] + n * first / 2) + pulled)
+        tables[rest] += _binomial(n, np.clip(chance, 0, 1), keys[rest], sweep * 1024 + draw)
         done, draw = done + done // GROUP, draw + 2
-        alive = alive[customers[alive] > done]
-    return tables
+        rest = rest[many[rest] > done]
+    out[alive] = tables
+    return out
 
 
-def _group(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _group(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct hashes, rising; one entry of each; which one each entry is)."""
-    n, low = len(hashes), 64 - HASH_BITS
-    if n >> low:
-        return np.unique(hashes, return_index=True, return_inverse=True)
+    n, free = len(hashes), 64 - bits
+    low = n.bit_length()
     # hash and place in one number: plain sorting is much faster than sorting with places
-    whole = hashes << np.uint64(low) | np.arange(n, dtype=np.uint64)
+    mask = np.uint64((1 << low) - 1)
+    whole = hashes << np.uint64(free) & ~mask
+    whole |= np.arange(n, dtype=np.uint64)
     whole.sort()
-    keys, at = whole >> np.uint64(low), (whole & np.uint64((1 << low) - 1)).astype(np.int64)
+    at = (whole & mask).view(np.int64)
+    keys = whole >> np.uint64(free) if low <= free else hashes[at]
     heads = np.ones(n, bool)
     heads[1:] = keys[1:] != keys[:-1]
+    if low > free:
+        # the place takes bits of the hash: different hashes that are alike in the others may stand mixed
+        whole >>= np.uint64(low)
+        if (heads[1:] & (whole[1:] == whole[:-1])).any():
+            return np.unique(hashes, return_index=True, return_inverse=True)
     place = np.empty(n, np.int64)
     place[at] = np.cumsum(heads) - 1
     return keys[heads], at[heads], place
@@ -170,12 +190,16 @@ class Lot:
         self.order = np.argsort(self.words)
         self.end, self.begin = (int(np.flatnonzero(self.words == x)[0]) for x in (_END, _BEGIN))
 
+    @staticmethod
+    def dictionary(blob: bytes) -> np.ndarray:
+        return np.frombuffer(unpack_many(blob, 7)[5], "<u8").astype(np.uint64)
+
     @staticmethod
     def write(parts: list[tuple]) -> bytes:
         """``parts``: (doc_id, row, held, hashes with two before them)."""
         flat = np.concatenate([*(p[3] for p in parts), _BEGIN, _END])
-        words, codes, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        by_count = np.argsort(-counts, kind="stable")
+        words, _, codes = _group(flat, 64)
+        by_count = np.argsort(-np.bincount(codes), kind="stable")
         rank = np.empty(len(words), np.int64)
         rank[by_count] = np.arange(len(words))
         return pack_many(
@@ -192,7 +216,7 @@ class Lot:
         second[self.seconds - 1] = False
         at, hashes = np.flatnonzero(second), self.words[self.every]
         mixed = mix(hashes[:-1] * _STEP + hashes[1:])[second[1:]]
-        self.pair_hashes, some, place = _group(mixed >> np.uint64(64 - HASH_BITS))
+        self.pair_hashes, some, place = _group(mixed >> np.uint64(64 - HASH_BITS), HASH_BITS)
         self.pair_first, self.pair_second, self.pair_mixed = self.every[at[some] - 1], self.every[at[some]], mixed[some]
         self.pair_at = np.empty(len(self.every), np.int64)
         self.pair_at[second] = place
@@ -206,7 +230,7 @@ class Lot:
         """Distinct triples by rising hash: the pair before (``context``) and the pair of the nearer word and the last (``parent``)."""
         context, parent = self.pair_at[self.spots - 1], self.pair_at[self.spots]
         mixed = mix(self.pair_mixed[context] + self.words[self.codes] * _STEP)
-        self.triple_hashes, some, self.triple_of = _group(mixed >> np.uint64(64 - HASH_BITS))
+        self.triple_hashes, some, self.triple_of = _group(mixed >> np.uint64(64 - HASH_BITS), HASH_BITS)
         self.context, self.parent = context[some], parent[some]
         self.triple_counts = np.bincount(self.triple_of[self.train], minlength=len(some))
 
@@ -243,6 +267,62 @@ class Shares:
         return self._filled(blobs, self.words, [self.seen == 1] * 4)
 
 
+class Seats:
+    """What the sweeps need of a lot: words and pairs whose sums go round, by rising hash, and its triples that stand more than once.
+
+    After them stand the few other words and pairs that these use, as two that share a hash count as one.
+    """
+
+    def __init__(self, lot: bytes, blob: bytes):
+        words, first, second, owned, *small, context, parent, hashes, counts = unpack_many(blob, 15)
+        dictionary, at = Lot.dictionary(lot), unpack(words).astype(np.int64)
+        place = np.empty(len(dictionary), np.int64)
+        place[at] = np.arange(len(at))
+        self.words = dictionary[at]
+        self.pair_first, self.pair_second = (place[unpack(x).astype(np.int64)] for x in (first, second))
+        self.pair_hashes = mix(self.words[self.pair_first] * _STEP + self.words[self.pair_second]) >> np.uint64(64 - HASH_BITS)
+        # sums of what stands once: by pair as parent and as context, by word as second and as first one
+        self.as_parent, self.as_context, self.as_second, self.as_first, seen, total, tables = (unpack_small(x).astype(np.int64) for x in small)
+        #: Pairs that this lot adds to the sums, of those that go round.
+        self.owned = np.unpackbits(np.frombuffer(owned, np.uint8), count=len(self.as_parent)).astype(bool)
+        #: Known sums of the other words and pairs.
+        self.other_words, self.other_pairs = [seen] * 4, [total, tables]
+        self.context, self.parent = unpack(context).astype(np.int64), unpack(parent).astype(np.int64)
+        self.triple_hashes, self.triple_counts = unpack_rising(hashes), unpack_small(counts).astype(np.int64)
+
+    @staticmethod
+    def write(lot: Lot, shares: Shares, counts: np.ndarray, owned: np.ndarray) -> bytes:
+        once, more, alone = owned & (counts == 1), owned & (counts > 1), shares.owned & ~shares.spoken
+        context, parent = lot.context[more], lot.parent[more]
+        spoken = np.flatnonzero(shares.spoken)
+        other_pairs = np.unique(np.concatenate([x[~shares.spoken[x]] for x in (context, parent)]))
+        pairs = np.concatenate([spoken, other_pairs])
+        known = np.zeros(len(lot.words), bool)
+        known[shares.words] = True
+        first, second = lot.pair_first[pairs], lot.pair_second[pairs]
+        other_words = np.unique(np.concatenate([x[~known[x]] for x in (first, second)]))
+        place = np.empty(len(lot.pair_hashes), np.int64)
+        place[pairs] = np.arange(len(pairs))
+        small = [np.bincount(x[once], minlength=len(place))[spoken] for x in (lot.parent, lot.context)]
+        small += [np.bincount(x[alone], minlength=len(known))[shares.words] for x in (lot.pair_second, lot.pair_first)]
+        small += [shares.seen[other_words] == 1, shares.total[other_pairs], (shares.total * shares.goes_on)[other_pairs]]
+        return pack_many(
+            pack(np.concatenate([shares.words, other_words])), pack(first), pack(second), np.packbits(shares.owned[spoken]).tobytes(), *map(pack_small, small),
+            pack(place[context]), pack(place[parent]), pack_rising(lot.triple_hashes[more]), pack_small(counts[more]),
+        )
+
+    def word_sums(self, blobs: list[bytes]) -> list[np.ndarray]:
+        return self._all(blobs, self.other_words)
+
+    def sums(self, blobs: list[bytes]) -> list[np.ndarray]:
+        return self._all(blobs, self.other_pairs)
+
+    @staticmethod
+    def _all(blobs: list[bytes], others: list[np.ndarray]) -> list[np.ndarray]:
+        parts = [[unpack_small(p) for p in unpack_many(b, len(others))] for b in blobs]
+        return [np.concatenate([*(p[i] for p in parts), x]).astype(np.float64) for i, x in enumerate(others)]
+
+
 def _scattered(rising: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Values in the order of rising hashes, put back to their places."""
     out = np.empty(len(rising), rising.dtype)
@@ -271,7 +351,7 @@ def _by_range(batches):
 
 
 class State:
-    """What is known of a lot's words and pairs after a sweep."""
+    """What is known after a sweep of the words and pairs of a lot, or of those whose sums go round."""
 
     def __init__(self, chance, context_tables, context_customers, customers, tables):
         #: By word: root probability, and tables and customers of the restaurant after it.
@@ -333,29 +413,36 @@ class Model:
     def _kept(lot: int, step: int, path: str | None, sums: bytes | None) -> pa.Table:
         return pa.table([pa.array([lot], pa.int64()), pa.array([step], pa.int32()), pa.array([path], pa.string()), pa.array([sums], pa.binary())], names=["lot", "step", "path", "sums"])
 
+    def _written(self, lot: int, step: int, whole: bytes) -> str:
+        """The path of a new packed file; a manifest names the file that counts."""
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(self.folder)
+        path = f"{root}/step-{step}-{lot}-{uuid.uuid4().hex}"
+        with files.open_output_stream(path) as out, pa.CompressedOutputStream(out, "zstd") as packed:
+            packed.write(whole)
+        return path
+
     def keep(self, step: int):
         """Writes the answers to one lot as a file; adds the sums of the ranges."""
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
-            from pyarrow import fs
-
             lot = key[0].as_py()
             rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "range", "blob"))), key=lambda r: r[:2])
             if lot < 0:
                 return self._kept(lot, step, None, pack(sum(unpack(r[2]).astype(np.int64) for r in rows)))
-            files, root = fs.FileSystem.from_uri(self.folder)
-            path = f"{root}/step-{step}-{lot}-{uuid.uuid4().hex}"
             whole = pack_many(pack(np.array([r[0] for r in rows])), pack(np.array([len(r[2]) for r in rows])), b"".join(r[2] for r in rows))
-            with files.open_output_stream(path) as out, pa.CompressedOutputStream(out, "zstd") as packed:
-                packed.write(whole)
-            return self._kept(lot, step, path, None)
+            return self._kept(lot, step, self._written(lot, step, whole), None)
 
         return run
 
+    def _unpacked(self, path: str) -> bytes:
+        return pa.CompressedInputStream(pa.BufferReader(self._read(path)), "zstd").read()
+
     def _replies(self, paths: list[str]) -> dict[int, list[bytes]]:
         out: dict[int, list] = {}
         for path in paths:
-            kinds, sizes, flat = unpack_many(pa.CompressedInputStream(pa.BufferReader(self._read(path)), "zstd").read(), 3)
+            kinds, sizes, flat = unpack_many(self._unpacked(path), 3)
             at = 0
             for kind, size in zip(unpack(kinds).tolist(), unpack(sizes).tolist()):
                 out.setdefault(kind, []).append(flat[at : at + size])
@@ -371,7 +458,7 @@ class Model:
                 for lot, files in zip(batch.column("lot").to_pylist(), batch.column("files").to_pylist()):
                     yield from run(lot, [f["path"] for f in files])
 
-        return lean(task)
+        return reusing(task)
 
     def _send(self, key: int, kind: int, hashes: np.ndarray, bits: int, *values: np.ndarray) -> list[tuple]:
         return [(k, key, kind, pack_many(pack_rising(hashes[c]), *(pack_small(v[c]) for v in values))) for k, c in _cuts(hashes, bits, self.ranges)]
@@ -397,13 +484,24 @@ class Model:
     def _sent(rows: list[tuple]):
         return _rows(rows, ["range", "lot", "kind", "blob"])
 
-    def _opened(self, paths: list[str], triples: bool = True) -> tuple[Lot, Shares, dict]:
+    def write_seats(self, step: int):
+        """What the sweeps need of one lot, as a file."""
+
+        def run(key: int, paths: list[str]):
+            lot, shares, replies = self._opened(paths)
+            yield from self._kept(key, step, self._written(key, step, Seats.write(lot, shares, *self._triple_totals(lot, shares, replies))), None).to_batches()
+
+        return run
+
+    def _opened(self, paths: list[str]) -> tuple[Lot, Shares, dict]:
         lot, replies = Lot(self._read(paths[0])), self._replies(paths[1:])
         lot.group_pairs()
-        if triples:
-            lot.group_triples()
+        lot.group_triples()
         return lot, Shares(lot, replies), replies
 
+    def _seats(self, paths: list[str]) -> tuple[Seats, dict]:
+        return Seats(self._read(paths[0]), self._unpacked(paths[1])), self._replies(paths[2:])
+
     def _triple_totals(self, lot: Lot, shares: Shares, replies: dict) -> tuple[np.ndarray, np.ndarray]:
         """(total, whether this lot owns it) of the triples."""
         total, owned, out = lot.triple_counts.copy(), np.ones(len(lot.context), bool), self._sent_triples(lot, shares)
@@ -412,49 +510,57 @@ class Model:
             total[out], owned[out] = coded >> 2, (coded >> 1 & 1).astype(bool)
         return total, owned
 
-    def _state(self, lot: Lot, shares: Shares, replies: dict, sweep: int, sums: dict) -> State:
-        customers, tables, after, served = shares.word_sums(replies[BY_WORD + sweep])
-        whole = self.strengths[0] + sums["customers"]
-        new = (self.strengths[0] + self.discounts[0] * sums["tables"]) / whole / (sums["vocabulary"] + 1)
+    def _state(self, of: Shares | Seats, replies: dict, sweep: int, sums: list[dict]) -> State:
+        customers, tables, after, served = of.word_sums(replies[BY_WORD + sweep])
+        whole = self.strengths[0] + sums[sweep]["customers"]
+        new = (self.strengths[0] + self.discounts[0] * sums[sweep]["tables"]) / whole / (sums[sweep]["vocabulary"] + 1)
         chance = np.maximum((customers - self.discounts[0] * tables) / whole + new, new)
-        return State(chance, after, served, *shares.sums(replies[BY_PAIR + sweep]))
-
-    def _pair_tables(self, lot: Lot, customers: np.ndarray, before: State | None, sweep: int) -> np.ndarray:
-        """Tables of each pair's last word in the restaurant of the first."""
-        if before is None:
-            return (customers > 0).astype(np.float64)
-        pull = (self.strengths[1] + self.discounts[1] * before.context_tables[lot.pair_first]) * before.chance[lot.pair_second]
-        return seat(customers, pull, self.discounts[1], lot.pair_hashes, sweep)
-
-    def _pair_chance(self, lot: Lot, state: State, before: State | None, sweep: int) -> np.ndarray:
-        """Probability of each pair's last word after the first."""
-        seated = self._pair_tables(lot, state.customers, before, sweep)
-        root, served = state.chance[lot.pair_second], state.context_customers[lot.pair_first]
-        own = np.maximum(state.customers - self.discounts[1] * seated, 0) + (self.strengths[1] + self.discounts[1] * state.context_tables[lot.pair_first]) * root
-        return np.where(served > 0, own / (self.strengths[1] + served), root)
-
-    def _triple_tables(self, lot: Lot, counts: np.ndarray, state: State | None, chance: np.ndarray | None, sweep: int) -> np.ndarray:
-        if state is None:
-            return (counts > 0).astype(np.float64)
-        pull = (self.strengths[2] + self.discounts[2] * state.tables[lot.context]) * chance[lot.parent]
-        return seat(counts, pull, self.discounts[2], lot.triple_hashes, sweep)
+        return State(chance, after, served, *of.sums(replies[BY_PAIR + sweep]))
+
+    def _pair_tables(self, lot: Lot | Seats, customers: np.ndarray, before: State | None, sweep: int, which=slice(None)) -> np.ndarray:
+        """Tables of the last word of each pair of ``which`` in the restaurant of the first; ``customers`` are theirs."""
+        tables = (customers > 0).astype(np.float64)
+        if before is not None:
+            alive = np.flatnonzero(customers > 1)
+            first, second, hashes = (x[which][alive] for x in (lot.pair_first, lot.pair_second, lot.pair_hashes))
+            pull = (self.strengths[1] + self.discounts[1] * before.context_tables[first]) * before.chance[second]
+            tables[alive] = seat(customers[alive], pull, self.discounts[1], hashes, sweep)
+        return tables
+
+    def _pair_chance(self, lot: Lot | Seats, state: State, before: State | None, sweep: int, which=slice(None)) -> np.ndarray:
+        """Probability of the last word of each pair of ``which`` after the first."""
+        customers, first = state.customers[which], lot.pair_first[which]
+        seated = self._pair_tables(lot, customers, before, sweep, which)
+        root = state.chance[lot.pair_second[which]]
+        own = np.maximum(customers - self.discounts[1] * seated, 0) + (self.strengths[1] + self.discounts[1] * state.context_tables)[first] * root
+        return np.where((state.context_customers > 0)[first], own / (self.strengths[1] + state.context_customers)[first], root)
+
+    def _triple_tables(self, lot: Lot | Seats, counts: np.ndarray, state: State | None, before: State | None, sweep: int) -> np.ndarray:
+        """Tables of each triple; ``state``: after the sweep before, ``before``: one earlier."""
+        tables = (counts > 0).astype(np.float64)
+        if state is not None:
+            alive = np.flatnonzero(counts > 1)
+            # chances of the pairs alone that have such triples
+            needed = np.zeros(len(lot.pair_first), bool)
+            needed[lot.parent[alive]] = True
+            pairs = np.flatnonzero(needed)
+            chance = np.empty(len(needed))
+            chance[pairs] = self._pair_chance(lot, state, before, sweep - 1, pairs)
+            pull = (self.strengths[2] + self.discounts[2] * state.tables[lot.context[alive]]) * chance[lot.parent[alive]]
+            tables[alive] = seat(counts[alive], pull, self.discounts[2], lot.triple_hashes[alive], sweep)
+        return tables
 
     def send_pair_sums(self, sweep: int, sums: list[dict]):
         """First half of a sweep on one lot: seats its triples and sends the sums by pair of those it owns."""
 
         def run(key: int, paths: list[str]):
-            lot, shares, replies = self._opened(paths)
-            counts, owned = self._triple_totals(lot, shares, replies)
-            state = chance = None
-            if sweep:
-                before = self._state(lot, shares, replies, sweep - 2, sums[sweep - 2]) if sweep > 1 else None
-                state = self._state(lot, shares, replies, sweep - 1, sums[sweep - 1])
-                chance = self._pair_chance(lot, state, before, sweep - 1)
-            tables = self._triple_tables(lot, counts * owned, state, chance, sweep)
-            customers = np.bincount(lot.parent, weights=tables, minlength=len(lot.pair_first)).astype(np.int64)
-            of_context = np.bincount(lot.context, weights=tables, minlength=len(lot.pair_first)).astype(np.int64)
-            o = shares.spoken
-            return self._sent(self._send(key, BY_PAIR + sweep, lot.pair_hashes[o], HASH_BITS, customers[o], of_context[o]))
+            seats, replies = self._seats(paths)
+            before = self._state(seats, replies, sweep - 2, sums) if sweep > 1 else None
+            state = self._state(seats, replies, sweep - 1, sums) if sweep else None
+            tables = self._triple_tables(seats, seats.triple_counts, state, before, sweep)
+            n, every = len(seats.as_parent), len(seats.pair_first)
+            add = lambda pairs, once: np.bincount(pairs, weights=tables, minlength=every)[:n].astype(np.int64) + once
+            return self._sent(self._send(key, BY_PAIR + sweep, seats.pair_hashes[:n], HASH_BITS, add(seats.parent, seats.as_parent), add(seats.context, seats.as_context)))
 
         return run
 
@@ -462,14 +568,14 @@ class Model:
         """Second half: seats the pairs and sends the sums by word of those it owns."""
 
         def run(key: int, paths: list[str]):
-            lot, shares, replies = self._opened(paths, triples=False)
-            customers = shares.sums(replies[BY_PAIR + sweep])[0] * shares.owned
-            before = self._state(lot, shares, replies, sweep - 1, sums[sweep - 1]) if sweep else None
-            tables = self._pair_tables(lot, customers, before, sweep)
-            n, o = len(lot.words), shares.words
-            add = lambda codes, x: np.bincount(codes, weights=x, minlength=n).astype(np.int64)[o]
-            values = add(lot.pair_second, tables), add(lot.pair_first, tables), add(lot.pair_first, customers)
-            return self._sent(self._send(key, BY_WORD + sweep, lot.words[o], 64, *values))
+            seats, replies = self._seats(paths)
+            n, every = slice(len(seats.as_parent)), len(seats.words)
+            customers = seats.sums(replies[BY_PAIR + sweep])[0][n] * seats.owned
+            before = self._state(seats, replies, sweep - 1, sums) if sweep else None
+            tables = self._pair_tables(seats, customers, before, sweep, n)
+            add = lambda words, x, once: np.bincount(words[n], weights=x, minlength=every)[: len(once)].astype(np.int64) + once
+            values = add(seats.pair_second, tables, seats.as_second), add(seats.pair_first, tables, seats.as_first), add(seats.pair_first, customers, seats.as_first)
+            return self._sent(self._send(key, BY_WORD + sweep, seats.words[: len(seats.as_first)], 64, *values))
 
         return run
 
@@ -480,18 +586,18 @@ class Model:
             lot, shares, replies = self._opened(paths)
             seen = shares.seen
             # the context of two beginnings has as many customers as there are ends
-            served = np.where(lot.opening, seen[lot.end], shares.total)[lot.context]
+            served = np.where(lot.opening, seen[lot.end], shares.total)
+            some, whole = (served > 0)[lot.context], (self.strengths[2] + served)[lot.context]
             counts, _ = self._triple_totals(lot, shares, replies)
-            mean, before, state, chance = np.zeros(len(counts)), None, None, None
+            mean, before, state = np.zeros(len(counts)), None, None
             for sweep in range(len(sums)):
-                at = self._state(lot, shares, replies, sweep, sums[sweep])
-                now = self._pair_chance(lot, at, state, sweep) if sweep >= first - 1 else None
+                at = self._state(shares, replies, sweep, sums)
                 if sweep >= first:
-                    seated = self._triple_tables(lot, counts, state, chance, sweep)
-                    lower = now[lot.parent]
-                    own = np.maximum(counts - self.discounts[2] * seated, 0) + (self.strengths[2] + self.discounts[2] * at.tables[lot.context]) * lower
-                    mean += np.where(served > 0, own / (self.strengths[2] + served), lower)
-                state, chance = at, now
+                    seated = self._triple_tables(lot, counts, state, before, sweep)
+                    lower = self._pair_chance(lot, at, state, sweep)[lot.parent]
+                    own = np.maximum(counts - self.discounts[2] * seated, 0) + (self.strengths[2] + self.discounts[2] * at.tables)[lot.context] * lower
+                    mean += np.where(some, own / whole, lower)
+                before, state = state, at
             logs = np.log10(mean / (len(sums) - first))[lot.triple_of]
             total, vocabulary = sums[0]["tokens"], sums[0]["vocabulary"]
             base = np.log10((seen + 0.1) / (total + 0.1 * (vocabulary + 1)))[lot.codes]
@@ -517,7 +623,7 @@ class Model:
                     continue
                 keys, counts = [unpack_rising(m[1]) for m in messages], [unpack_small(m[2]).astype(np.int64) for m in messages]
                 number = np.concatenate(counts)
-                distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+                distinct, _, place = _group(np.concatenate(keys), 64 if kind == WORDS else HASH_BITS)
                 total = np.bincount(place, weights=number, minlength=len(distinct)).astype(np.int64)
                 reply = total[place]
                 if kind == WORDS:
@@ -525,19 +631,21 @@ class Model:
                     yield from _rows([(-1 - where % SUM_KEYS, where, TOTALS, sums)], ["lot", "range", "kind", "blob"])
                 else:
                     trained = np.flatnonzero(number > 0)
-                    _, head = np.unique(place[trained], return_index=True)
+                    # the first one that has it in training owns it: the last to be written here
+                    owner = np.full(len(distinct), -1)
+                    owner[place[trained[::-1]]] = trained[::-1]
                     reply = 4 * reply
-                    reply[trained[head]] += 2
+                    reply[owner[owner >= 0]] += 2
                     reply += (np.bincount(place) > 1)[place]
                 cut = np.cumsum([0, *map(len, keys)])
                 yield from _rows([(m[0], where, kind, pack_small(reply[cut[i] : cut[i + 1]])) for i, m in enumerate(messages)], ["lot", "range", "kind", "blob"])
 
     @staticmethod
-    def _summed(rows: list, n: int):
+    def _summed(rows: list, n: int, bits: int):
         """(messages, where each one's entries stand, distinct hashes, sums of the ``n`` values by distinct hash)."""
         messages = [(lot, *unpack_many(blob, n + 1)) for lot, _, blob in rows]
         keys = [unpack_rising(m[1]) for m in messages]
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        distinct, _, place = _group(np.concatenate(keys), bits)
         add = lambda k: np.bincount(place, weights=np.concatenate([unpack_small(m[k]) for m in messages]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
         cut = np.cumsum([0, *map(len, keys)])
         return [(m[0], place[cut[i] : cut[i + 1]]) for i, m in enumerate(messages)], distinct, [add(2 + k) for k in range(n)]
@@ -547,7 +655,7 @@ class Model:
 
         def run(batches):
             for where, rows in _by_range(batches):
-                lots, _, values = self._summed(rows, 2)
+                lots, _, values = self._summed(rows, 2, HASH_BITS)
                 yield from _rows([(lot, where, BY_PAIR + sweep, pack_many(*(pack_small(v[at]) for v in values))) for lot, at in lots], ["lot", "range", "kind", "blob"])
 
         return run
@@ -557,7 +665,7 @@ class Model:
 
         def run(batches):
             for where, rows in _by_range(batches):
-                lots, distinct, (customers, after, served) = self._summed(rows, 3)
+                lots, distinct, (customers, after, served) = self._summed(rows, 3, 64)
                 pull = np.full(len(distinct), (self.strengths[0] + self.discounts[0] * root_tables) / (vocabulary + 1))
                 tables = seat(customers, pull, self.discounts[0], distinct, sweep).astype(np.int64)
                 yield from _rows([(-1 - where % SUM_KEYS, where, TOTALS, pack(np.array([int(customers.sum()), int(tables.sum())])))], ["lot", "range", "kind", "blob"])
@@ -589,7 +697,7 @@ def score_documents(
     tasks = min(ranges, RANGE_TASKS)
     model = Model(f"{tables.root}/lots", ranges, discounts, strengths)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    kept = [tables.save(rows.mapInArrow(lean(model.write_lots), _KEPT), "step-0")]
+    kept = [tables.save(rows.mapInArrow(reusing(model.write_lots), _KEPT), "step-0")]
     lots = max(1, min(RANGE_TASKS, kept[0].count()))
 
     def with_files(*steps: int) -> DataFrame:
@@ -606,21 +714,23 @@ def score_documents(
         sent = with_files(*steps).mapInArrow(model.on_lots(run), _MESSAGE).repartitionById(tasks, F.floor(F.col("range") * tasks / ranges).cast("int"))
         if tasks < ranges:
             sent = sent.sortWithinPartitions("range")
-        answers = sent.mapInArrow(lean(reduce), _REPLY).groupBy("lot")
+        answers = sent.mapInArrow(reusing(reduce), _REPLY).groupBy("lot")
         kept.append(tables.save(answers.applyInArrow(model.keep(step), _KEPT), f"step-{step}"))
         return step
 
     counts = ask(model.send_counts, model.total_ranges)
     tokens, vocabulary, once = _sums(kept[counts], 3)
     triples = ask(model.send_triples, model.total_ranges, counts)
+    seats = len(kept)
+    kept.append(tables.save(with_files(counts, triples).mapInArrow(model.on_lots(model.write_seats(seats)), _KEPT), f"step-{seats}"))
     by_pair: list[int] = []
     by_word: list[int] = []
     sums: list[dict] = []
     for sweep in range(sweeps + 1):
         last = slice(max(0, sweep - 2), sweep)
-        by_pair.append(ask(model.send_pair_sums(sweep, sums), model.add_pairs(sweep), counts, triples, *by_pair[last], *by_word[last]))
+        by_pair.append(ask(model.send_pair_sums(sweep, sums), model.add_pairs(sweep), seats, *by_pair[last], *by_word[last]))
         last = slice(max(0, sweep - 1), sweep)
-        by_word.append(ask(model.send_word_sums(sweep, sums), model.seat_root(sweep, vocabulary, sums[-1]["tables"] if sums else 0.0), counts, *by_pair[max(0, sweep - 1) :], *by_word[last]))
+        by_word.append(ask(model.send_word_sums(sweep, sums), model.seat_root(sweep, vocabulary, sums[-1]["tables"] if sums else 0.0), seats, *by_pair[max(0, sweep - 1) :], *by_word[last]))
         customers, root = _sums(kept[by_word[-1]], 2)
         sums.append({"tokens": tokens, "vocabulary": vocabulary, "customers": customers + once, "tables": root + once})
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -291,6 +292,83 @@ def test_language_model_equals_the_plain_one(spark, monkeypatch):
         assert found[i].n_tokens == len((t or "").split()) + 1
 
 
+@pytest.mark.parametrize("bits", [pitman_yor.HASH_BITS, 12])
+def test_sweeps_need_no_grouping_and_send_the_sums_of_the_whole_lot(bits, tmp_path, monkeypatch):
+    """Once a lot's seats are written, its pairs are not grouped again; with 12 bits many hashes are shared."""
+    py = pitman_yor
+    monkeypatch.setattr(py, "HASH_BITS", bits)
+    monkeypatch.setattr(py, "_cuts", lambda hashes, bits, ranges: [(0, slice(0, len(hashes)))])
+    groups, plainly = [], py.Lot.group_pairs
+    monkeypatch.setattr(py.Lot, "group_pairs", lambda lot: (groups.append(lot), plainly(lot))[1])
+    model = py.Model(f"file://{tmp_path}", 1, (0.6, 0.75, 0.85), (10.0, 2.0, 1.0))
+    texts = [t.encode() for _, t, *_ in corpus(n=60)] + [b"alone", b"", *(" ".join(f"w{i + k}" for k in range(100)).encode() for i in range(0, 600, 100))]
+    kept, sums = [{}], []
+    for lot in range(3):
+        parts = [(i, i, i % 10 == 0, np.concatenate((py._BEGIN, py._BEGIN, py.word_hashes([t])[0], py._END))) for i, t in enumerate(texts) if i % 3 == lot]
+        (tmp_path / f"lot-{lot}").write_bytes(py.Lot.write(parts))
+        kept[0][lot] = str(tmp_path / f"lot-{lot}")
+
+    def of(lot, *steps):
+        return [kept[s][lot] for s in (0, *steps)]
+
+    def ask(run, reduce, *steps):
+        """The number of the step and the sums over all ranges."""
+        sent = [b for lot in range(3) for b in run(lot, of(lot, *steps))]
+        answers = pa.Table.from_batches(list(reduce(iter(sent))))
+        rows = [r for lot in pc.unique(answers["lot"]) for r in model.keep(len(kept))((lot,), answers.filter(pc.equal(answers["lot"], lot))).to_pylist()]
+        kept.append({r["lot"]: r["path"] for r in rows if r["lot"] >= 0})
+        return len(kept) - 1, [py.unpack(r["sums"]).astype(np.int64).tolist() for r in rows if r["lot"] < 0]
+
+    def values(batches, n):
+        ((blob,),) = [b["blob"].to_pylist() for b in batches]
+        return [py.unpack_small(x).tolist() for x in py.unpack_many(blob, n + 1)[1:]]
+
+    counts, [[tokens, vocabulary, once]] = ask(model.send_counts, model.total_ranges)
+    triples, _ = ask(model.send_triples, model.total_ranges, counts)
+    seats = len(kept)
+    kept.append({r["lot"]: r["path"] for lot in range(3) for b in model.write_seats(seats)(lot, of(lot, counts, triples)) for r in b.to_pylist()})
+    written = [model._seats(of(lot, seats))[0] for lot in range(3)]
+    assert any(len(x.other_words[0]) for x in written) == any(len(x.other_pairs[0]) for x in written) == (bits == 12)
+    steps = []
+    for sweep in range(3):
+        # what the whole lot gives
+        expected = []
+        for lot in range(3):
+            whole, shares, replies = model._opened(of(lot, counts, triples, *steps))
+            total, owned = model._triple_totals(whole, shares, replies)
+            state, before = (model._state(shares, replies, k, sums) if k >= 0 else None for k in (sweep - 1, sweep - 2))
+            tables = model._triple_tables(whole, total * owned, state, before, sweep)
+            expected.append([np.bincount(x, weights=tables, minlength=len(whole.pair_hashes))[shares.spoken].tolist() for x in (whole.parent, whole.context)])
+        groups.clear()
+        run, needed = model.send_pair_sums(sweep, sums), (seats, *steps)
+        assert [values(run(lot, of(lot, *needed)), 2) for lot in range(3)] == expected
+        steps.append(ask(run, model.add_pairs(sweep), *needed)[0])
+        assert not groups
+        expected = []
+        for lot in range(3):
+            whole, shares, replies = model._opened(of(lot, counts, triples, *steps))
+            customers = shares.sums(replies[py.BY_PAIR + sweep])[0] * shares.owned
+            tables = model._pair_tables(whole, customers, model._state(shares, replies, sweep - 1, sums) if sweep else None, sweep)
+            add = lambda codes, x: np.bincount(codes, weights=x, minlength=len(whole.words))[shares.words].tolist()  # noqa: B023, E731
+            expected.append([add(whole.pair_second, tables), add(whole.pair_first, tables), add(whole.pair_first, customers)])
+        groups.clear()
+        run, needed = model.send_word_sums(sweep, sums), (seats, *steps)
+        assert [values(run(lot, of(lot, *needed)), 3) for lot in range(3)] == expected
+        step, [[customers, root]] = ask(run, model.seat_root(sweep, vocabulary, sums[-1]["tables"] if sums else 0.0), *needed)
+        assert not groups
+        steps.append(step)
+        sums.append({"tokens": tokens, "vocabulary": vocabulary, "customers": customers + once, "tables": root + once})
+
+
+def test_grouping_equals_unique():
+    draw = np.random.default_rng(3)
+    alike = (np.uint64(5) << np.uint64(40)) + draw.integers(0, 9, 500, dtype=np.uint64)
+    for hashes, bits in ((draw.integers(0, 900, 2000, dtype=np.uint64), 42), (draw.choice(draw.integers(0, 1 << 63, 300, dtype=np.uint64), 2000), 64), (alike, 64), (alike[:1], 64), (alike[:0], 64), (alike[:0], 42)):
+        keys, some, place = pitman_yor._group(hashes, bits)
+        expected, back = np.unique(hashes, return_inverse=True)
+        assert keys.tolist() == expected.tolist() == hashes[some].tolist() and place.tolist() == back.tolist()
+
+
 def test_language_model_agrees_with_one_customer_at_a_time(spark):
     """Held-out scores against plain Gibbs sampling that moves a single customer at a time and keeps every table's size."""
     rows, draw = corpus(n=80), random.Random(9)
