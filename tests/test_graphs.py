@@ -423,3 +423,42 @@ def test_shifts_between_two_communities():
             steps_.append((value - g.numerator(labels), [*steps_[-1][1], -u]))
         assert local._Shifts(g).best(np.array(labels), a, b) == max(steps_, key=lambda x: x[0])
     assert local.combo(local.LocalGraph([{}, {}], [1, 1])) == [0, 1]
+
+
+def test_passes_over_few_clusters_are_those_of_single_nodes(monkeypatch):
+    draw = random.Random(8)
+    near = {i: {} for i in range(60)}
+    for a, b in {tuple(sorted((draw.randrange(60), draw.randrange(60)))) for _ in range(240)}:
+        near[a][b] = near[b][a] = draw.randint(1, 4)
+    total = sum(w for x in near.values() for w in x.values())
+    ends = []
+    for few in (stream_cluster.FEW, 0):
+        monkeypatch.setattr(stream_cluster, "FEW", few)
+        state = stream_cluster.NodeClusterer(total)
+        state.arrive(np.arange(60))
+        rows = [(u, np.array(list(x), np.int32), np.array(list(x.values()), np.int64)) for u, x in near.items()]
+        for row in rows:
+            state.add(*row)
+        moved = [state.again(iter(rows)) for _ in range(20)]
+        assert moved[0] and not moved[-1]
+        ends.append((moved, state.community[:60].tolist(), state.volume[:60].tolist()))
+    plain = stream_cluster.NodeClusterer(total)
+    plain.arrive(np.arange(60))
+    passes = [any([plain.add(*row) for row in rows]) for _ in range(21)]
+    assert ends[0] == ends[1] == (passes[1:], plain.community[:60].tolist(), plain.volume[:60].tolist())
+
+
+def test_restreaming_ends_with_the_refined_quotient(spark):
+    """Two passes leave clusters whose union has a larger modularity; all nodes keep a row."""
+    draw = random.Random(1)
+    pairs = sorted({tuple(sorted(draw.sample(range(60), 2))) for _ in range(150)})
+    g = graph(spark, " ".join(f"{a}-{b}" for a, b in pairs), [0] * 60)
+    value = lambda labels: int(metrics.modularity(metrics.clusters(g.arcs, labels)).first()["N"])
+    streamed = stream_cluster.stream_nodes(g.arcs, None)
+    assert value(streamed) == value(stream_cluster.stream_nodes(g.arcs, 1000))
+    found = solvers.restreamed(g)
+    assert {r.id for r in found.collect()} == {r.id for r in streamed.collect()}
+    assert value(found) > value(streamed)
+    # the refinement merges whole clusters
+    both = streamed.join(found.withColumnRenamed("c", "d"), "id")
+    assert both.groupBy("c").agg(F.count_distinct("d").alias("n")).where("n > 1").isEmpty()
