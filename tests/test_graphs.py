@@ -462,3 +462,45 @@ def test_restreaming_ends_with_the_refined_quotient(spark):
     # the refinement merges whole clusters
     both = streamed.join(found.withColumnRenamed("c", "d"), "id")
     assert both.groupBy("c").agg(F.count_distinct("d").alias("n")).where("n > 1").isEmpty()
+
+
+def test_walks_held_whole_and_in_blocks_are_the_same(spark, monkeypatch):
+    draw = random.Random(7)
+    rows = [(draw.randrange(25) * 10**11, draw.randrange(25) * 10**11, draw.randint(1, 4)) for _ in range(90)]
+    arcs = spark.createDataFrame([*rows, (25 * 10**11, 26 * 10**11, 1)], "src long, dst long, w long")
+    found = []
+    for whole in (blocks.WHOLE, 0):
+        monkeypatch.setattr(blocks, "WHOLE", whole)
+        found.append({(r["src"], r["dst"]): r["p"] for r in steps.walk_distribution(arcs).collect()})
+    assert found[0] == pytest.approx(found[1]) and all(src < 25 * 10**11 for src, _ in found[0])
+
+
+def test_the_registered_walks_have_four_steps(spark, tmp_path):
+    """A path of nodes: two steps reach no node three or four away."""
+    angle = [i * 1.2 for i in range(6)]
+    spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))], 0) for i, a in enumerate(angle[:4])], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {(r.src, r.dst): r.p for r in registry.QUERIES["walk_distribution"](spark, str(tmp_path)).collect()}
+    step = np.array([[0, 1, 0, 0], [0.5, 0, 0.5, 0], [0, 0.5, 0, 0.5], [0, 0, 1, 0]])
+    four = np.linalg.matrix_power(step, 4)
+    assert found == {(i, j): four[i, j] for i in range(4) for j in range(4) if four[i, j]}
+
+
+def test_packed_lists_in_small_pieces(spark, monkeypatch):
+    draw = random.Random(2)
+    monkeypatch.setattr(blocks, "PIECE", 20)
+    rows = [(draw.randrange(6) * 10**12, draw.randrange(40) - 20, float(draw.randrange(3))) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "k long, v long, w double").repartition(3)
+    plain = {r.id: blocks._unpack(r.n, r.packed) for r in blocks.packed_lists(frame, "k", "v").collect()}
+    valued = {r.id: blocks._unpack(r.n, r.packed) for r in blocks.packed_lists(frame, "k", "v", "w").collect()}
+    once = {r.id: blocks._unpack(r.n, r.packed)[0].tolist() for r in blocks.packed_lists(frame, "k", "v", once=True).collect()}
+    for k in {r[0] for r in rows}:
+        assert plain[k][0].tolist() == sorted(v for i, v, _ in rows if i == k) and plain[k][1] is None
+        assert sorted(zip(*map(np.ndarray.tolist, valued[k]))) == sorted((v, w) for i, v, w in rows if i == k)
+        assert once[k] == sorted({v for i, v, _ in rows if i == k})
+
+
+def test_lists_are_sent_in_few_bytes(spark):
+    """What blocks of neighbour lists send and hold: some two bytes an entry, which took eight."""
+    arcs = spark.range(200_000).selectExpr("id div 1000 AS src", "(id % 1000) * 50 + hash(id) % 25 AS dst")
+    size = blocks.packed_lists(arcs, "src", "dst").selectExpr("sum(length(packed)) / sum(n)").first()[0]
+    assert size < 2.5
